@@ -9,13 +9,16 @@ library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT = "byte_bpe_50k.json"
 #: Words that a worker remembers; beyond that it keeps the short ones, which recur most.
@@ -46,6 +49,10 @@ class Encoder:
         self.special = added
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        self.byte_level = parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not parts["normalizer"]
+        self.pieces = Tokenizer.from_file(path)  # takes a text as one piece
+        self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         line = self._whole("\n")
         self.line, self.line_id = line, int(np.frombuffer(line, "<u4")[0])
 
@@ -54,7 +61,7 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Encodes words of one line each by one call, with line breaks between them."""
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.line_id)
         if len(cuts) != len(words) - 1:
             return [self._whole(w) for w in words]
@@ -76,8 +83,14 @@ class Encoder:
                 whole.add(w)
         marks = list({t for _, t in tails.values() if t not in self.marks})
         self.marks.update(zip(marks, self._words(marks) if marks else [], strict=True))
+        letters = [w for w in whole if (w[1:] if w[0] == "\n" else w).isalpha()]  # one piece each
+        for at in range(0, len(letters), 10_000):
+            part = letters[at : at + 10_000]
+            found = self.pieces.encode_batch_fast([w[1:] if w[0] == "\n" else " " + w for w in part], add_special_tokens=False)
+            known.update((w, (self.line if w[0] == "\n" else b"") + array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        whole.difference_update(letters)
         for line_start in (False, True):
-            words = [w for w in whole if (w[0] == "\n") == line_start]
+            words = [w for w in whole if (w[:1] == "\n") == line_start]
             for at in range(0, len(words), 20_000):
                 part = words[at : at + 20_000]
                 if line_start:
@@ -97,7 +110,7 @@ class Encoder:
         split: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
-            if not text or _odd(text) or any(t in text for t in self.special):
+            if not self.byte_level or not text or _odd(text) or any(t in text for t in self.special):
                 split.append(None)
                 continue
             words = text.replace("\n", " \n").split(" ")
