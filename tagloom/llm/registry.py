@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = ("op1_decontamination", "op2_tokens", "op3_license", "op4_html", "op6_packing", "op7_merkle", "op8_jaccard", "op9_suffix", "op10_quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: getattr(import_module(f"{__package__}.{n}"), n) for n in NAMES}
+    return {n: getattr(import_module(f"{__package__}.{n}"), n) for n in NAMES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
