@@ -8,7 +8,7 @@ from importlib import import_module
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("op1_decontamination", "op2_tokens", "op3_license", "op4_html", "op6_packing", "op7_merkle", "op8_jaccard", "op9_suffix", "op10_quality")
+NAMES = ("op1_decontamination", "op2_tokens", "op3_license", "op4_html", "op5_lm", "op6_packing", "op7_merkle", "op8_jaccard", "op9_suffix", "op10_quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
