@@ -209,10 +209,10 @@ def top3_alternates(spark, d):
 
 
 @query(f"""WITH {MEASURED}, g AS (SELECT l_partkey, count(*) AS n, avg(t2) AS mean, sum(t2 * l_quantity) / sum(l_quantity) AS weighted, median(t2) AS median, arg_min(t2, row(round(abs(t2 - truth), 9), t2)) AS oracle, list_sort(list(t2)) AS v FROM measured GROUP BY 1)
-  SELECT l_partkey, n, round(mean, 9) AS mean, round(weighted, 9) AS weighted, round(median, 9) AS median,
-  round(list_avg(v[CAST(floor(n * 0.1) AS INTEGER) + 1 : n - CAST(floor(n * 0.1) AS INTEGER)]), 9) AS trimmed, round(oracle, 9) AS oracle FROM g""")
+  SELECT l_partkey, n, round(mean, 3) AS mean, round(weighted, 3) AS weighted, round(median, 3) AS median,
+  round(list_avg(v[CAST(floor(n * 0.1) AS INTEGER) + 1 : n - CAST(floor(n * 0.1) AS INTEGER)]), 3) AS trimmed, round(oracle, 3) AS oracle FROM g""")
 def consensus_estimators(spark, d):
-    return metrics.consensus(measured(spark, d), "l_partkey", "t2", "l_quantity", "truth", places=9)
+    return metrics.consensus(measured(spark, d), "l_partkey", "t2", "l_quantity", "truth", places=3)
 
 
 @query("""WITH r AS (SELECT source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS run, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents WHERE n_chars > 0)

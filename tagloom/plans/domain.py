@@ -1 +1,222 @@
+"""Queries on tags, pairs, fits, chains, graphs and models. A document plays a contig, its text the sequence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.likelihood import fit_pairs
+from ..operators import calibrate, chains, graph, ranking, tags
+from .catalog import MEASURED, measured, query, read
+
+_TAGS = """tags AS (SELECT doc_id, p AS pos, substr(text, p + 1, 24) AS tag FROM (SELECT doc_id, text, unnest(range(0, length(text) - 23)) AS p FROM documents WHERE length(text) >= 24)
+  WHERE substr(text, p + 5, 2) = 'an' AND substr(text, p + 13, 1) = 'e')"""
+_SCREEN = f"""{_TAGS}, dt AS (SELECT DISTINCT doc_id, tag FROM tags), sizes AS (SELECT doc_id, count(*) AS size FROM dt GROUP BY 1), useful AS (SELECT tag FROM dt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM dt x JOIN dt y ON x.tag = y.tag AND x.doc_id < y.doc_id WHERE x.tag IN (SELECT tag FROM useful) GROUP BY 1, 2 HAVING count(*) >= 3),
+  pairs AS (SELECT a, b, shared, shared / least(m.size, n.size) AS containment FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE shared / least(m.size, n.size) >= 0.001)"""
+
+
+def document_tags(spark: SparkSession, d: str) -> DataFrame:
+    """With places; one scan where the rows lie."""
+    return tags.digest(read(spark, d, "documents"), ["doc_id"], "text", [tags.TEXT_ENZYME])
+
+
+def document_tag_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Without places; native."""
+    return tags.digest_strings(read(spark, d, "documents"), "doc_id", "text", tags.TEXT_ENZYME)
+
+
+def screened(spark: SparkSession, d: str) -> DataFrame:
+    return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"])
+
+
+@query(f"WITH {_TAGS} SELECT doc_id, pos, tag FROM tags")
+def digest_tags(spark, d):
+    return document_tags(spark, d).select("doc_id", "pos", "tag")
+
+
+@query(f"WITH {_TAGS}, o AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1) SELECT doc_id, pos, tag, n AS occurrence FROM tags JOIN o USING (tag) WHERE n <= 5")
+def tag_repeat_filter(spark, d):
+    return tags.drop_repeats(document_tags(spark, d), ["tag"]).select("doc_id", "pos", "tag", "occurrence")
+
+
+@query(f"WITH {_SCREEN} SELECT a, b, shared, round(containment, 6) AS containment FROM pairs")
+def screen_pairs(spark, d):
+    return screened(spark, d).withColumn("containment", F.round("containment", 6))
+
+
+@query(f"""WITH {_SCREEN}, hits AS (SELECT a AS query, b AS target, shared, containment FROM pairs UNION ALL SELECT b, a, shared, containment FROM pairs),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY containment DESC, target) AS rn FROM hits) SELECT query, target, round(1 + ln(containment) / 24, 6) AS similarity FROM r WHERE rn = 1""")
+def search_best_first(spark, d):
+    p = screened(spark, d)
+    hits = p.select(F.col("a").alias("query"), F.col("b").alias("target"), "containment").union(p.select("b", "a", "containment"))
+    return ranking.top_hit(hits, "query", "target", "containment").select("query", "target", F.round(1 + F.log("containment") / 24, 6).alias("similarity"))
+
+
+@query(f"""WITH {_SCREEN}, top AS (SELECT doc_id, row_number() OVER (ORDER BY size DESC, doc_id) AS i FROM sizes ORDER BY i LIMIT 20)
+  SELECT CAST(x.i AS INTEGER) AS i, CAST(y.i AS INTEGER) AS j, x.doc_id AS a, y.doc_id AS b, round(containment, 6) AS containment FROM top x JOIN top y ON x.i < y.i LEFT JOIN pairs ON pairs.a = least(x.doc_id, y.doc_id) AND pairs.b = greatest(x.doc_id, y.doc_id)""")
+def triangle_matrix(spark, d):
+    sizes = document_tag_strings(spark, d).groupBy("doc_id").agg(F.countDistinct("tag").alias("size")).orderBy(F.desc("size"), "doc_id").limit(20)  # a report on 20 documents
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "doc_id"))).alias("l")).select(F.posexplode("l").alias("p", "x")).select((F.col("p") + 1).alias("i"), F.col("x.doc_id").alias("doc_id"), F.lit(1).alias("one"))
+    pairs = listed.select("one", "i", F.col("doc_id").alias("a")).join(listed.select("one", F.col("i").alias("j"), F.col("doc_id").alias("b")), "one").where("i < j").drop("one")
+    found = screened(spark, d).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.round("containment", 6).alias("containment"))
+    return pairs.join(found, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left").drop("_a", "_b")
+
+
+@query(f"""WITH {_TAGS}, t AS (SELECT DISTINCT tag FROM tags) SELECT x.tag AS a_tag, y.tag AS b_tag, list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END))::INTEGER AS distance
+  FROM t x JOIN t y ON x.tag < y.tag WHERE list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END)) <= 2""")
+def pigeonhole_pairs(spark, d):
+    t = document_tag_strings(spark, d).select("tag").distinct()
+    return tags.tolerant_pairs(t, t, [], "tag", 2, 24).where("a_tag < b_tag")
+
+
+_BASES = "translate(lower(substr(coalesce(text, ''), 1, 100000)), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, regexp_replace({_BASES}, '[^ACGT]', '', 'g') AS s FROM documents) SELECT doc_id, length(s) AS n, md5(least(s, reverse(translate(s, 'ACGT', 'TGCA')))) AS canonical_md5, round((length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / nullif(length(s), 0), 6) AS gc FROM s""")
+def reverse_complement_canonical(spark, d):
+    s = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), "etaoinshrdlucmfwypvbgkjqxz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+    return read(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.length("s").cast("long").alias("n"), F.md5(C.canonical(F.col("s"))).alias("canonical_md5"), F.round(C.gc_fraction(F.col("s")), 6).alias("gc"))
+
+
+@query(f"""WITH {_SCREEN}, f AS (SELECT DISTINCT doc_id, p // 3000 AS fragment, substr(text, p + 1, 16) AS kmer FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS p FROM documents WHERE length(text) >= 16) WHERE (p % 3000) + 16 <= 3000),
+  s AS (SELECT doc_id, fragment, count(*) AS size FROM f GROUP BY 1, 2), w AS (SELECT DISTINCT doc_id, kmer FROM f),
+  sh AS (SELECT a, b, x.fragment, count(*) AS shared FROM pairs JOIN f x ON x.doc_id = a JOIN w y ON y.doc_id = b AND y.kmer = x.kmer GROUP BY 1, 2, 3 HAVING count(*) >= 50)
+  SELECT a, b, count(*) AS fragments, round(avg(1 + ln(2 * (shared / size) / (1 + shared / size)) / 16), 6) AS identity FROM sh JOIN s ON s.doc_id = a AND s.fragment = sh.fragment GROUP BY 1, 2""")
+def kmer_fragment_identity(spark, d):
+    pairs = screened(spark, d).select("a", "b")
+    return tags.kmer_identity(pairs, read(spark, d, "documents"), "doc_id", "text").withColumn("identity", F.round("identity", 6))
+
+
+@query(f"""WITH {_SCREEN}, m AS (SELECT a, b, x.tag, min(list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END))) AS d FROM pairs JOIN dt x ON x.doc_id = a JOIN dt y ON y.doc_id = b GROUP BY 1, 2, 3)
+  SELECT a, b, CAST(count(*) FILTER (d = 0) AS BIGINT) AS n0, CAST(count(*) FILTER (d = 1) AS BIGINT) AS n1, CAST(count(*) FILTER (d = 2) AS BIGINT) AS n2, CAST(count(*) FILTER (d > 2) AS BIGINT) AS n_miss FROM m GROUP BY 1, 2""")
+def strata_counts(spark, d):
+    pairs = screened(spark, d).select("a", "b")
+    t = document_tag_strings(spark, d).distinct()
+    mine = pairs.join(t.withColumnRenamed("doc_id", "a"), "a")
+    theirs = pairs.join(t.withColumnRenamed("doc_id", "b"), "b")
+    matches = tags.tolerant_pairs(mine, theirs, ["a", "b", "enzyme"], "tag", 2, 24).select("a", "b", "enzyme", F.col("a_tag").alias("tag"), "distance")
+    return tags.strata(mine, matches, ["a", "b"], ["tag"]).drop("enzyme")
+
+
+def line_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a supplier as tags, a return flag as enzyme, the quantity as number of differences."""
+    q, e = F.col("l_quantity"), F.col("l_returnflag")
+    n = [F.sum(F.when((q > lo) & (q <= hi), 1).otherwise(0)).alias(c) for c, lo, hi in (("n0", 0, 30), ("n1", 30, 42), ("n2", 42, 46), ("n_miss", 46, 1000))]
+    return read(spark, d, "lineitem").groupBy("l_suppkey", e.alias("enzyme")).agg(*n).withColumn("tag_len", F.when(F.col("enzyme") == "A", 32).otherwise(27)).withColumn("body_len", F.when(F.col("enzyme") == "A", 26).when(F.col("enzyme") == "N", 20).otherwise(21))
+
+
+_STRATA = """st AS (SELECT l_suppkey, l_returnflag AS e, CASE l_returnflag WHEN 'A' THEN 32.0 ELSE 27.0 END AS k, CASE l_returnflag WHEN 'A' THEN 26.0 WHEN 'N' THEN 20.0 ELSE 21.0 END AS b,
+  count(*) FILTER (l_quantity > 0 AND l_quantity <= 30) * 1.0 AS n0, count(*) FILTER (l_quantity > 30 AND l_quantity <= 42) * 1.0 AS n1, count(*) FILTER (l_quantity > 42 AND l_quantity <= 46) * 1.0 AS n2, count(*) FILTER (l_quantity > 46) * 1.0 AS miss FROM lineitem GROUP BY 1, 2)"""
+_P = "(pow(a, k) + b * (1 - a) * pow(a, k - 1) + b * (b - 1) / 2 * pow(1 - a, 2) * pow(a, k - 2))"
+_DP = "(k * pow(a, k - 1) + b * ((k - 1) * (1 - a) * pow(a, k - 2) - pow(a, k - 1)) + b * (b - 1) / 2 * ((k - 2) * pow(1 - a, 2) * pow(a, k - 3) - 2 * (1 - a) * pow(a, k - 2)))"
+_SCORE = f"(n0 * k / a + n1 * ((k - 1) / a - 1 / (1 - a)) + n2 * ((k - 2) / a - 2 / (1 - a)) - miss * {_DP} / (1 - {_P}))"
+
+
+def _bisection(above: str) -> str:
+    return f"""it(l_suppkey, step, lo, hi) AS (SELECT DISTINCT l_suppkey, 0, CAST(0.5 AS DOUBLE), CAST(0.999999 AS DOUBLE) FROM st UNION ALL
+  SELECT l_suppkey, step + 1, CASE WHEN up THEN a ELSE lo END, CASE WHEN up THEN hi ELSE a END FROM (SELECT l_suppkey, step, lo, hi, a, {above} AS up FROM (SELECT l_suppkey, step, lo, hi, (lo + hi) / 2 AS a FROM it WHERE step < 50) JOIN st USING (l_suppkey) GROUP BY 1, 2, 3, 4, 5))"""
+
+
+@query(f"WITH RECURSIVE {_STRATA}, {_bisection(f'sum({_SCORE}) > 0')} SELECT l_suppkey, round((lo + hi) / 2, 4) AS ani_uniform FROM it WHERE step = 50")
+def uniform_mle(spark, d):
+    return fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_uniform", 4).alias("ani_uniform"))
+
+
+@query(f"WITH RECURSIVE {_STRATA}, {_bisection(f'sum((n0 + n1 + n2 + miss) * {_P}) < sum(n0 + n1 + n2)')} SELECT l_suppkey, round((lo + hi) / 2, 4) AS ani_from_loss FROM it WHERE step = 50")
+def loss_inversion(spark, d):
+    return fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_from_loss", 4).alias("ani_from_loss"))
+
+
+@query()
+def gamma_mle(spark, d):
+    fits = fit_pairs(line_strata(spark, d), ["l_suppkey"])
+    return fits.select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("ani", "std_err", "lrt", "retention", "enzyme_spread", "enzyme_chi2")], "supported", "n_tags")
+
+
+@query()
+def ani_upper95(spark, d):
+    return fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_upper95", 4).alias("ani_upper95"))
+
+
+def document_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Places of tags that two screened documents share; tags are unique enough after the repeat filter."""
+    t = tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"], 1).select("doc_id", "pos", "tag")
+    pairs = screened(spark, d).select("a", "b")
+    x = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("pos").alias("q_pos"), "tag"), "a")
+    return x.join(t.select(F.col("doc_id").alias("b"), F.col("pos").alias("r_pos"), "tag"), ["b", "tag"]).select("a", "b", F.col("a").alias("q_contig"), F.col("b").alias("r_contig"), F.lit(False).alias("reverse"), "q_pos", "r_pos")
+
+
+@query()
+def chain_blocks(spark, d):
+    return chains.chains(document_anchors(spark, d), ["a", "b"], 3)
+
+
+@query()
+def breakpoints_synteny(spark, d):
+    return chains.synteny(chain_blocks(spark, d), ["a", "b"])
+
+
+@query()
+def sv_calls(spark, d):
+    return chains.structural_calls(chain_blocks(spark, d), ["a", "b"], 50)
+
+
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_linenumber >= 6 AND l_quantity >= 49)"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a),
+  c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1), s AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS rn FROM c GROUP BY 1)
+  SELECT node, component, size, 'sp' || lpad(CAST(rn AS VARCHAR), 4, '0') AS label FROM c JOIN s USING (component)""")
+def connected_components(spark, d):
+    e = read(spark, d, "lineitem").where("l_linenumber >= 6 AND l_quantity >= 49").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
+    return graph.label_by_size(graph.connected_components(e)).select("node", "component", "size", "label")
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query()
+def ridge_band_holdout(spark, d):
+    m = measured(spark, d).withColumn("y", F.col("t2") - F.col("truth"))
+    models, _ = calibrate.band_holdout(m, FEATURES, "y", "band")
+    from ..operators.metrics import grouped_errors
+
+    return grouped_errors(m.withColumn("pred", calibrate.by_band(models, "band")), "band", "pred", "y")
+
+
+_MODEL = calibrate.Ridge(FEATURES, [25.0, 0.05, 0.04], [25.5, 0.05, 0.04], [14.4, 0.03, 0.026], [0.8, -1.5, 0.25], 2.0, 1.0)
+
+
+@query(f"""WITH {MEASURED} SELECT band, round(avg(2.0 + 0.8 * (coalesce(l_quantity, 25.0) - 25.5) / 14.4 - 1.5 * (coalesce(l_discount, 0.05) - 0.05) / 0.03 + 0.25 * (coalesce(l_tax, 0.04) - 0.04) / 0.026), 6) AS score FROM measured GROUP BY 1""")
+def linear_score(spark, d):
+    return measured(spark, d).groupBy("band").agg(F.round(F.avg(_MODEL.column()), 6).alias("score"))
+
+
+_TREES = [
+    {"feature": "p_size", "threshold": 20, "left": {"feature": "p_retailprice", "threshold": 1200, "left": {"value": 1.0}, "right": {"value": 2.5}}, "right": {"value": -1.0}},
+    {"feature": "p_retailprice", "threshold": 1000, "left": {"value": 0.5}, "right": {"feature": "p_size", "threshold": 35, "left": {"value": -0.25}, "right": {"value": 3.0}}},
+]
+
+
+@query("""SELECT p_partkey, round(10.0 + 0.1 * CASE WHEN p_size <= 20 THEN CASE WHEN p_retailprice <= 1200 THEN 1.0 ELSE 2.5 END ELSE -1.0 END + 0.1 * CASE WHEN p_retailprice <= 1000 THEN 0.5 ELSE CASE WHEN p_size <= 35 THEN -0.25 ELSE 3.0 END END, 6) AS pred FROM part""")
+def gbrt_infer(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.round(calibrate.forest(_TREES, 10.0, 0.1), 6).alias("pred"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS e, CAST(l_linenumber AS BIGINT) AS x FROM lineitem)
+  SELECT l_orderkey, l_linenumber, round(CASE WHEN x % 3 = 0 THEN e / (e + 2 * x) WHEN x % 3 = 1 THEN (e + x - x) / (e + x) ELSE e / (e + x) END, 6) AS identity FROM p""")
+def cigar_identity(spark, d):
+    e, x = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    cigar = F.when(x % 3 == 0, F.concat(e.cast("string"), F.lit("="), x.cast("string"), F.lit("X"), x.cast("string"), F.lit("I5S"))).otherwise(F.concat((e + x).cast("string"), F.lit("M")))
+    nm = F.when(x % 3 == 1, x)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.cigar_identity(cigar, e, e + x, nm), 6).alias("identity"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY 1""")
+def str_map_parse(spark, d):
+    pairs = F.str_to_map(F.translate("props", '{}" ', ""), F.lit(","), F.lit(":"))
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.element_at(pairs, "k").try_cast("long")).alias("k_sum"))
+
 
