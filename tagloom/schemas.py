@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+_KINDS = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "long": LongType()}
+
+
+def ddl(text: str) -> StructType:
+    """A schema from 'name type, ...', without a session."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in text.split(", "))])
 
-ddl = StructType.fromDDL
 
 # Column names and order of the exchanged tables.
 PAIR_FEATURES = ddl(
