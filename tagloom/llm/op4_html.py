@@ -5,8 +5,9 @@ length and link density call each block good, bad or ambiguous; a block inside
 a menu, footer, sidebar, notice, advert, form or comment section (by element or
 by the words of its class, id or role) is bad. Second pass: an ambiguous block,
 which is short or poor in stop words, takes the label of its nearest decided
-neighbours; where these disagree, or there are none, a block of an article
-element is kept and another is dropped. Where a page has an article element
+neighbours. Where the two sides disagree a block of an article element is
+kept, and another goes with the nearer side, the one before it if both are as
+near; without any, a block of an article element is kept. Where a page has an article element
 with text, blocks outside of it are bad.
 
 Pages are handled one by one where they lie, without a shuffle. Null and empty
@@ -180,21 +181,23 @@ def classify(page: list[Block]) -> list[Block]:
             else:
                 b.label = "ambiguous" if stops >= SPARSE or b.core else "bad"
     decided = [b.label for b in page]
-    before: list[str] = []
-    last = ""
-    for b, label in zip(page, decided, strict=True):
-        before.append(last)
-        if label != "ambiguous" and not (has_core and (b.outside or not b.core)):
-            last = label
-    after, last = [""] * len(page), ""
-    for i in range(len(page) - 1, -1, -1):
-        after[i] = last
-        if decided[i] != "ambiguous" and not (has_core and (page[i].outside or not page[i].core)):
-            last = decided[i]
-    for i, b in enumerate(page):
+
+    def look(order: range) -> list[tuple[int, str]]:
+        out, last = [(len(page), "")] * len(page), None
+        for i in order:
+            if last is not None:
+                out[i] = (abs(i - last), decided[last])
+            if decided[i] != "ambiguous" and not (has_core and (page[i].outside or not page[i].core)):
+                last = i
+        return out
+
+    near = list(zip(look(range(len(page))), look(range(len(page) - 1, -1, -1)), strict=True))
+    for b, ((d1, before), (d2, after)) in zip(page, near, strict=True):
         if b.label == "ambiguous":
-            near = {before[i], after[i]} - {""}
-            b.label = near.pop() if len(near) == 1 else ("good" if b.core else "bad")
+            if before == after or not (before and after):
+                b.label = before or after or ("good" if b.core else "bad")
+            else:
+                b.label = "good" if b.core else before if d1 <= d2 else after
     return page
 
 
