@@ -1,0 +1,121 @@
+"""Exact-truth simulators: changed copies of sequences with what was changed.
+
+A row's draw depends on the seed and its id alone, so a task that is run again
+makes the same sequence.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+BASES = np.frombuffer(b"ACGT", np.uint8)
+_CODE = np.full(256, 255, np.uint8)
+_CODE[BASES] = np.arange(4)
+
+
+def _rng(seed: int, ident: object) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(str(ident).encode())])
+
+
+def _array(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode(), np.uint8).copy()
+
+
+def substitute(s: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Another base at each place."""
+    out = s.copy()
+    code = _CODE[s[at]]
+    out[at] = np.where(code < 4, BASES[(code.astype(np.int64) + rng.integers(1, 4, len(at))) % 4], s[at])
+    return out
+
+
+def counted_substitutions(s: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Exactly n changed places."""
+    return substitute(s, rng.choice(len(s), min(n, len(s)), replace=False), rng)
+
+
+def random_substitutions(s: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
+    return substitute(s, np.flatnonzero(rng.random(len(s)) < p), rng)
+
+
+def mosaic_substitutions(s: np.ndarray, mean: float, shape: float, block: int, rng: np.random.Generator) -> np.ndarray:
+    """Rates gamma-distributed over blocks, scaled to the mean and at most 0.75."""
+    rate = rng.gamma(shape, 1 / shape, -(-len(s) // block))
+    rate = np.minimum(rate / max(rate.mean(), 1e-12) * mean, 0.75)
+    return substitute(s, np.flatnonzero(rng.random(len(s)) < np.repeat(rate, block)[: len(s)]), rng)
+
+
+def reverse_complement(s: np.ndarray) -> np.ndarray:
+    code = _CODE[s[::-1]]
+    return np.where(code < 4, BASES[3 - np.minimum(code, 3)], s[::-1])
+
+
+def invert(s: np.ndarray, start: int, end: int) -> np.ndarray:
+    return np.concatenate([s[:start], reverse_complement(s[start:end]), s[end:]])
+
+
+def inversion_ladder(s: np.ndarray, n: int, share: float = 0.5) -> np.ndarray:
+    """n inversions, evenly spaced and of equal length: 2n breakpoints."""
+    step = len(s) // max(n, 1)
+    for i in range(n):
+        s = invert(s, i * step + step // 4, i * step + step // 4 + int(step * share))
+    return s
+
+
+def delete(s: np.ndarray, start: int, n: int) -> np.ndarray:
+    return np.concatenate([s[:start], s[start + n :]])
+
+
+def insert(s: np.ndarray, start: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    return np.concatenate([s[:start], rng.choice(BASES, n), s[start:]])
+
+
+def translocate(s: np.ndarray, start: int, n: int, to: int) -> np.ndarray:
+    piece, rest = s[start : start + n], delete(s, start, n)
+    return np.concatenate([rest[:to], piece, rest[to:]])
+
+
+def fragment_lengths(n: int, n50: float, rng: np.random.Generator, least: int = 500) -> list[int]:
+    """Exponential lengths of the mean that gives about this N50; pieces shorter than `least` join the one before."""
+    out: list[int] = []
+    while n > 0:
+        x = min(n, max(least, int(rng.exponential(n50 / np.log(2) / 2))))
+        if n - x < least:
+            x = n
+        out.append(x)
+        n -= x
+    return out
+
+
+def apply(sequences: DataFrame, ident: str, seq: str, change: Callable[[np.ndarray, np.random.Generator], np.ndarray], seed: int = 0) -> DataFrame:
+    """sequences with seq changed, and n_changed: places that differ if the length stayed, else null."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            before = [_array(s) for s in pdf[seq]]
+            after = [change(s, _rng(seed, i)) for s, i in zip(before, pdf[ident], strict=True)]
+            n = pd.array([int((a != b).sum()) if len(a) == len(b) else None for a, b in zip(before, after, strict=True)], "Int64")
+            yield pdf[[ident]].assign(**{seq: [a.tobytes().decode() for a in after], "n_changed": n})
+
+    kind = sequences.schema[ident].dataType.simpleString()
+    return sequences.select(ident, seq).mapInPandas(run, f"{ident} {kind}, {seq} string, n_changed long")
+
+
+def fragments(sequences: DataFrame, ident: str, seq: str, n50: float, seed: int = 0) -> DataFrame:
+    """ident, fragment, seq: pieces that cover each sequence."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for i, s in zip(pdf[ident], pdf[seq], strict=True):
+                at = 0
+                for k, n in enumerate(fragment_lengths(len(s), n50, _rng(seed, i))):
+                    rows.append((i, k, s[at : at + n]))
+                    at += n
+            yield pd.DataFrame(rows, columns=[ident, "fragment", seq])
+
+    kind = sequences.schema[ident].dataType.simpleString()
+    return sequences.select(ident, seq).mapInPandas(run, f"{ident} {kind}, fragment int, {seq} string")

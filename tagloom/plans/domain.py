@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.likelihood import fit_pairs
-from ..operators import calibrate, chains, graph, ranking, tags
+from ..operators import calibrate, chains, graph, metrics, mixture, ranking, simulate, tags
 from .catalog import MEASURED, measured, query, read
 
 _TAGS = """tags AS (SELECT doc_id, p AS pos, substr(text, p + 1, 24) AS tag FROM (SELECT doc_id, text, unnest(range(0, length(text) - 23)) AS p FROM documents WHERE length(text) >= 24)
@@ -181,9 +181,7 @@ FEATURES = ["l_quantity", "l_discount", "l_tax"]
 def ridge_band_holdout(spark, d):
     m = measured(spark, d).withColumn("y", F.col("t2") - F.col("truth"))
     models, _ = calibrate.band_holdout(m, FEATURES, "y", "band")
-    from ..operators.metrics import grouped_errors
-
-    return grouped_errors(m.withColumn("pred", calibrate.by_band(models, "band")), "band", "pred", "y")
+    return metrics.grouped_errors(m.withColumn("pred", calibrate.by_band(models, "band")), "band", "pred", "y")
 
 
 _MODEL = calibrate.Ridge(FEATURES, [25.0, 0.05, 0.04], [25.5, 0.05, 0.04], [14.4, 0.03, 0.026], [0.8, -1.5, 0.25], 2.0, 1.0)
@@ -220,3 +218,16 @@ def str_map_parse(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.element_at(pairs, "k").try_cast("long")).alias("k_sum"))
 
 
+
+
+@query()
+def mixture_npmle(spark, d):
+    return mixture.fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_mixture", 4).alias("ani_mixture"), F.round("loglik_mixture", 2).alias("loglik_mixture"))
+
+
+@query("""SELECT doc_id, CAST(least(25, length(s)) AS BIGINT) AS n_changed, length(s) AS n FROM (SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS s FROM documents)""")
+def simulate_counted(spark, d):
+    s = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), "etaoinshrdlucmfwypvbgkjqxz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+    bases = read(spark, d, "documents").select("doc_id", s.alias("s"))
+    changed = simulate.apply(bases, "doc_id", "s", lambda x, rng: simulate.counted_substitutions(x, 25, rng))
+    return changed.select("doc_id", "n_changed", F.length("s").cast("long").alias("n"))

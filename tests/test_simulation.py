@@ -1,0 +1,33 @@
+import numpy as np
+import pytest
+
+from tagloom.functions.likelihood import Strata
+from tagloom.operators import mixture, simulate
+
+
+def test_counted_changes_and_repeatability(spark):
+    r = np.random.default_rng(0)
+    df = spark.createDataFrame([("a", "".join(r.choice(list("ACGT"), 1000))), ("b", "".join(r.choice(list("ACGT"), 500)))], "id string, s string")
+    change = lambda s, rng: simulate.counted_substitutions(s, 37, rng)
+    one, two = (sorted(map(tuple, simulate.apply(df, "id", "s", change, 5).collect())) for _ in range(2))
+    assert one == two and [x[2] for x in one] == [37, 37]
+    pieces = simulate.fragments(df, "id", "s", 200).orderBy("id", "fragment").collect()
+    assert "".join(p["s"] for p in pieces if p["id"] == "a") == df.first()["s"]
+
+
+def test_rearrangements():
+    s = np.frombuffer(b"AACCGGTTAC" * 20, np.uint8)
+    assert (simulate.invert(simulate.invert(s, 10, 50), 10, 50) == s).all()
+    assert (simulate.translocate(simulate.translocate(s, 10, 20, 60), 60, 20, 10) == s).all()
+    assert len(simulate.insert(simulate.delete(s, 5, 30), 5, 30, np.random.default_rng(0))) == len(s)
+    assert (simulate.inversion_ladder(s, 0) == s).all() and (simulate.inversion_ladder(s, 2) != s).any()
+
+
+def test_mixture_recovers_two_rates():
+    k, b = np.array([[32.0]]), np.array([[26.0]])
+    p = [np.exp(Strata(k, b, np.zeros((1, 1, 3)), np.zeros((1, 1))).log_found(np.array([a])))[0, 0] for a in (0.999, 0.93)]
+    found = 5000 * p[0] + 5000 * p[1]
+    s = Strata(k, b, found[None, None, :], np.array([[10_000 - found.sum()]]))
+    w, loglik = mixture.fit(s)
+    assert w.sum() == pytest.approx(1) and np.isfinite(loglik[0])
+    assert w[0][mixture.GRID < 0.01].sum() == pytest.approx(0.5, abs=0.05)
