@@ -5,8 +5,8 @@ from texts labelled bad. A text is cut into pieces of a few kilobytes, each
 piece is compressed with either dictionary, and the normalised difference of
 the two summed sizes, (bad - good) / (bad + good), goes through a logistic
 curve fitted to labelled texts that the dictionaries have not seen. A second
-input of the curve is how far the smaller size falls below that of ordinary
-prose: a word repeated over and over is small under either dictionary.
+input of the curve is how far the size without any dictionary falls below that
+of ordinary prose: a word repeated over and over is small under either.
 
 Training takes a bounded sample of the labelled rows: at most `max_rows` of
 each label, in the order of a hash of their id, of texts of at most
@@ -37,7 +37,7 @@ PIECE = 4096
 DICTIONARY = 256 * 1024
 LEVEL = 3
 #: Bytes of a frame that holds nothing, and compressed bytes for each byte of ordinary prose.
-OVERHEAD, USUAL = 6, 0.25
+OVERHEAD, USUAL = 6, 0.3
 
 
 @dataclass
@@ -52,7 +52,7 @@ class Model:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
             d.precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return out
+        return [*out, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b, c = self.weights
@@ -60,11 +60,11 @@ class Model:
 
 
 def features(text: bytes, compressors: list[zstandard.ZstdCompressor]) -> tuple[float, float]:
-    """The normalised difference of the two sizes, and how far the better one falls short of half a byte for each byte of the text."""
+    """The normalised difference of the two sizes, and how far the size without a dictionary falls short of that of ordinary prose."""
     if not text:
         return 0.0, 0.0
-    good, bad = (sum(len(c.compress(text[i : i + PIECE])) - OVERHEAD for i in range(0, len(text), PIECE)) for c in compressors)
-    return (bad - good) / max(1, bad + good), max(0.0, USUAL - min(good, bad) / len(text))
+    good, bad, plain = (sum(len(c.compress(text[i : i + PIECE])) - OVERHEAD for i in range(0, len(text), PIECE)) for c in compressors)
+    return (bad - good) / max(1, bad + good), max(0.0, USUAL - plain / len(text))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
