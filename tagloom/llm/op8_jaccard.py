@@ -6,8 +6,9 @@ class, found by a 128-bit hash of the set, and only classes are compared.
 
 1. A sketch of fixed size counts the words of all documents. A shingle is as
    rare as its rarest word; this and its hash order all shingles.
-2. Similar classes are put into groups: those with the same least hash of a
-   shingle, split by a hash of the class into groups of about GROUP.
+2. Similar classes are put into groups: each goes with the one of its rarest
+   shingles, its prefix, that most other classes have in theirs. Groups are
+   split by a hash of the class into groups of about GROUP.
 3. The matrix has a row for each shingle and group: the union of the prefixes
    of the group's members. With t = percent / 100, two sets that link share at
    least min(SHARED, ceil(t * n)) of their first n - ceil(t * n) + SHARED
@@ -43,7 +44,7 @@ from .components import Forest, connected_components
 
 CELL_BITS = 21
 SKETCH_ROWS = 64
-GROUP = 64
+GROUP = 256
 SHARED = 2
 SMALL_ROWS = 200_000
 
@@ -111,7 +112,7 @@ def nodes(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, node, least (hash), prefix of each row."""
+    """doc_id, n, node, prefix of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(word_sketch(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,20 +123,20 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 some = np.flatnonzero(n)
                 begin = (np.cumsum(n) - n)[some]
                 node: list[bytes | None] = [None] * (last - first)
-                least: list[int | None] = [None] * (last - first)
                 ends = np.zeros(last - first + 1, np.int64)
                 if len(some):
-                    for i, x, y in zip(some.tolist(), nodes(h, begin), signed(np.minimum.reduceat(mix(h + np.uint64(1)), begin)).tolist(), strict=True):
-                        node[i], least[i] = x, y
+                    names = nodes(h, begin)
                     take = np.minimum(n, n - -(-n * percent // 100) + SHARED)
                     rank = np.arange(len(h)) - (np.cumsum(n) - n)[d]
                     h = h[rank < take[d]]
                     ends = np.r_[0, np.cumsum(np.where(n > 0, take, 0))]
+                    for i, x in zip(some.tolist(), names, strict=True):
+                        node[i] = x
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(h)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), pa.array(least, pa.int64()), prefix], names=["doc_id", "n", "node", "least", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), prefix], names=["doc_id", "n", "node", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, least long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -211,31 +212,29 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node (the class; null if empty), component_id of every row of docs."""
     rows = materialize(profiles(docs, k, percent))
     some = rows.where("node IS NOT NULL")
-    classes = some.groupBy("node").agg(F.min(F.struct("doc_id", "n", "least")).alias("first")).select("node", "first.*")
-    sizes = classes.groupBy("least").agg(F.count("*").alias("size")).where("size > 1")
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("named"), F.min(F.struct("doc_id")).alias("first")).select("node", "named", F.col("first.doc_id").alias("first_id"))
+    of_class = some.select("doc_id", "node", "n", "prefix").join(classes.select("node", "first_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    cells = of_class.select(F.explode("prefix").alias("token"), "node", F.col("n").cast("int").alias("n")).repartition("token")
+    carriers = cells.groupBy("token").agg(F.countDistinct("node").alias("df")).where("df > 1")
+    shared = materialize(cells.join(carriers, "token"))
+
+    leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m")).select("node", F.col("m.token").alias("leader"))
+    sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
-    group = F.when(F.col("size").isNull(), F.xxhash64(F.lit(1), "node")).otherwise(F.xxhash64(F.lit(2), "least", salt))
-    grouped = materialize(classes.join(small(sizes, SMALL_ROWS), "least", "left").select("node", "doc_id", "n", group.alias("g"), F.col("size").isNotNull().alias("several")))
+    grouped = materialize(leaders.join(small(sizes, SMALL_ROWS), "leader").select("node", F.xxhash64("leader", salt).alias("g"), (F.col("size") > 1).alias("several")))
 
     t = percent / 100
-    cells = (
-        some.select("doc_id", "node", F.explode("prefix").alias("token"))
-        .join(grouped.select("node", F.col("doc_id").alias("first_id"), "g", "n"), "node")
-        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("token", "g", F.col("n").cast("int").alias("n"))
-        .repartition("token")
-    )
-    shared = cells.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
-    matrix = materialize(cells.join(shared, "token").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    matrix = materialize(shared.join(grouped.select("node", "g"), "node").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     x, y = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high")]) for i in (1, 2))
     need = F.least(F.lit(SHARED), F.ceil(F.least("low1", "low2") * F.lit(t)).cast("int"))
     fits = (F.col("high2") >= F.floor(F.col("low1") * t)) & (F.col("high1") >= F.floor(F.col("low2") * t))
     opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & fits).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").select("g1", "g2")
     opened = materialize(opened)
 
-    involved = opened.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
-    open_nodes = grouped.join(involved, "g", "left_semi").unionByName(grouped.where("several")).select("node", "doc_id", "g").distinct()
-    blocks = full_sets(docs, k).join(small(open_nodes.withColumnRenamed("doc_id", "first_id"), SMALL_ROWS), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    involved = opened.select(F.col("g1").alias("g")).union(opened.select("g2")).distinct()
+    open_nodes = grouped.join(involved, "g", "left_semi").select("node", "g").union(grouped.where("several").select("node", "g")).distinct()
+    wanted = open_nodes.join(classes.select("node", "first_id"), "node")
+    blocks = full_sets(docs, k).join(small(wanted, SMALL_ROWS), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     blocks = materialize(blocks.groupBy("g").agg(F.collect_list(F.struct("node", "members")).alias("block")))
     nothing = F.lit(None).cast(blocks.schema["block"].dataType)
     within = blocks.where(F.size("block") > 1).select(F.col("block").alias("left"), nothing.alias("right"))
@@ -243,8 +242,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = compare(within, percent).union(compare(across, percent))
 
     component = connected_components(links)
-    named = classes.select("node", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = classes.select("node", "named").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("named").alias("component_id"))
     of_node = named.join(names, "component").select("node", "component_id")
     return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
