@@ -213,10 +213,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = materialize(profiles(docs, k, percent))
     some = rows.where("node IS NOT NULL")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("named"), F.min(F.struct("doc_id")).alias("first")).select("node", "named", F.col("first.doc_id").alias("first_id"))
-    of_class = some.select("doc_id", "node", "n", "prefix").join(classes.select("node", "first_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    cells = of_class.select(F.explode("prefix").alias("token"), "node", F.col("n").cast("int").alias("n")).repartition("token")
-    carriers = cells.groupBy("token").agg(F.countDistinct("node").alias("df")).where("df > 1")
-    shared = materialize(cells.join(carriers, "token"))
+    of_class = some.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))  # the same in all rows of a class
+    cells = of_class.select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
+    # Both sides of this join read all columns of cells, so they share one exchange.
+    carriers = cells.groupBy("token").agg(F.countDistinct("node").alias("df"), F.min("n").alias("least"), F.max("n").alias("most"))
+    carriers = carriers.where((F.col("df") > 2) | (F.col("df") == 2) & (F.col("least") >= F.floor(F.col("most") * F.lit(percent / 100))))
+    shared = materialize(cells.join(carriers.select("token", "df"), "token"))
 
     leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m")).select("node", F.col("m.token").alias("leader"))
     sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"))
@@ -231,14 +233,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & fits).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").select("g1", "g2")
     opened = materialize(opened)
 
-    involved = opened.select(F.col("g1").alias("g")).union(opened.select("g2")).distinct()
-    open_nodes = grouped.join(involved, "g", "left_semi").select("node", "g").union(grouped.where("several").select("node", "g")).distinct()
+    yes, no = F.lit(True), F.lit(False)
+    sides = opened.select(F.col("g1").alias("g"), yes.alias("is_left"), no.alias("is_right")).union(opened.select("g2", no, yes)).groupBy("g").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+    open_nodes = grouped.join(sides, "g", "left").where(F.col("several") | F.col("is_left").isNotNull()).drop("several")
     wanted = open_nodes.join(classes.select("node", "first_id"), "node")
     blocks = full_sets(docs, k).join(small(wanted, SMALL_ROWS), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    blocks = materialize(blocks.groupBy("g").agg(F.collect_list(F.struct("node", "members")).alias("block")))
+    blocks = materialize(blocks.groupBy("g").agg(F.first("is_left").alias("is_left"), F.first("is_right").alias("is_right"), F.collect_list(F.struct("node", "members")).alias("block")))
     nothing = F.lit(None).cast(blocks.schema["block"].dataType)
     within = blocks.where(F.size("block") > 1).select(F.col("block").alias("left"), nothing.alias("right"))
-    across = opened.join(blocks.select(F.col("g").alias("g1"), F.col("block").alias("left")), "g1").join(blocks.select(F.col("g").alias("g2"), F.col("block").alias("right")), "g2")
+    left, right = (blocks.where(f"is_{side}").select(F.col("g").alias(g), F.col("block").alias(side)) for side, g in (("left", "g1"), ("right", "g2")))
+    across = opened.join(left, "g1").join(right, "g2")
     links = compare(within, percent).union(compare(across, percent))
 
     component = connected_components(links)
