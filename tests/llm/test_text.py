@@ -266,6 +266,35 @@ def test_lm_base(spark, docs, odd, empty):
     assert len(pair) == 2 and pair[0]["base_score"] == pair[1]["base_score"]
 
 
+def test_lm_learns_from_every_training_document(spark):
+    long = "quartz basalt " * 700  # over 8,000 characters
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, prose(30, i), "en", "s", 1) for i in ids[:20]] + [(ids[20], long, "en", "s", 1)]
+    out = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2)
+    probes = [(out, "quartz basalt " * 20, "en", "s", 1), (out, "marble shale " * 20, "en", "s", 1)]
+    got = {r["n_known"]: r["score"] for r in op5.scores(spark.createDataFrame(rows + probes, DOCS).repartition(3)).collect() if r["doc_id"] == out}
+    assert got[41] > got[1] + 20
+
+
+def test_lm_sums_are_of_all_rows(spark, docs):
+    coded = op5.code(docs.withColumn("train", op5.training(F.col("doc_id")))).where("train")
+    streams = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in coded.collect()]
+    counts = op5.totals(coded, op5.N_IDS, lambda s: s)
+    assert (counts == sum(np.bincount(s, minlength=op5.N_IDS) for s in streams)).all()
+    leaf, _ = attention.share_leaves(counts)
+    follows = op5.totals(coded, (attention.LEAVES + 1) * attention.LEAVES, lambda s: attention.followers(leaf[s])).reshape(-1, attention.LEAVES)
+    assert (follows == attention.follow_counts(streams, leaf)).all()
+    w = attention.Learner(np.random.default_rng(0)).weights
+    names, fixed = sorted(w), attention.after(follows)
+    got, n = op5.summed_gradients(coded, leaf, w | fixed, names)
+    x, at, live = zip(*[attention.windows(leaf[s]) for s in streams])
+    want, m = attention.gradients(w | fixed, np.concatenate(x), np.concatenate([leaf[s][a] for s, a in zip(streams, at)]), np.concatenate(live))
+    assert n == m == sum(map(len, streams))
+    assert all(np.allclose(got[k], want[k], rtol=1e-3, atol=1e-3) for k in names)
+    x, _, live = op5.sample(coded, leaf, 1.0)
+    assert live.sum() == n and len(x) == sum(-(-len(s) // attention.STRIDE) for s in streams)
+
+
 # --- 7
 
 def test_merkle(spark, docs, odd, empty):
