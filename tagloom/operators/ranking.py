@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,21 +58,30 @@ def round_robin(df: DataFrame, bin_: str, order: Sequence[Column], k: int) -> Da
 
 
 def round_robin_capped(df: DataFrame, band: str, bin_: str, entities: Sequence[str], order: str, k: int, cap: int) -> DataFrame:
-    """As round_robin within each band, but no entity is taken more than cap times. Sequential by nature: a band is one task;
-    only rows that a cap can't have shut out for sure are sent there: the first k * cap * 2 of each bin."""
+    """As round_robin within each band, but no entity is taken more than cap times; null is an entity. Sequential by nature: a band is one task;
+    only rows that may be taken or stand before such a row are sent there.
+
+    At most m * k / cap entities of m columns are ever used up. So of the rows of a bin with the same entities in all columns only the first
+    cap can be taken; of those with the same entities in j of them, others used up refuse (m - j) times as many as j + 1 leave, and cap are taken."""
     columns = [band, bin_, *entities, order]
-    few = top_k(df.select(*columns), [band, bin_], [F.col(order), *[F.col(e) for e in entities]], max(k * cap * 2, 1000), "_rn").drop("_rn")
+    few, by, m = df.select(*columns), [F.col(order), *[F.col(e) for e in entities]], len(entities)
+    most = cap
+    for j in range(m, 0, -1):
+        for same in combinations(entities, j):
+            few = top_k(few, [band, bin_, *same], by, most, "_rn").drop("_rn")
+        most = (cap if j > 1 else k) + m * k // cap * (m - j + 1) * most
+    few = top_k(few, [band, bin_], by, most, "_rn").drop("_rn")
     schema = few.schema
 
     def take(pdf):  # noqa: ANN001, ANN202
         used: dict = {}
-        queues = [g.sort_values([order, *entities]).to_dict("records") for _, g in pdf.groupby(bin_, sort=True)]
+        queues = [deque(g.sort_values([order, *entities]).to_dict("records")) for _, g in pdf.groupby(bin_, sort=True)]
         out = []
         while len(out) < k and any(queues):
             for q in queues:
                 while q:
-                    row = q.pop(0)
-                    names = {row[e] for e in entities}
+                    row = q.popleft()
+                    names = {None if row[e] != row[e] else row[e] for e in entities}
                     if all(used.get(n, 0) < cap for n in names):
                         for n in names:
                             used[n] = used.get(n, 0) + 1

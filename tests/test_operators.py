@@ -160,3 +160,26 @@ def test_pairs_without_order(spark):
     assert rows(joins.unordered(df, "x", "y")) == [("a", "b", 1)]
     ex = spark.createDataFrame([("a", "b")], "x string, y string")
     assert joins.exclude_pairs(df, ex, "x", "y").count() == 1
+
+
+def test_round_robin_caps_behind_one_entity_of_many_rows(spark):
+    rows = [("b", "p", 7, o) for o in range(5000)] + [("b", "p", 100 + o, 5000 + o) for o in range(50)] + [("b", "q", 7, 9000), ("b", "q", 300, 9001)]
+    got = ranking.round_robin_capped(spark.createDataFrame(rows, "band string, bin string, ent long, o long").repartition(5), "band", "bin", ["ent"], "o", 10, 2).collect()
+    assert [r["o"] for r in got] == [0, 9000, 5000, 9001, *range(5001, 5007)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_round_robin_caps_two_columns(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = [("b", "pq"[o % 2], 1 if o < 2000 else int(r.integers(1, 30)), int(r.integers(1, 40)) if o % 3 else 2, o) for o in range(3000)]
+    df = spark.createDataFrame(rows, "band string, bin string, e long, f long, o long").repartition(4)
+    used, out, queues = {}, [], [[x for x in rows if x[1] == b] for b in "pq"]
+    while len(out) < 12 and any(queues):
+        for q in queues:
+            while q and len(out) < 12:
+                x = q.pop(0)
+                if all(used.get(n, 0) < 2 for n in {x[2], x[3]}):
+                    used |= {n: used.get(n, 0) + 1 for n in {x[2], x[3]}}
+                    out.append(x[4])
+                    break
+    assert [x["o"] for x in ranking.round_robin_capped(df, "band", "bin", ["e", "f"], "o", 12, 2).collect()] == out
