@@ -213,6 +213,18 @@ def test_html_frame(spark):
     assert collect(op4.extract(df), "page_id", "text", "n_chars") == [(1, "", 0), (2, "hello", 5)]
 
 
+def test_license_among_other_words():
+    scanner = op3.Scanner()
+    around = "one two three four five six seven eight nine ten " * 3
+    assert scanner.scan(around + "Released under the MIT License. " + around) == {"mit": (1.0, 1)}
+    assert scanner.scan(around + "released under\nthe MIT license, " + around + "\nmore words here") == {"mit": (1.0, 1)}
+    assert scanner.scan("Released under the MIT License.\n" + around + "Released under the MIT License.") == {"mit": (1.0, 2)}
+    assert scanner.scan(around + "the license of MIT was released under pressure " + around) == {}
+    gpl = " ".join(op3.TEMPLATES["gpl-3.0-notice"].split())
+    assert set(scanner.scan(around + gpl + around)) == {"gpl-3.0-notice"}
+    assert scanner.scan(around + "all rights reserved " * 2000)["all-rights-reserved"][0] == 1
+
+
 # --- 5
 
 def test_attention_gradients():
