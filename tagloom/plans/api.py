@@ -36,7 +36,7 @@ def db_open(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001, most_carriers: int = 1000) -> DataFrame:
+def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001, most_carriers: int | None = None) -> DataFrame:
     """a, b of genomes worth a comparison: enough distinct windows in common, over the lesser of a window and its reverse complement."""
     window = C.canonical(F.substring("tag", 5, 18))
     return tags.screen(sketches.select("genome_id", "enzyme", window.alias("key")), "genome_id", ["enzyme", "key"], least_shared, least_containment, most_carriers).select("a", "b")

@@ -28,6 +28,11 @@ def document_tag_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screened(spark: SparkSession, d: str) -> DataFrame:
+    """By the rule of _SCREEN, which leaves out tags of more than 50 documents."""
+    return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"], most_carriers=50)
+
+
+def screened_whole(spark: SparkSession, d: str) -> DataFrame:
     return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"])
 
 
@@ -141,9 +146,9 @@ def ani_upper95(spark, d):
 
 
 def document_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Places of tags that two screened documents share; tags are unique enough after the repeat filter."""
-    t = tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"], 1).select("doc_id", "pos", "tag")
-    pairs = screened(spark, d).select("a", "b")
+    """Places of tags that two screened documents share; tags of at most five places in a document."""
+    t = tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"]).select("doc_id", "pos", "tag")
+    pairs = screened_whole(spark, d).select("a", "b")
     x = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("pos").alias("q_pos"), "tag"), "a")
     return x.join(t.select(F.col("doc_id").alias("b"), F.col("pos").alias("r_pos"), "tag"), ["b", "tag"]).select("a", "b", F.col("a").alias("q_contig"), F.col("b").alias("r_contig"), F.lit(False).alias("reverse"), "q_pos", "r_pos")
 

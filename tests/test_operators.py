@@ -183,3 +183,11 @@ def test_round_robin_caps_two_columns(spark, seed):
                     out.append(x[4])
                     break
     assert [x["o"] for x in ranking.round_robin_capped(df, "band", "bin", ["e", "f"], "o", 12, 2).collect()] == out
+
+
+def test_screen_keeps_keys_of_many_carriers(spark):
+    r = np.random.default_rng(4)
+    sets = {i: {"p", "q", "r", "s"} for i in range(60)} | {i: {"p", "q", "r", *map(str, r.integers(0, 30, 5))} for i in range(60, 75)} | {90: {"p", "z"}}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in [*s, *s]], "id long, tag string").repartition(3)
+    want = [(a, b, n, n / min(len(sets[a]), len(sets[b]))) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) >= 3]
+    assert rows(tags.screen(df, "id", ["tag"])) == sorted(want)
