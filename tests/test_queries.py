@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows of its SQL on the small tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -39,3 +40,26 @@ def test_oracle(spark, db, name):
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, DATA)
     assert df.columns and df.count() >= 0
+
+
+def test_components_of_all_lines(spark, db):
+    edges = db.sql("SELECT DISTINCT l_partkey, -1 - l_suppkey FROM lineitem").fetchall()
+    least = {n: n for e in edges for n in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    got = catalog.QUERIES["connected_components_whole"](spark, DATA).collect()
+    assert {r["node"]: r["component"] for r in got} == least and len(got) == len(least)
+    assert db.sql("SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem").fetchall() == [(len(got),)]
+
+
+def test_bases_beyond_the_prefix_of_the_sql(spark, tmp_path):
+    text = "the quick one " * 9000
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = catalog.QUERIES["reverse_complement_canonical"](spark, str(tmp_path)).collect()
+    s = "".join(c for c in text.translate(str.maketrans("etaoinshrdlucmfwypvbgkjqxz", "ACGTACGTACGTACGTACGTACGTAC")) if c in "ACGT")
+    canonical = min(s, s[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    assert len(text) > 100_000 and (r["n"], r["canonical_md5"]) == (len(s), hashlib.md5(canonical.encode()).hexdigest())
