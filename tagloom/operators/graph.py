@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-
-MOST_ROUNDS = 60
+from ..storage import materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Gives node, component (the least node reachable) of every node of an edge, loops included.
+    """edges: a, b of any one orderable type. Gives node, component (the least node reachable) of every node of an edge, loops included.
 
-    Rounds group and join by node only. Each round's edges go to the shared folder; their number never grows."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    Rounds group and join by node only, and go on until nothing changes, which takes about the logarithm of the longest
+    path. Each round's edges go to the shared folder, and the edges of the round before go from there; their number never grows."""
+    loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
-        current = materialize(stars.distinct())
+        after = materialize(stars.distinct())
+        release(current)
+        current = after
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components didn't settle")
-    return nodes.join(current, nodes["node"] == current["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
+    stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    found = stars.union(centres)
+    return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def label_by_size(members: DataFrame, prefix: str = "sp", digits: int = 4) -> DataFrame:
