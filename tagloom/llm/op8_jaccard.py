@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, shingles, signed, slice_hash, small, spans, table
-from .components import Forest, connected_components
+from ..operators.graph import connected_components
 
 CELL_BITS = 21
 SKETCH_ROWS = 64
@@ -49,6 +49,27 @@ SHARED = 2
 SMALL_ROWS = 200_000
 
 
+class Forest:
+    """Union-find over 0..n-1; union() tells whether it joined two trees."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     starts, ends, docs = spans(data, bounds, NONSPACE)

@@ -25,7 +25,8 @@ FEW = 40
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Of integers; the last one must be less than all others."""
     n = len(text)
-    sa = np.argsort(text, kind="stable").astype(np.int64)
+    narrow = text.astype(np.uint16) if n and text.min() >= 0 and text.max() < 1 << 16 else text  # two bytes are sorted by counting
+    sa = np.argsort(narrow, kind="stable").astype(np.int64)
     isa = np.empty(n, np.int64)
     isa[sa] = np.arange(n)
     first = np.flatnonzero(np.r_[True, np.diff(text[sa]) != 0]) if n else np.zeros(0, np.int64)
@@ -142,14 +143,12 @@ def _order(n: int, sa: np.ndarray, size: np.ndarray, label: np.ndarray, length:
     m_rank, m_label, m_sa = map(memoryview, (rank, label, sa))
     for g, s, step in zip(starts.tolist(), size[starts].tolist(), length[starts].tolist(), strict=True):
         if s > FEW:
-            members = sa[g : g + s].copy()
-            after = members + step
-            times = np.zeros(s, np.int64)
-            active = np.flatnonzero(label[after] == g)
-            while len(active):
-                after[active] += step
-                times[active] += 1
-                active = active[label[after[active]] == g]
+            members = np.sort(sa[g : g + s])
+            members = members[np.argsort(members % step, kind="stable")]
+            # Members that repeat the prefix directly after one another stand side by side now.
+            ends = np.flatnonzero(np.r_[np.diff(members) != step, True])
+            end = np.repeat(ends, np.diff(np.r_[-1, ends]))
+            times, after = end - np.arange(s), members[end] + step
             ordered = members[np.lexsort((rank[after], times))]
             sa[g : g + s] = ordered
             rank[ordered] = np.arange(g, g + s)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 import math
 import re
 import zlib
@@ -21,7 +22,7 @@ from tagloom.llm import op7_merkle as op7
 from tagloom.llm import op8_jaccard as op8
 from tagloom.llm import op9_suffix as op9
 from tagloom.llm import op10_quality as op10
-from tagloom.llm.components import connected_components
+from tagloom.operators.graph import connected_components
 from tagloom.llm.suffixes import suffix_array
 from tagloom.llm.tokens import encoder
 
@@ -403,6 +404,7 @@ def cover(texts):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup_equals_brute_force(spark, docs, hot, monkeypatch, tmp_path):
     monkeypatch.setattr(op9, "HOT_RUNS", hot)
+    monkeypatch.setattr(op9, "SPLIT_RUNS", 2)
     got = {}
     for r in op9.with_repeats(docs).collect():
         raw = (r["text"] or "").encode()
@@ -424,6 +426,29 @@ def test_suffix_dedup_odd_rows(odd, empty):
     assert op9.with_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_short_texts_only(spark):
+    short = spark.createDataFrame([(i, "x" * i) for i in range(49)], "doc_id long, text string").repartition(2)
+    assert all(r["starts"] is None for r in op9.with_repeats(short).collect())
+    mixed = short.union(spark.createDataFrame([(100, "z" * 60), (101, "z" * 60), (102, "y" + "z" * 59)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["starts"], r["ends"]) for r in op9.with_repeats(mixed).collect() if r["starts"]}
+    assert got == {101: ([0], [60]), 102: ([1], [60])}
+
+
+def test_suffix_dedup_clashing_columns_and_repeated_rows(spark):
+    names = ("starts", "ends", "_id", "_crc", "_key", "_text_crc", "digest", "first", "_spans", "id", "crc", "share")
+    rows = [(i, t, *range(len(names))) for i, t in ((1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (2, PASSAGE), (None, PASSAGE), (2, prose(50, 8) + PASSAGE))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    got = sorted((r["doc_id"] or 0, len(r["text"].encode()), r["starts"], r["ends"], r["digest"]) for r in op9.with_repeats(df).collect())
+    n, m = len(PASSAGE.encode()), len((prose(50, 8) + PASSAGE).encode())
+    assert got == [(0, n, None, None, 6), (1, n, None, None, 6), (1, n, None, None, 6), (2, n, [0], [n], 6), (2, n, [0], [n], 6), (2, m, [m - n], [m], 6)]
+
+
+def test_suffix_array_of_one_repeated_character_is_fast():
+    begin = time.time()
+    assert suffix_array(np.r_[np.full(100_000, 5), 0]).tolist() == list(range(100_000, -1, -1))
+    assert time.time() - begin < 2
+
+
 # --- 10
 
 def test_quality(spark, empty):
