@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds group and join by node only, and go on until nothing changes, which takes about the logarithm of the longest
     path. Each round's edges go to the shared folder, and the edges of the round before go from there; their number never grows."""
-    loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
-    current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    given = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current = given.where("u <> v")
     before = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
         after = materialize(stars.distinct())
-        release(current)
+        if before is not None:
+            release(current)
         current = after
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
@@ -32,6 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = stars.union(centres)
+    loops = given.where("u = v").select(F.col("u").alias("node"))
+    if loops.isEmpty():
+        release(given)
+        return found
     return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
