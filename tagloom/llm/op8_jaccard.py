@@ -7,17 +7,22 @@ class, found by a 128-bit hash of the set, and only classes are compared.
 1. A sketch of fixed size counts the words of all documents. A shingle is as
    rare as its rarest word; this and its hash order all shingles.
 2. Similar classes are put into groups: each goes with the one of its rarest
-   shingles, its prefix, that most other classes have in theirs. Groups are
-   split by a hash of the class into groups of about GROUP.
+   shingles, its prefix, that most other classes have in theirs, and with sets
+   of about its size. Groups are split by a hash of the class into groups of
+   about GROUP.
 3. The matrix has a row for each shingle and group: the union of the prefixes
    of the group's members. With t = percent / 100, two sets that link share at
    least min(SHARED, ceil(t * n)) of their first n - ceil(t * n) + SHARED
    shingles. So two groups whose unions share fewer, or whose sizes don't fit,
    cannot hold a link.
-4. Only the qualifying pairs of groups, and groups of several classes, are
-   opened: members are compared exactly, all at once, and the links that first
-   join two of them are kept, fewer than there are members. Components of
-   these links are those of all links.
+4. Members of a group that share enough shingles with others of it are
+   compared exactly, all at once, which gives components within the group.
+5. Of groups that may hold a link, the hubs of their largest components are
+   compared first. Then each class asks a group, as a query that the union
+   bounds, only if the two are not of one component already. An opened group's
+   sets travel once for each GROUP queries. So a family of copies that fills
+   many groups costs a comparison for each pair of groups, not of members.
+   Components of all links found are those of all links.
 
 Nothing is dropped or capped: shingles in many groups only cost more. No two
 rows of one class are ever paired, and a group's members stay below a few
@@ -39,13 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, shingles, signed, slice_hash, small, spans, table
+from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, slice_hash, small, spans, table
 from ..operators.graph import connected_components
 
 CELL_BITS = 21
 SKETCH_ROWS = 64
 GROUP = 256
-SHARED = 2
+SHARED = 3
 SMALL_ROWS = 200_000
 
 
@@ -133,12 +138,12 @@ def nodes(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, node, prefix of each row."""
+    """doc_id, text_hash (xxhash64), n, node, prefix of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(word_sketch(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in chunks(batch.column(1)):
+            for first, last, data, bounds in chunks(batch.column(2)):
                 h, d = sets(data, bounds, k, sent.value)
                 n = np.bincount(d, minlength=last - first)
                 some = np.flatnonzero(n)
@@ -154,10 +159,10 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     for i, x in zip(some.tolist(), names, strict=True):
                         node[i] = x
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(h)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), prefix], names=["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in (0, 1)), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), prefix], names=["doc_id", "text_hash", "n", "node", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node binary, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -202,11 +207,26 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+def _stars(left: list[bytes], link: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each component of the links within a block: its member with most links, beside each other member."""
+    forest = Forest(len(left))
+    for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(link, 1))), strict=True):
+        forest.union(i, j)
+    degree = link.sum(1)
+    hubs: dict[int, int] = {}
+    for i in range(len(left)):
+        root = forest.find(i)
+        if root not in hubs or degree[i] > degree[hubs[root]]:
+            hubs[root] = i
+    pairs = [(left[hubs[forest.find(i)]], left[i]) for i in range(len(left)) if hubs[forest.find(i)] != i]
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
 def compare(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: left and right, arrays of (node, members). Links a, b that join the members, without those that join nothing new."""
+    """pairs: left and right, arrays of (node, members). a, b that join what links join: of left and right, or, where right is null, within left as a star for each component."""
 
     def unpack(group: list[dict]) -> tuple[list[bytes], list[np.ndarray]]:
-        seen = {x["node"]: x["members"] for x in group}
+        seen = {x["node"]: x["members"] for x in sorted(group, key=lambda x: x["node"])}
         return list(seen), [np.frombuffer(x, "<u8") for x in seen.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,14 +234,19 @@ def compare(pairs: DataFrame, percent: int) -> DataFrame:
             out_a, out_b = [], []
             for row in range(batch.num_rows):
                 left, x = unpack(batch.column(0)[row].as_py())
-                right, y = (left, x) if batch.column(1)[row].as_py() is None else unpack(batch.column(1)[row].as_py())
-                same = right is left
+                within = batch.column(1)[row].as_py() is None
+                right, y = (left, x) if within else unpack(batch.column(1)[row].as_py())
                 both = intersections(x, y)
                 size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
                 link = 100 * both >= percent * (size - both)
-                forest = Forest(len(left) if same else len(left) + len(right))
-                for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(link, 1) if same else link)), strict=True):
-                    if forest.union(i, j if same else len(left) + j) and left[i] != right[j]:
+                if within:
+                    a, b = _stars(left, link)
+                    out_a += a
+                    out_b += b
+                    continue
+                forest = Forest(len(left) + len(right))
+                for i, j in zip(*(z.tolist() for z in np.nonzero(link)), strict=True):
+                    if forest.union(i, len(left) + j) and left[i] != right[j]:
                         out_a.append(left[i])
                         out_b.append(right[j])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
@@ -229,52 +254,109 @@ def compare(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """A table of node, members of the wanted nodes; only the texts of their first rows are read as sets."""
+    wanted = wanted.join(classes.select("node", "first_id"), "node")
+    few = small(wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_first")), SMALL_ROWS)
+    texts = docs.select("doc_id", "text").join(few.select("_first").distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    found = full_sets(texts, k).join(few, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return materialize(found.groupBy("node").agg(F.first("members").alias("members")))
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, node (the class; null if empty), component_id of every row of docs."""
-    rows = materialize(profiles(docs, k, percent))
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, node (the class; null if empty), root (the class that stands for the component), component_id of every row of docs."""
+    t = percent / 100
+    need = lambda n: F.least(F.lit(SHARED), F.ceil(n * F.lit(t)).cast("int"))
+    fits = lambda n, low, high: (F.col(high) >= F.floor(F.col(n) * t)) & (F.col(n) >= F.floor(F.col(low) * t))
+
+    profiled = materialize(profiles(docs, k, percent))
+    rows = materialize(profiled.drop("prefix"))
     some = rows.where("node IS NOT NULL")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("named"), F.min(F.struct("doc_id")).alias("first")).select("node", "named", F.col("first.doc_id").alias("first_id"))
-    of_class = some.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))  # the same in all rows of a class
-    cells = of_class.select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
-    # Both sides of this join read all columns of cells, so they share one exchange.
-    carriers = cells.groupBy("token").agg(F.countDistinct("node").alias("df"), F.min("n").alias("least"), F.max("n").alias("most"))
-    carriers = carriers.where((F.col("df") > 2) | (F.col("df") == 2) & (F.col("least") >= F.floor(F.col("most") * F.lit(percent / 100))))
-    shared = materialize(cells.join(carriers.select("token", "df"), "token"))
-
-    leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m")).select("node", F.col("m.token").alias("leader"))
+    of_class = profiled.where("node IS NOT NULL").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))  # the same in all rows of a class
+    exploded = of_class.select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
+    # Both sides of this join read all columns of exploded, so they share one exchange.
+    carriers = exploded.groupBy("token").agg(F.countDistinct("node").alias("df"), F.min("n").alias("least"), F.max("n").alias("most"))
+    carriers = carriers.where((F.col("df") > 2) | (F.col("df") == 2) & (F.col("least") >= F.floor(F.col("most") * F.lit(t))))
+    shared = materialize(exploded.join(carriers.select("token", "df"), "token"))
+    release(profiled)
+
+    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(t) if t < 1 else F.col("n")).cast("long")
+    leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m"), F.first("n").alias("n")).select("node", F.xxhash64("m.token", band).alias("leader"))
     sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
-    grouped = materialize(leaders.join(small(sizes, SMALL_ROWS), "leader").select("node", F.xxhash64("leader", salt).alias("g"), (F.col("size") > 1).alias("several")))
+    grouped = leaders.join(small(sizes, SMALL_ROWS), "leader").select("node", F.xxhash64("leader", salt).alias("g"))
+    cells = materialize(shared.select("token", "node", "n").join(grouped, "node"))
+    release(shared)
+    members = cells.select("node", "g").distinct()
 
-    t = percent / 100
-    matrix = materialize(shared.join(grouped.select("node", "g"), "node").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    # The matrix: a row for each shingle and group.
+    matrix = materialize(cells.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("carriers")))
     x, y = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high")]) for i in (1, 2))
-    need = F.least(F.lit(SHARED), F.ceil(F.least("low1", "low2") * F.lit(t)).cast("int"))
-    fits = (F.col("high2") >= F.floor(F.col("low1") * t)) & (F.col("high1") >= F.floor(F.col("low2") * t))
-    opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & fits).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").select("g1", "g2")
+    both_fit = (F.col("high2") >= F.floor(F.col("low1") * t)) & (F.col("high1") >= F.floor(F.col("low2") * t))
+    opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & both_fit).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(need(F.least("low1", "low2"))).alias("need")).where("c >= need").select("g1", "g2")
     opened = materialize(opened)
 
-    yes, no = F.lit(True), F.lit(False)
-    sides = opened.select(F.col("g1").alias("g"), yes.alias("is_left"), no.alias("is_right")).union(opened.select("g2", no, yes)).groupBy("g").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
-    open_nodes = grouped.join(sides, "g", "left").where(F.col("several") | F.col("is_left").isNotNull()).drop("several")
-    wanted = open_nodes.join(classes.select("node", "first_id"), "node")
-    blocks = full_sets(docs, k).join(small(wanted, SMALL_ROWS), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    blocks = materialize(blocks.groupBy("g").agg(F.first("is_left").alias("is_left"), F.first("is_right").alias("is_right"), F.collect_list(F.struct("node", "members")).alias("block")))
-    nothing = F.lit(None).cast(blocks.schema["block"].dataType)
-    within = blocks.where(F.size("block") > 1).select(F.col("block").alias("left"), nothing.alias("right"))
-    left, right = (blocks.where(f"is_{side}").select(F.col("g").alias(g), F.col("block").alias(side)) for side, g in (("left", "g1"), ("right", "g2")))
-    across = opened.join(left, "g1").join(right, "g2")
-    links = compare(within, percent).union(compare(across, percent))
-
-    component = connected_components(links)
-    named = classes.select("node", "named").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("named").alias("component_id"))
-    of_node = named.join(names, "component").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Within each group: members that share enough shingles with others of it.
+    own = cells.join(matrix.where("carriers > 1").select("token", "g"), ["token", "g"]).groupBy("node", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", "g")
+    own = materialize(own)
+    of_own = sets_of(docs, own.select("node"), classes, k)
+    block = F.collect_list(F.struct("node", "members"))
+    blocks = own.join(of_own, "node").groupBy("g").agg(block.alias("left")).where(F.size("left") > 1)
+    nothing = F.lit(None).cast(blocks.schema["left"].dataType)
+    stars = materialize(compare(blocks.withColumn("right", nothing), percent))
+
+    # Between groups, first the hubs of their largest components.
+    local = members.join(stars.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left").select("node", "g", F.coalesce("hub", "node").alias("hub"))
+    local = materialize(local)
+    largest = local.groupBy("g", "hub").agg(F.count("*").alias("c")).where("c > 1").groupBy("g").agg(F.max(F.struct("c", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
+    hubs = largest.join(of_own, largest["hub"] == of_own["node"]).select("g", F.array(F.struct("node", "members")).alias("block"))
+    left, right = (hubs.select(F.col("g").alias(f"g{i}"), F.col("block").alias(side)) for i, side in ((1, "left"), (2, "right")))
+    bridges = materialize(compare(opened.join(left, "g1").join(right, "g2"), percent))
+    release(of_own, own)
+    joined = connected_components(bridges)
+    labelled = materialize(local.join(joined.select(F.col("node").alias("hub"), "component"), "hub", "left").select("node", "g", F.coalesce("component", "hub").alias("component")))
+    release(local)
+
+    # Then each member asks the groups that it may have a link to, but for those that its own component has most of.
+    per_group = labelled.groupBy("g", "component").agg(F.count("*").alias("c"))
+    mains = per_group.groupBy("g").agg(F.max(F.struct("c", "component")).alias("m")).select("g", F.col("m.component").alias("main"))
+    with_main = opened.join(mains.select(F.col("g").alias("g2"), "main"), "g2")
+    ways = with_main.select(F.col("g1").alias("g"), F.col("g2").alias("other"), "main").union(with_main.select("g2", "g1", "main"))
+    askers = per_group.select("g", "component").join(ways, "g").where(F.col("component") != F.col("main")).select("g", "component", "other")
+    asking = cells.join(labelled.select("node", "component"), "node").join(askers, ["g", "component"]).select("token", "node", "n", "other")
+    hits = asking.join(matrix.select("token", F.col("g").alias("other"), "low", "high"), ["token", "other"]).where(fits("n", "low", "high")).select("node", "n", "other", "token")
+    hits = materialize(hits)
+    asks = hits.groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", "other")
+    asks = materialize(asks)
+    tokens = hits.join(asks, ["node", "other"]).select(F.col("other").alias("g"), "token").distinct()
+    asked = cells.join(tokens, ["g", "token"]).groupBy("node", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", F.col("g").alias("other"))
+    asked = materialize(asked)
+    release(hits, cells, matrix, labelled, opened)
+    of_asks = sets_of(docs, asks.select("node").union(asked.select("node")).distinct(), classes, k)
+    parts = asks.groupBy("other").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    queries = asks.join(parts, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).alias("part"))
+    answers = asked.join(parts, "other").select("node", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    left, right = (side.join(of_asks, "node").groupBy("other", "part").agg(block.alias(name)) for side, name in ((queries, "left"), (answers, "right")))
+    found = materialize(compare(left.join(right, ["other", "part"]), percent))
+    release(asks, asked, of_asks)
+
+    # Nodes are known by their least doc_id first, so a component's least node names it.
+    key = F.struct(F.col("named").isNull().alias("no_name"), F.col("named").alias("name"), F.col("node").alias("node"))
+    keyed = materialize(classes.select("node", key.alias("key")))
+    links = stars.union(bridges).union(found)
+    ends = links.join(keyed.withColumnsRenamed({"node": "a", "key": "ka"}), "a").join(keyed.withColumnsRenamed({"node": "b", "key": "kb"}), "b")
+    component = connected_components(ends.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    release(stars, bridges, found, keyed)
+    of_node = component.select(F.col("node.node").alias("node"), F.col("component.name").alias("_name"), F.col("component.node").alias("_root"))
+    out = rows.join(of_node, "node", "left")
+    named = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_least"))
+    out = out.join(named, "node", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", F.coalesce("_root", "node").alias("root"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("_name", "_least")).alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), k=3, percent=90).drop("node")
+    return join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = r"""
