@@ -36,7 +36,7 @@ one result. Other columns play no part, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ GRAM = 12
 FLUSH_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 SHARE_BYTES = 16 << 20
-BUCKET_RUNS = 16_384
+BUCKET_RUNS = 32_768
 SAMPLE_DOCS, SAMPLE_PART, SAMPLE_LEAST = 262_144, 32, 1_024
 HOT_RUNS = 64
 SPLIT_RUNS = 4_096
@@ -63,6 +63,7 @@ SLICES = ((0, 9), (10, 19), (20, 29), (30, 38))
 RECORD = np.dtype([("key", "<u4"), ("slices", "<u2", (len(SLICES),)), ("start", "<u4"), ("more", "u1")])
 OPENED = np.dtype([("id", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("place", "<u4"), ("more", "u1"), ("split", "u1")])
 HEAD = np.dtype([("id", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("at", "<u4"), ("split", "u1")])
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("crc", "<u4"), ("start", "<u4")])
 SPAN = np.dtype([("id", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("length", "<u4")])
 
 
@@ -278,7 +279,11 @@ def deal(texts: DataFrame, shares: int, hot: Heat) -> DataFrame:
 
 def _by_document(rows: np.ndarray, doc_shares: int) -> tuple[list[int], list[bytes]]:
     """Rows with id and crc, packed by share of the documents."""
-    share = (rows["id"] ^ rows["crc"].astype(np.int64)) % doc_shares
+    return _by_share(rows, lambda x: (x["id"] ^ x["crc"].astype(np.int64)) % doc_shares)
+
+
+def _by_share(rows: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> tuple[list[int], list[bytes]]:
+    share = of(rows)
     order = np.argsort(share, kind="stable")
     rows, share = rows[order], share[order]
     return [int(share[a]) for a, _ in blocks(share)], [rows[a:b].tobytes() for a, b in blocks(share)]
@@ -354,7 +359,7 @@ def fetch(opened: DataFrame, texts: DataFrame, doc_shares: int, buckets: int) ->
     return keyed.groupBy("doc_share").cogroup(opened.select("doc_share", "opened").groupBy("doc_share")).applyInArrow(run, FETCHED)
 
 
-SORTED = "doc_share long, spans binary, id long, crc long, start long, a long, b long"
+SORTED = "doc_share long, spans binary, window_share long, windows binary"
 
 
 def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
@@ -374,7 +379,8 @@ def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
     size = np.array([len(x) for x in texts])
     begin = np.cumsum(size + 1) - size - 1
     joined = np.zeros(int((size + 1).sum()) + 1, np.int64)
-    joined[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
+    body = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    joined[:-1] = body.astype(np.int64) + 2
     joined[begin + size] = 1
     order = suffix_array(joined)
     owner = np.repeat(np.arange(len(texts)), size + 1)
@@ -390,8 +396,8 @@ def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, ~same])
     best = np.zeros(len(joined), np.int64)
     best[at] = np.repeat(np.minimum.reduceat(low[owner[at]], cut), np.diff(np.r_[cut, len(at)]))
-    blobs: list[tuple] = []
-    late: list[tuple] = []
+    spans: list[tuple] = []
+    late = []
     for a in range(0, len(head), 65_536):
         part = head[a : a + 65_536]
         n = size[part["at"]] - LENGTH + 1
@@ -405,32 +411,42 @@ def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
             span = np.zeros(len(x), SPAN)
             span["id"], span["crc"] = part["id"][of[x]], part["crc"][of[x]]
             span["start"], span["length"] = part["start"][of[x]] + k[x], y - x + LENGTH
-            blobs += zip(*_by_document(span, doc_shares), strict=True)
-        for x in np.flatnonzero(~seen & (part["split"] > 0)[of]).tolist():
-            p, j = part[of[x]], int(k[x])
-            d = hashlib.blake2b(texts[p["at"]][j : j + LENGTH], digest_size=16).digest()
-            late.append((int(p["id"]), int(p["crc"]), int(p["start"]) + j, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-    none, nothing = [None] * len(blobs), [None] * len(late)
-    where, packed = zip(*blobs, strict=True) if blobs else ((), ())
-    rest = list(zip(*late, strict=True)) or [()] * 5
-    arrays = [pa.array([*where, *nothing], pa.int64()), pa.array([*packed, *nothing], pa.binary()), *(pa.array([*none, *c], pa.int64()) for c in rest)]
-    return pa.Table.from_arrays(arrays, names=["doc_share", "spans", "id", "crc", "start", "a", "b"])
+            spans += zip(*_by_document(span, doc_shares), strict=True)
+        rest = np.flatnonzero(~seen & (part["split"] > 0)[of])
+        if len(rest):
+            window = np.zeros(len(rest), WINDOW)
+            for c in ("id", "crc"):
+                window[c] = part[c][of[rest]]
+            window["start"] = part["start"][of[rest]] + k[rest]
+            where = begin[part["at"]][of[rest]] + k[rest]
+            raw = memoryview(body)
+            hashes = b"".join(hashlib.blake2b(raw[w : w + LENGTH], digest_size=16).digest() for w in where.tolist())
+            window["a"], window["b"] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+            late.append(window)
+    windows: list[tuple] = []
+    if late:
+        windows += zip(*_by_share(np.concatenate(late), lambda x: (x["a"] % np.uint64(doc_shares)).astype(np.int64)), strict=True)
+    none, nothing = [None] * len(spans), [None] * len(windows)
+    (where, packed), (share, rest) = (zip(*x, strict=True) if x else ((), ()) for x in (spans, windows))
+    return pa.Table.from_arrays([pa.array([*where, *nothing], pa.int64()), pa.array([*packed, *nothing], pa.binary()), pa.array([*none, *share], pa.int64()), pa.array([*none, *rest], pa.binary())], names=["doc_share", "spans", "window_share", "windows"])
 
 
 def gather(found: DataFrame, doc_shares: int) -> DataFrame:
     """id, crc, starts, ends: the merged spans of each document, from what sort_bucket gives."""
-    rest = found.where("spans IS NULL")
-    firsts = rest.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("a", "b", "first")
-    late = rest.select("id", "crc", "start", "a", "b").join(firsts, ["a", "b"]).where("id > first").select("id", "crc", "start")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            span = np.zeros(batch.num_rows, SPAN)
-            for c, name in enumerate(("id", "crc", "start")):
-                span[name] = batch.column(c).to_numpy()
-            span["length"] = LENGTH
-            where, blobs = _by_document(span, doc_shares)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_share", "spans"])
+    def meet(rows: pa.Table) -> pa.Table:
+        """Windows of split anchors that an earlier document has in another bucket."""
+        w = np.concatenate([np.frombuffer(b, WINDOW) for b in rows.column("windows").to_pylist()])
+        w = w[np.lexsort((w["id"], w["b"], w["a"]))]
+        head = np.flatnonzero(np.r_[True, (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])])
+        least = np.repeat(w["id"][head], np.diff(np.r_[head, len(w)]))
+        w = w[least < w["id"]]
+        span = np.zeros(len(w), SPAN)
+        for c in ("id", "crc", "start"):
+            span[c] = w[c]
+        span["length"] = LENGTH
+        where, blobs = _by_document(span, doc_shares)
+        return pa.Table.from_arrays([pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_share", "spans"])
 
     def merge(rows: pa.Table) -> pa.Table:
         x = np.concatenate([np.frombuffer(b, SPAN) for b in rows.column("spans").to_pylist()])
@@ -446,7 +462,8 @@ def gather(found: DataFrame, doc_shares: int) -> DataFrame:
         lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x["start"][new].astype(np.int64), end[last] - of[last] * wide)]
         return pa.Table.from_arrays([pa.array(x["id"][doc]), pa.array(x["crc"][doc].astype(np.int64)), *lists], names=["id", "crc", "starts", "ends"])
 
-    both = found.where("spans IS NOT NULL").select("doc_share", "spans").union(late.mapInArrow(pack, "doc_share long, spans binary"))
+    late = found.where("windows IS NOT NULL").select("window_share", "windows").groupBy("window_share").applyInArrow(meet, "doc_share long, spans binary")
+    both = found.where("spans IS NOT NULL").select("doc_share", "spans").union(late)
     return both.groupBy("doc_share").applyInArrow(merge, "id long, crc long, starts array<long>, ends array<long>")
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FEW = 40
+FEW = 80
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -49,8 +49,30 @@ def _group(n: int, sa: np.ndarray, isa: np.ndarray, size: np.ndarray, label: np.
             _take_many(g, hi, sa, isa, size, label, length, prev)
             hi = g
             continue
+        if hi - g == 1:  # most groups
+            hi = g
+            i = m_sa[g]
+            j = i - 1
+            while j >= 0 and m_label[j] >= g:
+                j = m_prev[j]
+            m_prev[i] = j
+            if j < 0:
+                continue
+            a = m_label[j]
+            s = m_size[a]
+            if s == 1:
+                m_length[a] += m_length[g]
+                continue
+            b = a + s - 1
+            q, at = m_sa[b], m_isa[j]
+            m_sa[at], m_isa[q] = q, at
+            m_sa[b], m_isa[j] = j, b
+            m_size[a], m_size[b] = s - 1, 1
+            m_length[b] = m_length[a] + m_length[g]
+            m_label[j] = b
+            continue
         counts: dict[int, int] = {}
-        for i in sorted(m_sa[g:hi]) if hi - g > 1 else (m_sa[g],):
+        for i in sorted(m_sa[g:hi]):
             j = i - 1
             while j >= 0 and m_label[j] >= g:
                 j = m_prev[j]
