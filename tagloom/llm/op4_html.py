@@ -5,14 +5,17 @@ length and link density call each block good, bad or ambiguous; a block inside
 a menu, footer, sidebar, notice, advert, form or comment section (by element or
 by the words of its class, id or role) is bad. Second pass: an ambiguous block,
 which is short or poor in stop words, takes the label of its nearest decided
-neighbours. Where the two sides disagree a block of an article element is
-kept, and another goes with the nearer side, the one before it if both are as
-near; without any, a block of an article element is kept. Where a page has an article element
-with text, blocks outside of it are bad.
+neighbours; blocks that are bad by their element or class are no neighbours.
+Where the two sides disagree a block of an article element is kept, and another
+goes with the nearer side; of two as near a heading takes the good one, any
+other block the one before. Without any, a block of an article element is kept.
+Where a page has an article element with text, blocks outside of it are bad.
+On a page whose longer blocks hold next to no stop words of the lists, whose
+language is none of theirs then, length and link density alone decide.
 
 Pages are handled one by one where they lie, without a shuffle. Null and empty
-html give an empty text; broken markup never fails, as tags that do not match
-are passed over; repeated pages are extracted one by one; extra columns play
+html give an empty text; broken markup never fails and is read in one pass,
+and end tags that do not match are passed over; repeated pages are extracted one by one; extra columns play
 no part.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,16 +70,16 @@ MARKS = frozenset(
     """.split()
 )
 CORE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 SHORT, LONG = 70, 200
-DENSE, SPARSE = 0.30, 0.15
+DENSE, SPARSE, UNKNOWN = 0.30, 0.15, 0.05
 MOST_LINKED = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[<>\"']")
+# Elements whose content is text up to their end tag.
+RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")}
 _MARKED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,18 +89,86 @@ def marks(attributes: str) -> bool:
     return bool(attributes) and any(not MARKS.isdisjoint(re.split(r"[^a-z]+", (v[1] or v[2] or v[3] or "").lower())) for v in _MARKED.finditer(attributes))
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", "") for text and ("", tag, attributes) for tags, with "/" before the name of end tags, in one pass over the page.
+
+    Comments, declarations and raw elements give nothing. Outside of quotes a tag ends at the next < at the latest, and a
+    quote that is never closed is a character like others, so no part of broken markup is read again and again."""
+    at, n = 0, len(page)
+    closable = {'"': True, "'": True, ">": True}
+
+    def find(what: str, start: int) -> int:
+        """As str.find, but what once wasn't found is not looked for again."""
+        found = page.find(what, start) if closable.get(what, True) else -1
+        if found < 0:
+            closable[what] = False
+        return found
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", ""
+            return
+        if lt > at:
+            yield page[at:lt], "", ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            end = find(">", lt)
+            at = lt + 2 if end < 0 else end + 1
+            continue
+        name = _NAME.match(page, lt + 1)
+        if not name:
+            yield "<", "", ""
+            at = lt + 1
+            continue
+        end = name.end()
+        while True:
+            m = _STOP.search(page, end)
+            if not m:
+                end = n
+                break
+            end = m.start()
+            if m[0] in "<>":
+                break
+            end = max(find(m[0], end + 1), end) + 1
+        attributes = page[name.end() : end]
+        at = end + 1 if page.startswith(">", end) else end
+        tag = name[0].lower()
+        if tag in RAW:
+            close = RAW[tag].search(page, at)
+            at = close.end() if close else n
+            continue
+        yield "", tag, attributes
+
+
 class Block:
-    __slots__ = ("text", "linked", "outside", "core", "label")
+    __slots__ = ("text", "linked", "outside", "core", "heading", "label")
+
+    def __init__(self, text: str, linked: int, outside: bool, core: bool, heading: bool = False) -> None:
+        self.text, self.linked, self.outside, self.core, self.heading, self.label = text, linked, outside, core, heading, ""
+
 
-    def __init__(self, text: str, linked: int, outside: bool, core: bool) -> None:
-        self.text, self.linked, self.outside, self.core, self.label = text, linked, outside, core, ""
+class Open:
+    """An open tag: whether it isn't of the article or is of an article element, with all around it, and where the innermost list or item stands."""
+
+    __slots__ = ("name", "marked", "outside", "core", "is_core", "item")
+
+    def __init__(self, name: str, marked: bool, is_core: bool, around: Open | None, place: int) -> None:
+        self.name, self.marked, self.is_core = name, marked, is_core
+        self.outside = marked or (around is not None and around.outside)
+        self.core = is_core or (around is not None and around.core)
+        self.item = place if name in ("li", "ul", "ol") else around.item if around is not None else -1
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with the length of their linked text and where they stand."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, not of the article, of an article element
-    outside = core = paragraph = False
+    stack: list[Open] = []
+    count: Counter[str] = Counter()
+    outside = core = paragraph = heading = False
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -105,56 +177,54 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, outside or paragraph, core))
+                out.append(Block(text, linked, outside or paragraph, core, heading))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
+    def leave(at: int) -> None:
+        for o in stack[at:]:
+            count[o.name] -= 1
+        del stack[at:]
+
+    for text, tag, attributes in tokens(page):
         if not tag:
-            token = m[0]
-            if m["raw"] is None and (token[0] != "<" or token == "<"):
-                parts.append(token)
-                if links:
-                    linked += len(token.strip())
+            parts.append(text)
+            if links:
+                linked += len(text.strip())
             continue
-        tag = tag.lower()
+        ends, tag = tag[0] == "/", tag.lstrip("/")
         if tag == "br":
             parts.append(" ")
         if tag == "a":
-            links = max(0, links - 1) if m["end"] else links + 1
+            links = max(0, links - 1) if ends else links + 1
         if tag in BLOCKS:
             close()
             links, paragraph = 0, False
+            heading = tag in HEADINGS and not ends
         if tag in VOID:
-            paragraph = paragraph or (tag in BLOCKS and not m["end"] and marks(m["attr"]))
+            paragraph = paragraph or (tag in BLOCKS and not ends and marks(attributes))
             continue
-        if m["end"]:
-            at = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-            if at is not None:
-                changed = any(o or c for _, o, c in open_tags[at:])
-                if changed:
+        if ends:
+            if count[tag]:
+                at = len(stack) - 1
+                while stack[at].name != tag:
+                    at -= 1
+                if any(o.marked or o.is_core for o in stack[at:]):
                     close()
-                del open_tags[at:]
-                if changed:
-                    outside = any(o for _, o, _ in open_tags)
-                    core = any(c for _, _, c in open_tags)
+                leave(at)
+                outside, core = (stack[-1].outside, stack[-1].core) if stack else (False, False)
             continue
-        if m["attr"].endswith("/"):
+        if attributes.endswith("/"):
             continue
-        if tag == "li":  # a list item ends the one before it
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] in ("ul", "ol"):
-                    break
-                if open_tags[i][0] == "li":
-                    del open_tags[i:]
-                    outside, core = any(o for _, o, _ in open_tags), any(c for _, _, c in open_tags)
-                    break
+        if tag == "li" and stack and stack[-1].item >= 0 and stack[stack[-1].item].name == "li":  # a list item ends the one before it
+            leave(stack[-1].item)
+            outside, core = (stack[-1].outside, stack[-1].core) if stack else (False, False)
         marked = tag in ASIDE or tag in HIDDEN or (tag == "header" and not core)
-        marked = marked or (tag not in CORE and tag not in ("body", "html") and marks(m["attr"]))
+        marked = marked or (tag not in CORE and tag not in ("body", "html") and marks(attributes))
         if marked or tag in CORE:
             close()
-        open_tags.append((tag, marked, tag in CORE))
-        outside, core = outside or marked, core or tag in CORE
+        stack.append(Open(tag, marked, tag in CORE, stack[-1] if stack else None, len(stack)))
+        count[tag] += 1
+        outside, core = stack[-1].outside, stack[-1].core
     close()
     return out
 
@@ -167,6 +237,9 @@ def density(text: str) -> float:
 def classify(page: list[Block]) -> list[Block]:
     """Labels every block good or bad."""
     has_core = any(b.core and not b.outside for b in page)
+    inside = [b for b in page if not b.outside and (b.core or not has_core) and b.linked <= MOST_LINKED * len(b.text)]
+    long_ones = [b for b in inside if len(b.text) >= SHORT]
+    known = not long_ones or density(" ".join(b.text for b in long_ones)) >= UNKNOWN  # else the stop words are of other languages
     for b in page:
         n = len(b.text)
         share = b.linked / n
@@ -174,6 +247,8 @@ def classify(page: list[Block]) -> list[Block]:
             b.label = "bad"
         elif n < SHORT:
             b.label = "ambiguous"
+        elif not known:
+            b.label = "good" if n >= LONG else "ambiguous"
         else:
             stops = density(b.text)
             if stops >= DENSE or (stops >= SPARSE and n >= LONG):
@@ -187,7 +262,7 @@ def classify(page: list[Block]) -> list[Block]:
         for i in order:
             if last is not None:
                 out[i] = (abs(i - last), decided[last])
-            if decided[i] != "ambiguous" and not (has_core and (page[i].outside or not page[i].core)):
+            if decided[i] != "ambiguous" and not page[i].outside and (page[i].core or not has_core):
                 last = i
         return out
 
@@ -197,7 +272,7 @@ def classify(page: list[Block]) -> list[Block]:
             if before == after or not (before and after):
                 b.label = before or after or ("good" if b.core else "bad")
             else:
-                b.label = "good" if b.core else before if d1 <= d2 else after
+                b.label = "good" if b.core or (b.heading and d1 == d2) else before if d1 <= d2 else after
     return page
 
 
