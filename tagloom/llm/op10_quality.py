@@ -14,8 +14,9 @@ each label, in the order of a hash of their id, of texts of at most
 one batch at a time.
 
 Null and empty texts score as the curve does at a difference of 0. Rows with
-a null label, labels other than 0 and 1 and repeated label rows beyond the
-first are not learned from. Repeated documents are scored one by one. With no
+a null label and labels other than 0 and 1 are not learned from; of several
+label rows of a document the least label counts. Rows with a null doc_id are
+scored, and not learned from. Repeated documents are scored one by one. With no
 row of either label, every score is 0.5. Other columns are passed over.
 """
 
@@ -46,6 +47,10 @@ class Model:
     bad: bytes
     weights: tuple[float, float, float]
 
+    @property
+    def learned(self) -> bool:
+        return any(self.weights)
+
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
         for raw in (self.good, self.bad):
@@ -119,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: i
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All columns of docs, and the score of the column text."""
+    """All columns of docs, and the score of the column text; a column of docs with the name of the score is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(column)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,8 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, chunks, materialize, prefix_hash, shingles, signed, slice_hash, small, spans, table
@@ -85,11 +84,10 @@ def occurrences(docs: DataFrame, keys: np.ndarray, sizes: list[int], window: int
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 33
         wanted = sent.value
         kind = pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("from", pa.int32()), ("context", pa.string())])
         for batch in batches:
-            for first, last, data, bounds in chunks(batch.column(1)):
+            for first, last, data, bounds in chunks(batch.column(2)):
                 data, starts, ends, docs_, hashes = _words(data, bounds)
                 n = last - first
                 counts = np.bincount(docs_, minlength=n)
@@ -110,16 +108,20 @@ def occurrences(docs: DataFrame, keys: np.ndarray, sizes: list[int], window: int
                         words = b" ".join(raw[s:e] for s, e in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)).decode()
                         found[doc].append({"pos": place - int(begin[doc]), "key": int(h[i : i + 1].view(np.int64)[0]), "from": low - int(begin[doc]), "context": words})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), pa.array(found, pa.list_(kind))], names=["uid", "doc_id", "n_words", "hits"]
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(counts.astype(np.int64)), pa.array(found, pa.list_(kind))], names=["uid", "doc_id", "n_words", "hits"]
                 )
-                uid += n
 
-    schema = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<pos:int,key:long,from:int,context:string>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"uid string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<pos:int,key:long,from:int,context:string>>"
+    return docs.select(row_key().alias("uid"), "doc_id", "text").mapInArrow(run, schema)
+
+
+def row_key() -> Column:
+    """A name for what a row holds, the same wherever and whenever the row is read; rows that repeat doc_id and text share it."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.coalesce(F.octet_length("text"), F.lit(-1)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """uid (numbers the rows of docs), doc_id, n_words, n_hit, item_ids (sorted)."""
+    """uid (row_key of the row), doc_id, n_words, n_hit, item_ids (sorted)."""
     grams = materialize(windows(items, window))
     index = grams.select("words", "m", F.posexplode("keys").alias("offset", "key")).distinct()
     sizes = sorted(r["k"] for r in grams.select("k").distinct().toLocalIterator())  # at most SHINGLE rows
@@ -147,8 +149,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .where(F.array_join(F.slice(F.split("context", " "), F.col("start") - F.col("from") + 1, F.col("m")), " ") == F.col("words"))
         .select("uid", "words", "start", (F.col("start") + F.col("m")).alias("end"))
     )
-    owners = grams.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    found = placed.join(small(owners, SMALL_ROWS), "words").groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    owners = grams.select("words", "item_id").distinct()
+    found = placed.join(small(owners, SMALL_ROWS), "words").groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),

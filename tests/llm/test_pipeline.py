@@ -50,3 +50,47 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert cp.run(spark, folder).count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id int, starts int, score int"
+
+
+def odd_table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t else None, 1, 2, 3) for i, t in texts], ODD)
+
+
+def test_near_duplicates_judges_rows(spark, folder):
+    base, other = prose(90), prose(70)
+    near = base.replace(WORDS[3], WORDS[4], 1) + " end"
+    rows = [(5, base), (5, base), (None, base), (None, near), (7, near), (7, other), (9, other), (9, prose(40)), (None, None), (3, None), (4, ""), (None, "")]
+    out = cp.near_duplicates(spark, odd_table(spark, rows), folder)
+    assert tuple(out.columns) == cp.COLUMNS
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(5, base), (7, other), (9, rows[7][1]), (0, ""), (3, ""), (4, ""), (0, "")])
+
+
+def test_decontamination_judges_rows(spark, folder):
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    clean = prose(50)
+    rows = [(1, clean), (1, bench), (None, "so " + bench), (None, clean), (2, None), (3, "")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in cp.decontaminate(spark, odd_table(spark, rows), folder).collect())
+    assert got == sorted([(1, clean), (0, clean), (2, ""), (3, "")])
+
+
+def test_repeated_passages_judges_rows(spark, folder):
+    long = prose(40)
+    rows = [(2, long), (2, long), (None, long), (3, long), (1, None), (4, ""), (5, "short")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in cp.repeated_passages(spark, odd_table(spark, rows), folder).collect())
+    assert got == sorted([(2, long), (2, long), (0, long), (3, ""), (1, ""), (4, ""), (5, "short")])
+
+
+def test_stages_on_empty_tables(spark, folder, tmp_path):
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_quality_without_labels_keeps_all(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert cp.quality(spark, docs, str(tmp_path)).count() == docs.count()

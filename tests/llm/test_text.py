@@ -209,6 +209,22 @@ def test_html():
     assert "tiny" in op4.main_text(plain) and "x" not in op4.main_text(plain).split("\n")
 
 
+def test_html_reads_broken_markup_in_one_pass():
+    began = time.time()
+    for bad in ("<a " * 330_000, "<b>" * 160_000 + "</x>" * 120_000, "<a '\"" * 200_000, "<!" * 500_000, "<ul><li>" + "<b>" * 100_000 + "<li></i>" * 60_000, "<p class='" * 100_000):
+        op4.main_text(bad)
+    assert time.time() - began < 20
+    assert op4.main_text("<p>This is the text of a page that has an open quote in <a href=\"x>one of the links</a> that it has, and it is long enough to be kept as it is.") != ""
+
+
+def test_html_headings_and_other_languages():
+    text = "It was the best of times, and it was the worst of times, as they say in the book that we all have read at school."
+    page = f"<nav><a href='/'>Home</a></nav><h1>A short headline</h1><p>{text}</p><p>{text}</p><footer>Imprint</footer>"
+    assert op4.main_text(page) == f"A short headline\n{text}\n{text}"
+    strange = "Zxqv brunt okole miznar tuvpel jaska worlim denkur pashti ovreel kanduz. " * 4
+    assert op4.main_text(f"<div>{strange}</div><div><a href='/'>{strange}</a></div>") == strange.strip()
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<article><p>hello</p></article>", "x")], "page_id long, url string, html string, text string")
     assert collect(op4.extract(df), "page_id", "text", "n_chars") == [(1, "", 0), (2, "hello", 5)]
