@@ -250,14 +250,26 @@ def test_attention_gradients():
     w = {k: v.astype(np.float64) for k, v in m.weights.items()}
     x, at, live = attention.windows(m.leaf[streams[0]])
     t = m.leaf[streams[0]][at][live]
+    h = attention.contexts(streams[0], m.begins)[at][live]
+    without = {"n1": w["n1"].copy(), "n2": w["n2"].copy()}
 
-    def loss(w):
+    def loss(w):  # of one target at a time, without its own count
         c = attention.forward(w, x)
-        return -attention.heads(w, c["z"][live], t, c["x"][:, attention.WIDTH - attention.STRIDE :][live])[0].sum()
+        last = c["x"][:, attention.WIDTH - attention.STRIDE :][live]
+        total = 0
+        for i in range(len(t)):
+            cls, sub = t[i] // attention.SIDE, t[i] % attention.SIDE
+            a, b = attention.cell1(h[i : i + 1])[0], attention.cell2(h[i : i + 1], np.array([cls]))[0]
+            without["n1"][a, cls] -= 1
+            without["n2"][b, sub] -= 1
+            total -= attention.heads(w | without, c["z"][live][i : i + 1], t[i : i + 1], last[i : i + 1], h[i : i + 1])[0][0]
+            without["n1"][a, cls] += 1
+            without["n2"][b, sub] += 1
+        return total
 
     c = attention.forward(w, x)
     g = {}
-    _, d = attention.heads(w, c["z"][live], t, c["x"][:, attention.WIDTH - attention.STRIDE :][live], g)
+    _, d = attention.heads(w, c["z"][live], t, c["x"][:, attention.WIDTH - attention.STRIDE :][live], h, g)
     dz = np.zeros_like(c["z"])
     dz[live] = d
     attention.backward(w, c, dz, g)
@@ -306,22 +318,47 @@ def test_lm_learns_from_every_training_document(spark):
 
 
 def test_lm_sums_are_of_all_rows(spark, docs):
-    coded = op5.code(docs.withColumn("train", op5.training(F.col("doc_id")))).where("train")
+    coded = op5.code(docs.withColumn("train", op5.training(F.col("doc_id"))).withColumn("text_hash", F.xxhash64("text"))).where("train")
     streams = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in coded.collect()]
     counts = op5.totals(coded, op5.N_IDS, lambda s: s)
     assert (counts == sum(np.bincount(s, minlength=op5.N_IDS) for s in streams)).all()
     leaf, _ = attention.share_leaves(counts)
     follows = op5.totals(coded, (attention.LEAVES + 1) * attention.LEAVES, lambda s: attention.followers(leaf[s])).reshape(-1, attention.LEAVES)
-    assert (follows == attention.follow_counts(streams, leaf)).all()
+    assert (follows.ravel() == np.bincount(np.concatenate([attention.followers(leaf[s]) for s in streams]), minlength=follows.size)).all()
+    begins = op5.word_beginnings()
+    cells = op5.totals(coded, 2 * attention.CELLS * attention.SIDE, lambda s: attention.context_cells(leaf[s], attention.contexts(s, begins)))
+    assert cells.sum() == 2 * sum(map(len, streams))
     w = attention.Learner(np.random.default_rng(0)).weights
-    names, fixed = sorted(w), attention.after(follows)
-    got, n = op5.summed_gradients(coded, leaf, w | fixed, names)
-    x, at, live = zip(*[attention.windows(leaf[s]) for s in streams])
-    want, m = attention.gradients(w | fixed, np.concatenate(x), np.concatenate([leaf[s][a] for s, a in zip(streams, at)]), np.concatenate(live))
+    names, fixed = sorted(w), attention.after(follows) | attention.context_counts(cells)
+    got, n = op5.summed_gradients(coded, leaf, begins, w | fixed, names, part=1)
+    x, t, live, h = (np.concatenate(c) for c in zip(*[op5._windows(s, leaf, begins) for s in streams]))
+    want, m = attention.gradients(w | fixed, x, t, live, h)
     assert n == m == sum(map(len, streams))
     assert all(np.allclose(got[k], want[k], rtol=1e-3, atol=1e-3) for k in names)
-    x, _, live = op5.sample(coded, leaf, 1.0)
-    assert live.sum() == n and len(x) == sum(-(-len(s) // attention.STRIDE) for s in streams)
+    parts = [op5.summed_gradients(coded, leaf, begins, w | fixed, names, part=3)[1]]
+    assert 0 < parts[0] < n
+    x, _, live, h = op5.sample(coded, leaf, begins, 1.0)
+    assert live.sum() == n and len(x) == len(h) == sum(-(-len(s) // attention.STRIDE) for s in streams)
+
+
+def test_word_contexts():
+    ids = np.array([5, 7, 7, 5, 7, 7, 9])
+    begins = np.zeros(10, bool)
+    begins[5] = True
+    h = attention.contexts(ids, begins)
+    assert h[1] == h[4] and h[2] == h[5] and h[3] == h[6] and len(set(h.tolist())) == 4
+
+
+def test_scores_by_tables_equal_plain_forward():
+    streams = [np.random.default_rng(i).integers(0, 1500, 70 + i) for i in range(5)]
+    m = attention.train(streams, 1500, np.arange(1500) % 3 == 0, steps=20, batch=8)
+    for s in streams:
+        leaves = m.leaf[s]
+        x, at, live = attention.windows(leaves)
+        c = attention.forward(m.weights, x)
+        last = c["x"][:, attention.WIDTH - attention.STRIDE :]
+        lp, _ = attention.heads(m.weights, c["z"][live], leaves[at][live], last[live], attention.contexts(s, m.begins)[at][live])
+        assert attention.score(m, [s])[0] == pytest.approx((lp.sum(dtype=float) + m.within[s].sum(dtype=float)) / math.log(10), rel=1e-4)
 
 
 # --- 7
