@@ -9,7 +9,7 @@ class, found by a 128-bit hash of the set, and only classes are compared.
 2. Similar classes are put into groups: each goes with the one of its rarest
    shingles, its prefix, that most other classes have in theirs, and with sets
    of about its size. Groups are split by a hash of the class into groups of
-   about GROUP.
+   about GROUP, or of BLOCK_BYTES for long texts.
 3. The matrix has a row for each shingle and group: the union of the prefixes
    of the group's members. With t = percent / 100, two sets that link share at
    least min(SHARED, ceil(t * n)) of their first n - ceil(t * n) + SHARED
@@ -17,16 +17,17 @@ class, found by a 128-bit hash of the set, and only classes are compared.
    cannot hold a link.
 4. Members of a group that share enough shingles with others of it are
    compared exactly, all at once, which gives components within the group.
-5. Of groups that may hold a link, the hubs of their largest components are
-   compared first. Then each class asks a group, as a query that the union
-   bounds, only if the two are not of one component already. An opened group's
-   sets travel once for each GROUP queries. So a family of copies that fills
-   many groups costs a comparison for each pair of groups, not of members.
-   Components of all links found are those of all links.
+5. Queries: a class asks a group of others, if the union holds enough of its
+   prefix. First the hubs of each group's largest component ask the groups that
+   theirs may have a link to, which joins a family of copies that fills many
+   groups with a question for each pair of groups; then each class asks, but
+   not groups that its own component has most of. An opened group's sets travel
+   once for each GROUP questions or so. Components of all links found are those
+   of all links.
 
 Nothing is dropped or capped: shingles in many groups only cost more. No two
-rows of one class are ever paired, and a group's members stay below a few
-hundred however many copies there are.
+rows of one class are ever paired, and a group has about GROUP members at most,
+however many copies there are.
 
 Null and empty texts, and texts without words, have an empty set, no link and
 themselves as component; a null doc_id takes part in links, but names no
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, slice_hash, small, spans, table
@@ -49,7 +50,8 @@ from ..operators.graph import connected_components
 
 CELL_BITS = 21
 SKETCH_ROWS = 64
-GROUP = 256
+GROUP = 1024
+BLOCK_BYTES = 2 << 20
 SHARED = 3
 SMALL_ROWS = 200_000
 
@@ -199,8 +201,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             m[i, at[part[at] == own]] = 1
         return m
 
-    for c in range(0, len(common), 16_384):
-        part = common[c : c + 16_384]
+    for c in range(0, len(common), 4_096):
+        part = common[c : c + 4_096]
         low, high = part[0], part[-1]
         cut = lambda side: [s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in side]  # noqa: B023, E731
         out += dense(cut(left), part) @ dense(cut(right), part).T
@@ -263,12 +265,62 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> D
     return materialize(found.groupBy("node").agg(F.first("members").alias("members")))
 
 
+def _need(n: Column | str, t: float) -> Column:
+    """How many of a set's prefix a set that links with it holds in its own prefix at least."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.least(F.lit(SHARED), F.ceil(n * F.lit(t)).cast("int"))
+
+
+def _need_among(n: str, low: str, high: str, percent: int) -> Column:
+    """How many shingles of its prefix a set of n has to share with the prefix of a set of low to high, if they link.
+
+    Of two sets, all common shingles of the prefix that ends first in the order of shingles are in the other's prefix. So at least
+    (intersection that a link takes) - (shingles behind the longer set's prefix) are common to both prefixes. This is least where
+    the sizes differ most; rounding may move it by one at the upper end."""
+    size, t = F.col(n).cast("long"), percent / 100
+    takes = lambda m: F.floor((percent * (size + m) + (99 + percent)) / (100 + percent))
+    behind = lambda m: F.greatest(F.lit(0).cast("long"), F.floor((percent * m + 99) / 100) - SHARED)
+    smaller, larger = F.greatest(F.col(low).cast("long"), F.floor(size * t)), F.least(F.col(high).cast("long"), F.ceil(size / t))
+    exact = F.least(*[takes(m) - behind(F.greatest(size, m)) - slack for m, slack in ((smaller, 0), (larger, 1))])
+    return F.greatest(_need(n, t), exact.cast("int"))
+
+
+def _most(n: str) -> Column:
+    """How many sets of n shingles are handled at once."""
+    return F.greatest(F.lit(16), F.least(F.lit(GROUP), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col(n))))).cast("long")
+
+
+def ask(docs: DataFrame, questions: DataFrame, cells: DataFrame, matrix: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """questions: node and other, a group that it isn't in. A table of links between nodes and members of these groups.
+
+    A question is dropped where the group's union holds too few of the node's prefix; of the group only members that hold enough of
+    the shingles asked for answer. The answering sets of a group travel once for each part of its questions."""
+    t = percent / 100
+    fits = (F.col("high") >= F.floor(F.col("n") * t)) & (F.col("n") >= F.floor(F.col("low") * t))
+    enough = F.col("c") >= _need("n", t)
+    own = cells.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    sizes = matrix.groupBy("g").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumnRenamed("g", "other")
+    able = questions.join(own, "node").join(sizes, "other").where(fits & (F.col("c") >= _need_among("n", "low", "high", percent))).select("node", "other")
+    asking = cells.select("token", "node", "n").join(able, "node")
+    bounded = asking.join(matrix.select("token", F.col("g").alias("other"), "low", "high"), ["token", "other"]).where(fits)
+    hits = materialize(bounded.select("node", "n", "other", "token", _need_among("n", "low", "high", percent).alias("need")))
+    asks = materialize(hits.groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("need").alias("need")).where("c >= need").select("node", "other", "n"))
+    tokens = hits.join(asks.select("node", "other"), ["node", "other"]).select(F.col("other").alias("g"), "token").distinct()
+    answers = materialize(cells.join(tokens, ["g", "token"]).groupBy("node", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(enough).select("node", F.col("g").alias("other")))
+    release(hits)
+    members = sets_of(docs, asks.select("node").union(answers.select("node")).distinct(), classes, k)
+    parts = asks.groupBy("other").agg(F.count("*").alias("c"), F.max("n").alias("n")).select("other", F.ceil(F.col("c") / _most("n")).cast("long").alias("parts"))
+    left = asks.join(parts, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    right = answers.join(parts, "other").select("node", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left, right = (side.join(members, "node").groupBy("other", "part").agg(F.collect_list(F.struct("node", "members")).alias(name)) for side, name in ((left, "left"), (right, "right")))
+    found = materialize(compare(left.join(right, ["other", "part"]), percent))
+    release(asks, answers, members)
+    return found
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, node (the class; null if empty), root (the class that stands for the component), component_id of every row of docs."""
     t = percent / 100
-    need = lambda n: F.least(F.lit(SHARED), F.ceil(n * F.lit(t)).cast("int"))
-    fits = lambda n, low, high: (F.col(high) >= F.floor(F.col(n) * t)) & (F.col(n) >= F.floor(F.col(low) * t))
-
     profiled = materialize(profiles(docs, k, percent))
     rows = materialize(profiled.drop("prefix"))
     some = rows.where("node IS NOT NULL")
@@ -282,10 +334,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     release(profiled)
 
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(t) if t < 1 else F.col("n")).cast("long")
-    leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m"), F.first("n").alias("n")).select("node", F.xxhash64("m.token", band).alias("leader"))
-    sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
-    grouped = leaders.join(small(sizes, SMALL_ROWS), "leader").select("node", F.xxhash64("leader", salt).alias("g"))
+    leaders = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("m"), F.first("n").alias("n")).select("node", "n", F.xxhash64("m.token", band).alias("leader"))
+    sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"), F.max("n").alias("n")).select("leader", F.ceil(F.col("size") / _most("n")).cast("long").alias("parts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("parts"))
+    grouped = leaders.select("node", "leader").join(small(sizes, SMALL_ROWS), "leader").select("node", F.xxhash64("leader", salt).alias("g"))
     cells = materialize(shared.select("token", "node", "n").join(grouped, "node"))
     release(shared)
     members = cells.select("node", "g").distinct()
@@ -294,11 +346,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     matrix = materialize(cells.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("carriers")))
     x, y = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high")]) for i in (1, 2))
     both_fit = (F.col("high2") >= F.floor(F.col("low1") * t)) & (F.col("high1") >= F.floor(F.col("low2") * t))
-    opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & both_fit).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(need(F.least("low1", "low2"))).alias("need")).where("c >= need").select("g1", "g2")
+    opened = x.join(y, "token").where((F.col("g1") < F.col("g2")) & both_fit).groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(_need(F.least("low1", "low2"), t)).alias("need")).where("c >= need").select("g1", "g2")
     opened = materialize(opened)
 
     # Within each group: members that share enough shingles with others of it.
-    own = cells.join(matrix.where("carriers > 1").select("token", "g"), ["token", "g"]).groupBy("node", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", "g")
+    with_others = cells.join(matrix.where("carriers > 1").select("token", "g", "low", "high"), ["token", "g"])
+    own = with_others.groupBy("node", "g").agg(F.count("*").alias("c"), F.min(_need_among("n", "low", "high", percent)).alias("need")).where("c >= need").select("node", "g")
     own = materialize(own)
     of_own = sets_of(docs, own.select("node"), classes, k)
     block = F.collect_list(F.struct("node", "members"))
@@ -306,16 +359,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nothing = F.lit(None).cast(blocks.schema["left"].dataType)
     stars = materialize(compare(blocks.withColumn("right", nothing), percent))
 
-    # Between groups, first the hubs of their largest components.
-    local = members.join(stars.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left").select("node", "g", F.coalesce("hub", "node").alias("hub"))
-    local = materialize(local)
-    largest = local.groupBy("g", "hub").agg(F.count("*").alias("c")).where("c > 1").groupBy("g").agg(F.max(F.struct("c", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
-    hubs = largest.join(of_own, largest["hub"] == of_own["node"]).select("g", F.array(F.struct("node", "members")).alias("block"))
-    left, right = (hubs.select(F.col("g").alias(f"g{i}"), F.col("block").alias(side)) for i, side in ((1, "left"), (2, "right")))
-    bridges = materialize(compare(opened.join(left, "g1").join(right, "g2"), percent))
+    # Between groups, first the hubs of each group's largest component ask.
+    outside = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    wide = materialize(cells.join(outside, "token", "left_semi"))  # only these can be held by another group
+    local = materialize(members.join(stars.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left").select("node", "g", F.coalesce("hub", "node").alias("hub")))
     release(of_own, own)
-    joined = connected_components(bridges)
-    labelled = materialize(local.join(joined.select(F.col("node").alias("hub"), "component"), "hub", "left").select("node", "g", F.coalesce("component", "hub").alias("component")))
+    largest = local.groupBy("g", "hub").agg(F.count("*").alias("c")).where("c > 1").groupBy("g").agg(F.max(F.struct("c", "hub")).alias("m")).select("g", F.col("m.hub").alias("node"))
+    ways = opened.select(F.col("g1").alias("g"), F.col("g2").alias("other")).union(opened.select("g2", "g1"))
+    bridges = ask(docs, largest.join(ways, "g").select("node", "other"), wide, matrix, classes, k, percent)
+    joined = connected_components(stars.union(bridges))
+    labelled = materialize(local.select("node", "g").join(joined, "node", "left").select("node", "g", F.coalesce("component", "node").alias("component")))
     release(local)
 
     # Then each member asks the groups that it may have a link to, but for those that its own component has most of.
@@ -324,22 +377,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with_main = opened.join(mains.select(F.col("g").alias("g2"), "main"), "g2")
     ways = with_main.select(F.col("g1").alias("g"), F.col("g2").alias("other"), "main").union(with_main.select("g2", "g1", "main"))
     askers = per_group.select("g", "component").join(ways, "g").where(F.col("component") != F.col("main")).select("g", "component", "other")
-    asking = cells.join(labelled.select("node", "component"), "node").join(askers, ["g", "component"]).select("token", "node", "n", "other")
-    hits = asking.join(matrix.select("token", F.col("g").alias("other"), "low", "high"), ["token", "other"]).where(fits("n", "low", "high")).select("node", "n", "other", "token")
-    hits = materialize(hits)
-    asks = hits.groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", "other")
-    asks = materialize(asks)
-    tokens = hits.join(asks, ["node", "other"]).select(F.col("other").alias("g"), "token").distinct()
-    asked = cells.join(tokens, ["g", "token"]).groupBy("node", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node", F.col("g").alias("other"))
-    asked = materialize(asked)
-    release(hits, cells, matrix, labelled, opened)
-    of_asks = sets_of(docs, asks.select("node").union(asked.select("node")).distinct(), classes, k)
-    parts = asks.groupBy("other").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    queries = asks.join(parts, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).alias("part"))
-    answers = asked.join(parts, "other").select("node", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    left, right = (side.join(of_asks, "node").groupBy("other", "part").agg(block.alias(name)) for side, name in ((queries, "left"), (answers, "right")))
-    found = materialize(compare(left.join(right, ["other", "part"]), percent))
-    release(asks, asked, of_asks)
+    found = ask(docs, labelled.join(askers, ["g", "component"]).select("node", "other"), wide, matrix, classes, k, percent)
+    release(cells, wide, matrix, labelled, opened)
 
     # Nodes are known by their least doc_id first, so a component's least node names it.
     key = F.struct(F.col("named").isNull().alias("no_name"), F.col("named").alias("name"), F.col("node").alias("node"))
