@@ -51,7 +51,7 @@ GRAM = 12
 FLUSH_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 SHARE_BYTES = 16 << 20
-BUCKET_RUNS = 32_768
+BUCKET_RUNS = 16_384
 SAMPLE_DOCS, SAMPLE_PART, SAMPLE_LEAST = 262_144, 32, 1_024
 HOT_RUNS = 64
 SPLIT_RUNS = 4_096
@@ -378,9 +378,9 @@ def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
     np.minimum.at(low, head["at"], head["id"])
     size = np.array([len(x) for x in texts])
     begin = np.cumsum(size + 1) - size - 1
-    joined = np.zeros(int((size + 1).sum()) + 1, np.int64)
+    joined = np.zeros(int((size + 1).sum()) + 1, np.uint16)
     body = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    joined[:-1] = body.astype(np.int64) + 2
+    joined[:-1] = body.astype(np.uint16) + 2
     joined[begin + size] = 1
     order = suffix_array(joined)
     owner = np.repeat(np.arange(len(texts)), size + 1)
@@ -394,6 +394,7 @@ def sort_bucket(rows: pa.Table, doc_shares: int) -> pa.Table:
             break
         same[live] = joined[at[live] + k] == joined[at[live + 1] + k]
     cut = np.flatnonzero(np.r_[True, ~same])
+    del order
     best = np.zeros(len(joined), np.int64)
     best[at] = np.repeat(np.minimum.reduceat(low[owner[at]], cut), np.diff(np.r_[cut, len(at)]))
     spans: list[tuple] = []

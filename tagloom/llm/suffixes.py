@@ -23,19 +23,19 @@ FEW = 80
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Of integers; the last one must be less than all others."""
+    """Of fewer than 2**31 integers; the last one must be less than all others."""
     n = len(text)
     narrow = text.astype(np.uint16) if n and text.min() >= 0 and text.max() < 1 << 16 else text  # two bytes are sorted by counting
-    sa = np.argsort(narrow, kind="stable").astype(np.int64)
-    isa = np.empty(n, np.int64)
-    isa[sa] = np.arange(n)
+    sa = np.argsort(narrow, kind="stable").astype(np.int32)
+    isa = np.empty(n, np.int32)
+    isa[sa] = np.arange(n, dtype=np.int32)
     first = np.flatnonzero(np.r_[True, np.diff(text[sa]) != 0]) if n else np.zeros(0, np.int64)
-    size = np.zeros(n + 1, np.int64)
+    size = np.zeros(n + 1, np.int32)
     size[first] = np.diff(np.r_[first, n])
-    label = np.empty(n, np.int64)
+    label = np.empty(n, np.int32)
     label[sa] = np.repeat(first, size[first])
-    length = np.ones(n + 1, np.int64)
-    prev = np.full(n, -1, np.int64)
+    length = np.ones(n + 1, np.int32)
+    prev = np.full(n, -1, np.int32)
     _group(n, sa, isa, size, label, length, prev)
     return _order(n, sa, size, label, length)
 
@@ -158,8 +158,8 @@ def _in(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _order(n: int, sa: np.ndarray, size: np.ndarray, label: np.ndarray, length: np.ndarray) -> np.ndarray:
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.arange(n, dtype=np.int32)
     starts = np.unique(label)
     starts = starts[size[starts] > 1]
     m_rank, m_label, m_sa = map(memoryview, (rank, label, sa))
