@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,9 +61,13 @@ def path_id(c: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.(fasta|fna|fa)(\.gz)?$", "")
 
 
+def reverse_complement(c: Column) -> Column:
+    return F.translate(F.reverse(c), "ACGT", "TGCA")
+
+
 def canonical(c: Column) -> Column:
     """The lesser of a sequence and its reverse complement."""
-    return F.least(c, F.translate(F.reverse(c), "ACGT", "TGCA"))
+    return F.least(c, reverse_complement(c))
 
 
 def gc_fraction(c: Column) -> Column:
@@ -114,3 +120,82 @@ def n50(lengths: Column) -> Column:
     total = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
     step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.when((a["r"] == 0) & ((a["s"] + x) * 2 >= total), x).otherwise(a["r"]).alias("r"))
     return F.aggregate(down, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("r")), step)["r"]
+
+
+def quality_filter(df: DataFrame, completeness: Column, contamination: Column, keys: Sequence[str], least: float = 90, most: float = 5) -> DataFrame:
+    """Rows that are complete and clean enough and have all keys."""
+    return df.where((completeness > least) & (contamination < most)).dropna(subset=list(keys))
+
+
+def window(c: Column, low: float, high: float) -> Column:
+    """low <= c < high."""
+    return (c >= low) & (c < high)
+
+
+def bands_inclusive(c: Column, edges: list[float]) -> Column:
+    """Labels of all bands [low, high], closed on both sides: a value on an inner edge is in two."""
+    labels = [F.when((c >= lo) & (c <= hi), f"{lo:g}-{hi:g}") for lo, hi in zip(edges, edges[1:], strict=False)]
+    return F.array_compact(F.array(*labels))
+
+
+def floor_bin(c: Column, width: float) -> Column:
+    return F.floor(c / width)
+
+
+def truncated_bin(c: Column, low: float, width: float) -> Column:
+    """Cut off towards zero, so the first bin below `low` has number 0 too."""
+    return ((c - low) / width).cast("long")
+
+
+def ratio(a: Column, b: Column, floor: float) -> Column:
+    """a / b, where b counts as `floor` at least."""
+    return a / F.greatest(b, F.lit(floor))
+
+
+def as_percent(df: DataFrame, columns: dict[str, str], most: float = 1.5) -> DataFrame:
+    """Columns under new names, times 100 where no value of the column is over `most`, that is where it holds fractions."""
+    tops = df.agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    out = df.join(F.broadcast(tops))  # one row
+    return out.select("*", *[F.when(F.col(f"_{c}") <= most, F.col(c) * 100).otherwise(F.col(c)).alias(n) for c, n in columns.items()]).drop(*[f"_{c}" for c in columns])
+
+
+def fraction_tier(c: Column, strict: float = 0.5, low: float = 0.15) -> Column:
+    """strict, low or verylow; no value is verylow."""
+    return F.when(clean(c) >= strict, "strict").when(clean(c) >= low, "low").otherwise("verylow")
+
+
+def lrt_gate(lrt: Column, critical: float = 3.841) -> Column:
+    """Whether the second parameter is worth it by the likelihood ratio."""
+    return lrt > critical
+
+
+def bic_gate(lrt: Column, n: Column) -> Column:
+    return lrt > F.log(n)
+
+
+def logistic(c: Column, middle: float, scale: float) -> Column:
+    return 1 / (1 + F.exp(-(c - middle) / scale))
+
+
+def taxonomy(c: Column, names: Sequence[str]) -> dict[str, Column]:
+    """The levels of a lineage d;p;c;...; levels that are missing or empty are null."""
+    parts = F.split(c, ";")
+    return {n: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, n in enumerate(names)}
+
+
+#: Names of the weights of a tag.
+WEIGHTS = ("uniform", "synteny", "position", "gap")
+
+
+def weight(strategy: Column, block_length: Column, position: Column, gap: Column) -> Column:
+    """1; the root of the block's length; 1 + sin(position); or 1 less up to a half by the gap's size, at most 10."""
+    return F.when(strategy == "synteny", F.sqrt(block_length)).when(strategy == "position", 1 + F.sin(position)).when(strategy == "gap", 1 - 0.5 * F.least(F.abs(gap), F.lit(10)) / 10).otherwise(F.lit(1.0))
+
+
+def sdi(conserved: Column, matched: Column) -> Column:
+    """The share of matched tags outside of conserved blocks."""
+    return 1 - F.try_divide(conserved.cast("double"), matched.cast("double"))
+
+
+def composite(ani: Column, sdi_: Column, structure: float = 0.3) -> Column:
+    return ani * (1 - structure * sdi_)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,3 +26,25 @@ def majority(df: DataFrame, key: str, target: str, weight: str, places: int = 6)
     best = sums.groupBy(key).agg(F.min(F.struct((-F.col("_bp")).alias("n"), F.col(target).alias("t"))).alias("_m"), F.sum("_bp").alias("_total"))
     top, total = -F.col("_m.n"), F.col("_total")
     return best.select(key, F.col("_m.t").alias("majority"), top.alias("majority_bp"), (total - top).alias("other_bp"), F.round(F.try_divide(total - top, total) * 100, places).alias("contam_pct"))
+
+
+def first_fit_decreasing(df: DataFrame, keys: Sequence[str], item: str, size: str, most: int) -> DataFrame:
+    """df: keys, item, size. Items of a key, the largest and then the least name first, go into the first batch with room; larger ones than a batch get one of their own.
+
+    Sequential by nature: the items of a key, one row each, are one task."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, item, size))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([size, item], ascending=[False, True])
+        room: list[int] = []
+        batches = []
+        for n in pdf[size]:
+            at = next((i for i, r in enumerate(room) if n <= r), None)
+            if at is None:
+                at = len(room)
+                room.append(most)
+            room[at] -= n
+            batches.append(at)
+        return pdf.assign(batch=batches)
+
+    return df.select(*keys, item, size).groupBy(*keys).applyInPandas(run, f"{kinds}, batch int")

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 
 
@@ -50,8 +52,8 @@ def sums(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str],
 
 
 def medians_of(df: DataFrame, features: Sequence[str]) -> list[float]:
-    row = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
-    return [float(row[f] or 0.0) for f in features]
+    rows = [quantiles(df, [], f, [0.5]).first() for f in features]
+    return [float(r["quantiles"][0] or 0.0) if r else 0.0 for r in rows]
 
 
 def solve(m: np.ndarray, features: Sequence[str], medians: Sequence[float], alpha: float) -> Ridge:

@@ -10,24 +10,35 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GAP_COST, LOOK_BACK, LEAST_ANCHORS, MOST_GAP = 0.01, 50, 4, 50_000
+from .intervals import points_in_spans, union_length
+from .tags import strata
 
+GAP_COST, LOOK_BACK, LEAST_ANCHORS, MOST_GAP, WINDOW = 0.01, 50, 4, 50_000, 500
+# The chance with which a chain may be broken by bad luck, and the least number of skipped tags that break it.
+BREAK_ALPHA, BREAK_FLOOR = 1e-6, 5
 
-def chain_group(q: np.ndarray, r: np.ndarray, reverse: bool, gap_cost: float = GAP_COST, look_back: int = LOOK_BACK, least: int = LEAST_ANCHORS, most_gap: int = MOST_GAP) -> np.ndarray:
+
+def chain_group(
+    q: np.ndarray, r: np.ndarray, reverse: bool, gap_cost: float = GAP_COST, look_back: int = LOOK_BACK, least: int = LEAST_ANCHORS, most_gap: int = MOST_GAP, index: np.ndarray | None = None, most_skips: float | None = None, most_shift: int | None = None
+) -> np.ndarray:
     """Chain number (0 the best, -1 none) of anchors sorted by (q, r); each step looks back at a bounded number of anchors.
 
     The score of a chain is its anchors less gap_cost for each base by which its gaps differ; chains are taken greedily,
-    the highest score and then the first anchor first."""
+    the highest score and then the first anchor first. A chain breaks at gaps of over most_gap bases or, if most_skips is
+    given, where more than so many tags of the query (by index) are passed over; and where the gaps on both sides differ by most_shift or more."""
     n = len(q)
     y = -r if reverse else r
     score, back = np.ones(n), np.full(n, -1)
     for i in range(1, n):
         lo = max(0, i - look_back)
         dq, dy = q[i] - q[lo:i], y[i] - y[lo:i]
-        gain = np.where((dq > 0) & (dy > 0) & (np.maximum(dq, dy) <= most_gap), score[lo:i] - gap_cost * np.minimum(np.abs(dq - dy), 1000), -np.inf)
+        near = np.maximum(dq, dy) <= most_gap if most_skips is None else index[i] - index[lo:i] - 1 <= most_skips
+        if most_shift is not None:
+            near = near & (np.abs(dq - dy) < most_shift)
+        gain = np.where((dq > 0) & (dy > 0) & near, score[lo:i] - gap_cost * np.minimum(np.abs(dq - dy), 1000), -np.inf)
         best = int(np.argmax(gain)) if len(gain) else 0
         if len(gain) and gain[best] > 0:
             score[i], back[i] = 1 + gain[best], lo + best
@@ -43,21 +54,59 @@ def chain_group(q: np.ndarray, r: np.ndarray, reverse: bool, gap_cost: float = G
     return out
 
 
-def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS) -> DataFrame:
-    """anchors: pair, q_contig, r_contig, reverse, q_pos, r_pos. One row for each chain: its spans and number of anchors.
+def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS, window: int = WINDOW, most_shift: int | None = None) -> DataFrame:
+    """anchors: pair, q_contig, r_contig, reverse, q_pos, r_pos; and if chains are to break by skipped tags q_index and most_skips (null: by bases);
+    and if hits are wanted enzyme and distance. One row for each chain: its spans, number of anchors, and as hits the query tags within its span
+    with their least distance among matches at most `window` bases from where the chain's own anchors place them.
 
     Repeats are filtered before, so one group is a pair of contigs in one direction and fits a task."""
     keys = [*pair, "q_contig", "r_contig", "reverse"]
     kinds = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in keys)
+    given = [c for c in ("q_index", "most_skips", "enzyme", "distance") if c in anchors.columns]
+    columns = [*keys, "chain", "n_anchors", "q_start", "q_end", "r_start", "r_end", "hits"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["q_pos", "r_pos"])
-        number = chain_group(pdf["q_pos"].to_numpy(np.int64), pdf["r_pos"].to_numpy(np.int64), bool(pdf["reverse"].iloc[0]), least=least)
-        kept = pdf.assign(chain=number)[number >= 0]
-        out = kept.groupby([*keys, "chain"], as_index=False, dropna=False).agg(n_anchors=("q_pos", "size"), q_start=("q_pos", "min"), q_end=("q_pos", "max"), r_start=("r_pos", "min"), r_end=("r_pos", "max"))
-        return out[[*keys, "chain", "n_anchors", "q_start", "q_end", "r_start", "r_end"]]
-
-    return anchors.select(*keys, "q_pos", "r_pos").groupBy(*keys).applyInPandas(run, f"{kinds}, chain int, n_anchors long, q_start long, q_end long, r_start long, r_end long")
+        q, r, reverse = pdf["q_pos"].to_numpy(np.int64), pdf["r_pos"].to_numpy(np.int64), bool(pdf["reverse"].iloc[0])
+        skips = pdf["most_skips"].iloc[0] if "most_skips" in given else None
+        number = chain_group(q, r, reverse, least=least, index=pdf["q_index"].to_numpy() if "q_index" in given else None, most_skips=None if skips is None or skips != skips else float(skips), most_shift=most_shift)
+        rows = []
+        for c in range(number.max(initial=-1) + 1):
+            at = np.flatnonzero(number == c)
+            hits: dict[tuple[str, int], int] = {}
+            if "distance" in given:
+                inside = np.flatnonzero((q >= q[at[0]]) & (q <= q[at[-1]]))
+                inside = inside[np.abs(r[inside] - np.interp(q[inside], q[at], r[at])) <= window]
+                for e, p, d in zip(pdf["enzyme"].to_numpy()[inside], q[inside].tolist(), pdf["distance"].to_numpy()[inside].tolist(), strict=True):
+                    hits[e, p] = min(d, hits.get((e, p), d))
+            listed = [{"enzyme": e, "q_pos": p, "distance": d} for (e, p), d in hits.items()]
+            rows.append((*pdf[keys].iloc[0], c, len(at), q[at].min(), q[at].max(), r[at].min(), r[at].max(), listed))
+        return pd.DataFrame(rows, columns=columns)
+
+    schema = f"{kinds}, chain int, n_anchors long, q_start long, q_end long, r_start long, r_end long, hits array<struct<enzyme:string,q_pos:long,distance:int>>"
+    return anchors.select(*keys, "q_pos", "r_pos", *given).groupBy(*keys).applyInPandas(run, schema)
+
+
+def chain_strata(query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], width: int = 50_000) -> DataFrame:
+    """query_tags: pair, enzyme, q_contig, q_pos. Strata of the tags within chains: each tag counts once, for the chain of most anchors that it lies in."""
+    own = ["r_contig", "reverse", "chain"]
+    spans = chain_rows.select(*pair, "q_contig", *own, "n_anchors", "q_start", "q_end")
+    inside = points_in_spans(query_tags.select(*pair, "enzyme", "q_contig", "q_pos"), spans, [*pair, "q_contig"], "q_pos", "q_start", "q_end", 0, width)
+    largest = F.min(F.struct((-F.col("n_anchors")).alias("size"), *own)).alias("best")
+    owned = inside.groupBy(*pair, "enzyme", "q_contig", "q_pos").agg(largest).select(*pair, "enzyme", "q_contig", "q_pos", *[F.col(f"best.{c}").alias(c) for c in own])
+    hits = chain_rows.select(*pair, "q_contig", *own, F.explode("hits").alias("h")).select(*pair, "q_contig", *own, "h.*")
+    return strata(owned, hits, pair, ["q_contig", "q_pos", *own])
+
+
+def aligned(chain_rows: DataFrame, tags: DataFrame, pair: Sequence[str], side: str) -> DataFrame:
+    """pair and covered: the bases of a side (q or r) within chains, whose ends are moved out by half the median gap between tags of the contig.
+
+    tags: pair, contig and pos of that side's usable tags; spans are merged within a contig."""
+    contig = f"{side}_contig"
+    over = Window.partitionBy(*pair, contig).orderBy("pos")
+    gaps = tags.select(*pair, contig, (F.lead("pos").over(over) - F.col("pos")).alias("gap")).groupBy(*pair, contig).agg((F.percentile_approx("gap", 0.5) / 2).cast("long").alias("half"), F.count("*").alias("_n"))
+    spans = chain_rows.join(gaps, [*pair, contig]).select(*pair, contig, F.greatest(F.lit(0), F.col(f"{side}_start") - F.coalesce("half", F.lit(0))).alias("s"), (F.col(f"{side}_end") + F.coalesce("half", F.lit(0))).alias("e"))
+    return union_length(spans, [*pair, contig], "s", "e").groupBy(*pair).agg(F.sum("covered").alias("covered"))
 
 
 def synteny(chain_rows: DataFrame, pair: Sequence[str], places: int = 6) -> DataFrame:
@@ -70,23 +119,33 @@ def synteny(chain_rows: DataFrame, pair: Sequence[str], places: int = 6) -> Data
 
 
 def structural_calls(chain_rows: DataFrame, pair: Sequence[str], least: int = 1000) -> DataFrame:
-    """Calls between chains that follow each other on the query: a turn is an inversion, another contig a translocation,
-    and gaps that differ by `least` or more an insertion or deletion."""
+    """Calls between chains that follow each other on the query: a chain against the pair's main direction is an inversion, another contig or a
+    step back a translocation, and gaps that differ by `least` or more an insertion or deletion, unless a third chain lies in the reference's gap."""
+    plain = chain_rows.drop("hits")
+    main = plain.groupBy(*pair, "reverse").agg(F.sum("n_anchors").alias("k")).groupBy(*pair).agg(F.max(F.struct(F.col("k"), (~F.col("reverse")).alias("forward"))).alias("m")).select(*pair, (~F.col("m.forward")).alias("main"))
     over = Window.partitionBy(*pair, "q_contig").orderBy("q_start", "q_end", "chain")
     before = {c: F.lag(c).over(over) for c in ("r_contig", "reverse", "q_end", "r_start", "r_end", "n_anchors")}
-    rows = chain_rows.select("*", *[c.alias(f"p_{k}") for k, c in before.items()]).where(F.col("p_r_contig").isNotNull())
+    rows = plain.join(main, list(pair)).select("*", *[c.alias(f"p_{k}") for k, c in before.items()])
     dq = F.col("q_start") - F.col("p_q_end")
     dr = F.when(F.col("reverse"), F.col("p_r_start") - F.col("r_end")).otherwise(F.col("r_start") - F.col("p_r_end"))
+    same = (F.col("r_contig") == F.col("p_r_contig")) & (F.col("reverse") == F.col("p_reverse"))
     kind = (
-        F.when(F.col("r_contig") != F.col("p_r_contig"), "Translocation").when(F.col("reverse") != F.col("p_reverse"), "Inversion").when(dr < -F.lit(least), "Translocation")
-        .when(dq - dr >= least, "Insertion").when(dr - dq >= least, "Deletion")
+        F.when(F.col("reverse") != F.col("main"), "Inversion").when(F.col("p_r_contig").isNull(), None).when(F.col("r_contig") != F.col("p_r_contig"), "Translocation").when(same & (dr < -F.lit(least)), "Translocation")
+        .when(same & (dq - dr >= least), "Insertion").when(same & (dr - dq >= least), "Deletion")
     )
-    size = F.when(kind.isin("Insertion", "Deletion"), F.abs(dq - dr)).otherwise(F.col("q_end") - F.col("q_start"))
-    return rows.select(*pair, kind.alias("sv_type"), "q_contig", F.col("p_q_end").alias("q_start"), F.col("q_start").alias("q_end"), "r_contig", size.alias("size"), F.col("p_n_anchors").alias("support_left"), F.col("n_anchors").alias("support_right")).where(
-        F.col("sv_type").isNotNull()
-    )
-
-
-def break_length(p: float, alpha: float = 1e-6, floor: int = 5) -> int:
-    """Skipped tags after which a chain is taken to end: chance alone leaves out as many with probability alpha."""
-    return floor if p >= 1 else max(floor, int(np.ceil(np.log(alpha) / np.log1p(-p)))) if p > 0 else 1 << 30
+    indel = kind.isin("Insertion", "Deletion")
+    size = F.when(indel, F.abs(dq - dr)).otherwise(F.col("q_end") - F.col("q_start"))
+    low, high = F.least("p_r_end", "r_end"), F.greatest("p_r_start", "r_start")
+    calls = rows.select(
+        *pair, kind.alias("sv_type"), "q_contig", F.coalesce("p_q_end", "q_start").alias("q_start"), F.when(indel, F.col("q_start")).otherwise(F.col("q_end")).alias("q_end"), "r_contig", size.alias("size"),
+        F.col("p_n_anchors").alias("support_left"), F.col("n_anchors").alias("support_right"), F.when(indel, low).alias("_low"), F.when(indel, high).alias("_high"),
+    ).where(F.col("sv_type").isNotNull())
+    third = plain.select(*pair, "r_contig", F.col("r_start").alias("_s"), F.col("r_end").alias("_e"))
+    guarded = calls.join(third, [calls[c] == third[c] for c in (*pair, "r_contig")] + [(third["_s"] > calls["_low"]) & (third["_e"] < calls["_high"])], "left_anti")
+    return guarded.drop("_low", "_high")
+
+
+def break_length(p: Column) -> Column:
+    """Skipped tags beyond which a chain is taken to end, where a tag is found with probability p: chance alone skips as many with probability BREAK_ALPHA."""
+    q = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return F.greatest(F.lit(float(BREAK_FLOOR)), F.log(F.lit(BREAK_ALPHA)) / F.log1p(-q))

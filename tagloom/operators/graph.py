@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, release
+from .ranking import keyed_running_total
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -43,6 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def label_by_size(members: DataFrame, prefix: str = "sp", digits: int = 4) -> DataFrame:
     """Names components by falling size, the least node first among equals: prefix0001, prefix0002, ..."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "component"))  # a row for each component
-    named = sizes.withColumn("label", F.concat(F.lit(prefix), F.lpad(rank.cast("string"), digits, "0")))
+    kinds = sizes.groupBy("size").agg(F.count("*").alias("c"))  # a row for each size
+    before = kinds.select(F.col("size").alias("_size"), (F.sum("c").over(Window.orderBy(F.desc("size"))) - F.col("c")).alias("_before"))
+    ranked = keyed_running_total(sizes.withColumn("_one", F.lit(1)), ["size"], "component", "_one", "_own").join(F.broadcast(before), F.col("size") == F.col("_size"))  # fewer rows than the root of twice the nodes
+    named = ranked.select("component", "size", F.concat(F.lit(prefix), F.lpad((F.col("_before") + F.col("_own")).cast("string"), digits, "0")).alias("label"))
     return members.join(named, "component")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +73,22 @@ def order_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], track
     turn = F.when(last_track.isNull(), 0).when(last_track != F.col(track), 0).when(F.col(position) < last, 1).otherwise(0)
     switch = F.when(last_track.isNotNull() & (last_track != F.col(track)), 1).otherwise(0)
     return df.withColumn("_b", turn).withColumn("_s", switch).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_b").alias("n_breaks"), F.sum("_s").alias("n_switches"))
+
+
+def two_axis_clusters(df: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
+    """df: keys, r_start, r_end, q_start, q_end. Blocks in the order of r_start (then r_end, q_start, q_end) join the last cluster if they begin
+    within `gap` of its reach on both axes, else begin one. Sequential by nature: the blocks of a key are one task."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[int]] = []
+        for r0, r1, q0, q1 in pdf[["r_start", "r_end", "q_start", "q_end"]].sort_values(["r_start", "r_end", "q_start", "q_end"]).itertuples(index=False):
+            low, high = min(q0, q1), max(q0, q1)
+            if out and r0 - out[-1][1] <= gap and low - out[-1][3] <= gap:
+                last = out[-1]
+                out[-1] = [last[0], max(last[1], r1), min(last[2], low), max(last[3], high), last[4] + 1]
+            else:
+                out.append([r0, r1, low, high, 1])
+        return pd.DataFrame([(*pdf[list(keys)].iloc[0], *c) for c in out], columns=[*keys, "r_start", "r_end", "q_start", "q_end", "n_blocks"])
+
+    return df.select(*keys, "r_start", "r_end", "q_start", "q_end").groupBy(*keys).applyInPandas(run, f"{kinds}, r_start long, r_end long, q_start long, q_end long, n_blocks long")

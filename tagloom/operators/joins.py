@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,16 @@ def stitch(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     for t in tables[1:]:
         union = union.unionByName(t, allowMissingColumns=True)
     return union.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in union.columns if c not in keys])
+
+
+def star(df: DataFrame, dimensions: Sequence[tuple[DataFrame, str]], defaults: dict[str, object]) -> DataFrame:
+    """df with the columns of each dimension, joined to the left by its key, and defaults where there is no match."""
+    for side, key in dimensions:
+        df = df.join(side, key, "left")
+    return df.fillna(defaults)
+
+
+def one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str], order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
+    """Rows of equal keys, each used once: the first of a with the first of b, the second with the second, and so on."""
+    number = lambda df, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return number(a, order_a).join(number(b, order_b), [*keys, "_n"]).drop("_n")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_rank, running_total
+from .ranking import average_rank, quantiles, running_total
 
 
 def error_columns(pred: str, truth: str) -> dict[str, Column]:
@@ -104,3 +106,38 @@ def consensus(df: DataFrame, key: str, value: str, weight: str, truth: str, trim
     return grouped.select(
         key, "n", *[F.round(c, places).alias(c) for c in ("mean", "weighted", "median")], F.round(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept), places).alias("trimmed"), F.round("oracle", places).alias("oracle")
     )
+
+
+def rule_sweep(df: DataFrame, rules: dict[str, Callable[[Column], Column]], cuts: Sequence[float], switched: str, kept: str, truth: str, places: int = 6) -> DataFrame:
+    """For each family of rules and each cut: how many rows take the switched estimate, and the error that results. rules: a condition for a cut."""
+    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(float(c)).alias("cut"), F.coalesce(rule(F.lit(float(c))), F.lit(False)).alias("on")) for f, rule in rules.items() for c in cuts])).alias("r"))
+    e = F.abs(F.when(F.col("r.on"), F.col(switched)).otherwise(F.col(kept)) - F.col(truth))
+    return long.groupBy(F.col("r.family").alias("family"), F.col("r.cut").alias("cut")).agg(F.count("*").alias("n"), F.sum(F.col("r.on").cast("int")).alias("n_switched"), F.round(F.avg(e), places).alias("mae"))
+
+
+def coverage(df: DataFrame, group: str, upper: str, truth: str, places: int = 6) -> DataFrame:
+    """The share of rows whose truth is at most its upper bound, rows without either counting as not covered, and the median of bound less truth."""
+    share = df.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col(truth) <= F.col(upper), F.lit(False)).cast("double")), places).alias("covered"))
+    gap = quantiles(df.select(group, (F.col(upper) - F.col(truth)).alias("_gap")), [group], "_gap", [0.5]).select(F.col(group).alias("_group"), F.round(F.col("quantiles")[0], places).alias("median_gap"))
+    return share.join(gap, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str, places: int = 6) -> DataFrame:
+    """Number, median, least and greatest value by keys."""
+    ends = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = quantiles(df, keys, value, [0.5]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.round(F.col("quantiles")[0], places).alias("median"))
+    return ends.join(middle, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
+def with_mean(df: DataFrame, keys: Sequence[str], repeat: str, value: str, places: int = 6) -> DataFrame:
+    """The rows, with the repeat as text, and a row 'mean' over the repeats of each key."""
+    base = df.select(*keys, F.col(repeat).cast("string").alias(repeat), F.round(value, places).alias(value))
+    return base.union(df.groupBy(*keys).agg(F.lit("mean").alias(repeat), F.round(F.avg(value), places).alias(value)).select(*keys, repeat, value))
+
+
+def decomposed(df: DataFrame, keys: Sequence[str], pred: str, truth: str, places: int = 6) -> DataFrame:
+    """For each group: bias, deviation around it, and its share of the summed absolute error."""
+    e = df.select(*keys, (F.col(pred) - F.col(truth)).alias("_e")).where("_e IS NOT NULL")
+    total = e.agg(F.sum(F.abs("_e")).alias("_total"))
+    out = e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.stddev_pop("_e").alias("deviation"), F.sum(F.abs("_e")).alias("_own"))
+    return out.join(F.broadcast(total)).select(*keys, "n", F.round("bias", places).alias("bias"), F.round("deviation", places - 1).alias("deviation"), F.round(F.try_divide("_own", "_total"), places).alias("share"))  # one row of totals

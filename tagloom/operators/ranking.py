@@ -46,7 +46,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
 
     The edges are one row, so the join with them sends a constant amount."""
     points = [i / bins for i in range(bins + 1)]
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, points)))).alias("_edges"))
+    edges = quantiles(df, [], value, points).select(F.array_distinct("quantiles").alias("_edges"))
     above = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(F.col(value) > e, 1).otherwise(0))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(above, F.lit(1)) - 1)).drop("_edges")
 
@@ -116,3 +116,47 @@ def running_total(df: DataFrame, order: str, value: str, name: str, partitions:
     before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
     own = ranged.withColumn("_own", F.sum(value).over(Window.partitionBy("_part").orderBy(order)))
     return own.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")  # at most `partitions` rows
+
+
+def _matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the other columns of side, which has one row for each key; null keys are equal. Without keys side is one row."""
+    if not keys:
+        return df.join(F.broadcast(side))
+    renamed = side.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def keyed_running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, partitions: int = 64) -> DataFrame:
+    """As running_total within each key (which may be null): a key of any size is dealt by ranges, so no task sees all of its rows."""
+    points = [i / partitions for i in range(1, partitions)]
+    edges = df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(order, F.array(*map(F.lit, points)), 1000))).alias("_edges"))
+    part = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(F.col(order) > e, 1).otherwise(0))
+    ranged = _matched(df, edges, keys).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_edges")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*keys, "_part", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).alias("_before"))  # at most `partitions` rows of a key
+    within = ranged.withColumn("_within", F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order)))
+    both = _matched(within, before, [*keys, "_part"])
+    return both.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """keys, n and quantiles (an array), interpolated between neighbours: exact, from counts of distinct values dealt by ranges. Nulls don't count."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = keyed_running_total(counted, keys, "_v", "_c", "_upto")
+    joined = _matched(ranked, counted.groupBy(*keys).agg(F.sum("_c").alias("_size")), keys)
+    place = [(F.col("_size") - 1) * F.lit(float(p)) for p in points]
+    ends = [(F.min(F.when(F.col("_upto") > F.floor(h), F.col("_v"))).alias(f"_l{i}"), F.min(F.when(F.col("_upto") > F.ceil(h), F.col("_v"))).alias(f"_h{i}")) for i, h in enumerate(place)]
+    out = joined.groupBy(*keys).agg(F.first("_size").alias("_size"), *[c for pair in ends for c in pair])
+    between = [F.col(f"_l{i}") + (h - F.floor(h)) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, h in enumerate(place)]
+    return out.where("_size IS NOT NULL").select(*keys, F.col("_size").alias("n"), F.array(*between).alias("quantiles"))
+
+
+def random_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows in the order of a seeded hash of their keys."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def shuffled(df: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """All rows in the order of a seeded hash of their keys."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)

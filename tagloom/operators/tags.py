@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Enzyme:
-    """A tag length and alternative patterns, each of motifs at offsets."""
+    """A tag length and alternative patterns, each of motifs at offsets. Patterns that aren't their own reverse complement come in pairs, so a site is found on either strand."""
 
     name: str
     length: int
@@ -84,30 +84,21 @@ def drop_repeats(tags: DataFrame, keys: Sequence[str], most: int = 5) -> DataFra
     return tags.join(kept, list(keys))
 
 
-def screen(tags: DataFrame, ident: str, keys: Sequence[str], least_shared: int = 3, least_containment: float = 0.001, most_carriers: int | None = None) -> DataFrame:
+def screen(tags: DataFrame, ident: str, keys: Sequence[str], least_shared: int = 3, least_containment: float = 0.001) -> DataFrame:
     """a, b, shared, containment of all pairs with enough distinct keys in common.
 
-    Sequences of equal key sets are one class, joined by key once; pairs are written out from pairs of classes. With most_carriers, keys of more
-    sequences play no part, which loses pairs: it is for rules that say so."""
+    Sequences of equal key sets are one class, joined by key once; pairs are written out from pairs of classes."""
     distinct = tags.select(F.col(ident).alias("id"), *keys).distinct()
-    sizes = distinct.groupBy("id").agg(F.count("*").alias("size"))
-    containment = F.col("shared") / F.least("_na", "_nb")
-    if most_carriers is None:
-        members = distinct.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*keys)))), 256).alias("_set"), F.count("*").alias("size"))
-        first = members.groupBy("_set").agg(F.min("id").alias("rep"), F.first("size").alias("size"))
-        own = members.join(first.select("_set", "rep"), "_set").select("id", "rep")
-        of_class = distinct.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-        classes = of_class.withColumnRenamed("id", "x").join(of_class.withColumnRenamed("id", "y"), list(keys)).where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
-        classes = classes.union(first.select("rep", "rep", "size")).where(F.col("shared") >= least_shared)
-        with_sizes = classes.join(first.select(F.col("rep").alias("x"), F.col("size").alias("_na")), "x").join(first.select(F.col("rep").alias("y"), F.col("size").alias("_nb")), "y")
-        good = with_sizes.withColumn("containment", containment).where(F.col("containment") >= least_containment).select("x", "y", "shared", "containment")
-        wide = good.join(own.select(F.col("rep").alias("x"), F.col("id").alias("_p")), "x").join(own.select(F.col("rep").alias("y"), F.col("id").alias("_q")), "y").where("x <> y OR _p < _q")
-        return wide.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "shared", "containment")
-    carriers = distinct.groupBy(*keys).agg(F.count("*").alias("carriers")).where(F.col("carriers").between(2, most_carriers)).drop("carriers")
-    useful = distinct.join(carriers, list(keys))
-    pairs = useful.withColumnRenamed("id", "a").join(useful.withColumnRenamed("id", "b"), list(keys)).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    with_sizes = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("_na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("_nb")), "b")
-    return with_sizes.withColumn("containment", containment).where(F.col("containment") >= least_containment).select("a", "b", "shared", "containment")
+    members = distinct.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*keys)))), 256).alias("_set"), F.count("*").alias("size"))
+    first = members.groupBy("_set").agg(F.min("id").alias("rep"), F.first("size").alias("size"))
+    own = members.join(first.select("_set", "rep"), "_set").select("id", "rep")
+    of_class = distinct.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    classes = of_class.withColumnRenamed("id", "x").join(of_class.withColumnRenamed("id", "y"), list(keys)).where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    classes = classes.union(first.select("rep", "rep", "size")).where(F.col("shared") >= least_shared)
+    with_sizes = classes.join(first.select(F.col("rep").alias("x"), F.col("size").alias("_na")), "x").join(first.select(F.col("rep").alias("y"), F.col("size").alias("_nb")), "y")
+    good = with_sizes.withColumn("containment", F.col("shared") / F.least("_na", "_nb")).where(F.col("containment") >= least_containment).select("x", "y", "shared", "containment")
+    wide = good.join(own.select(F.col("rep").alias("x"), F.col("id").alias("_p")), "x").join(own.select(F.col("rep").alias("y"), F.col("id").alias("_q")), "y").where("x <> y OR _p < _q")
+    return wide.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "shared", "containment")
 
 
 def tolerant_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], tag: str, tolerance: int, length: int, distance: Column | None = None) -> DataFrame:

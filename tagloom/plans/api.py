@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.likelihood import fit_pairs
 from ..operators import chains, metrics, ranking, tags
+from ..storage import materialize, release
 
-LEAST_ANI = 0.8
+# Bases of a tag that screen it, the least identity of a hit, the share of found tags below which no identity is told, and breaks of order for each anchor.
+WINDOW, LEAST_ANI, LEAST_RETENTION, MOST_BREAKS = 18, 0.8, 0.2, 0.5
 
 
 def sketch(sequences: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL) -> DataFrame:
@@ -36,38 +38,85 @@ def db_open(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001, most_carriers: int | None = None) -> DataFrame:
-    """a, b of genomes worth a comparison: enough distinct windows in common, over the lesser of a window and its reverse complement."""
-    window = C.canonical(F.substring("tag", 5, 18))
-    return tags.screen(sketches.select("genome_id", "enzyme", window.alias("key")), "genome_id", ["enzyme", "key"], least_shared, least_containment, most_carriers).select("a", "b")
+def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001) -> DataFrame:
+    """a, b of genomes worth a comparison: enough distinct keys in common. A tag's key is the lesser strand of the WINDOW bases in the middle of its lesser strand."""
+    middle = F.substring(F.col("_tag"), F.floor((F.length("_tag") - WINDOW) / 2).cast("int") + 1, F.lit(WINDOW))
+    keyed = sketches.withColumn("_tag", C.canonical(F.col("tag"))).select("genome_id", "enzyme", C.canonical(middle).alias("key"))
+    return tags.screen(keyed, "genome_id", ["enzyme", "key"], least_shared, least_containment).select("a", "b")
 
 
-def matches(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, tolerance: int = 2, most_copies: int = 5) -> DataFrame:
-    """Places of tags of a and b that differ in at most `tolerance` bases, after tags with many copies in a genome are dropped."""
-    few = tags.drop_repeats(sketches, ["genome_id", "enzyme", "tag"], most_copies).drop("occurrence")
+def usable(sketches: DataFrame, pairs: DataFrame, most_copies: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The tags of a (q_contig, q_pos) and of b (r_contig, r_pos) of each pair, without those that either genome has more than most_copies times, on both strands together."""
+    own = sketches.withColumn("_key", C.canonical(F.col("tag")))
+    repeats = own.groupBy("genome_id", "enzyme", "_key").agg(F.count("*").alias("n")).where(F.col("n") > most_copies).select("genome_id", "enzyme", "_key")
+    barred = pairs.join(repeats.withColumnRenamed("genome_id", "a"), "a").select("a", "b", "enzyme", "_key").union(pairs.join(repeats.withColumnRenamed("genome_id", "b"), "b").select("a", "b", "enzyme", "_key")).distinct()
+
+    def side(genome: str, contig: str, pos: str) -> DataFrame:
+        of_pair = pairs.join(own.withColumnsRenamed({"genome_id": genome, "contig_id": contig, "pos": pos}), genome)
+        return of_pair.join(barred, ["a", "b", "enzyme", "_key"], "left_anti").select("a", "b", "enzyme", contig, pos, "tag")
+
+    return side("a", "q_contig", "q_pos"), side("b", "r_contig", "r_pos")
+
+
+def matches(query: DataFrame, reference: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, tolerance: int = 2) -> DataFrame:
+    """Places of tags of a and b, on either strand, that differ in at most `tolerance` bases; reverse tells that b's tag stands on the other strand.
+
+    query and reference: what `usable` gives."""
+    strands = F.explode(F.array(F.struct(F.col("tag"), F.lit(False).alias("reverse")), F.struct(C.reverse_complement(F.col("tag")).alias("tag"), F.lit(True).alias("reverse")))).alias("s")
+    both = reference.select("a", "b", "enzyme", "r_contig", "r_pos", strands).select("a", "b", "enzyme", "r_contig", "r_pos", "s.*")
     out = None
     for e in panel:
-        own = few.where(F.col("enzyme") == e.name)
-        x = pairs.join(own.withColumnsRenamed({"genome_id": "a", "contig_id": "q_contig", "pos": "q_pos"}), "a")
-        y = pairs.join(own.withColumnsRenamed({"genome_id": "b", "contig_id": "r_contig", "pos": "r_pos"}), "b")
+        x, y = (df.where(F.col("enzyme") == e.name) for df in (query, both))
         found = tags.tolerant_pairs(x, y, ["a", "b", "enzyme"], "tag", tolerance, e.length)
-        found = found.select("a", "b", "enzyme", F.col("a_q_contig").alias("q_contig"), F.col("a_q_pos").alias("q_pos"), F.col("b_r_contig").alias("r_contig"), F.col("b_r_pos").alias("r_pos"), "distance")
+        found = found.select("a", "b", "enzyme", F.col("a_q_contig").alias("q_contig"), F.col("a_q_pos").alias("q_pos"), F.col("b_r_contig").alias("r_contig"), F.col("b_r_pos").alias("r_pos"), F.col("b_reverse").alias("reverse"), "distance")
         out = found if out is None else out.union(found)
     return out
 
 
-def dist(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL) -> DataFrame:
-    """Fits, gate, flag and gated identity of each pair, from the tags of a and their best match in b."""
-    found = matches(sketches, pairs, panel)
-    mine = pairs.join(sketches.withColumnsRenamed({"genome_id": "a", "contig_id": "q_contig", "pos": "q_pos"}), "a").select("a", "b", "enzyme", "q_contig", "q_pos")
-    counted = tags.strata(mine, found, ["a", "b"], ["q_contig", "q_pos"])
+def _fits(counted: DataFrame, panel: Sequence[tags.Enzyme]) -> DataFrame:
     length, body = F.lit(None).cast("int"), F.lit(None).cast("int")
     for e in panel:
         length, body = F.when(F.col("enzyme") == e.name, e.length).otherwise(length), F.when(F.col("enzyme") == e.name, e.body).otherwise(body)
-    fits = fit_pairs(counted.withColumn("tag_len", length).withColumn("body_len", body), ["a", "b"])
+    return fit_pairs(counted.withColumn("tag_len", length).withColumn("body_len", body), ["a", "b"])
+
+
+def chained(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, most_shift: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of the pairs' chains and of their usable query and reference tags, in two passes.
+
+    The first chains break at long gaps. The identity fitted to the tags within them tells how often a tag is found, and
+    the second chains break where more tags are skipped than chance explains, and with most_shift where that many bases are gained or lost."""
+    query, reference = (materialize(t) for t in usable(sketches, pairs))
+    over = Window.partitionBy("a", "b", "q_contig").orderBy("q_pos", "enzyme")
+    index = query.select("a", "b", "enzyme", "q_contig", "q_pos", F.row_number().over(over).alias("q_index"))
+    anchors = materialize(matches(query, reference, panel).join(index, ["a", "b", "enzyme", "q_contig", "q_pos"]))
+    first = chains.chains(anchors, ["a", "b"])
+    found = _fits(chains.chain_strata(query, first, ["a", "b"]), panel).select("a", "b", chains.break_length(F.col("retention")).alias("most_skips"))
+    limits = materialize(found)
+    rows = materialize(chains.chains(anchors.join(limits, ["a", "b"], "left"), ["a", "b"], most_shift=most_shift))
+    release(anchors, limits)
+    return rows, query, reference
+
+
+def dist(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, lengths: DataFrame | None = None) -> DataFrame:
+    """Fits, gate, flag and gated identity of each pair, from the tags of a within chains; with lengths (genome_id, length) also the aligned fraction of both genomes.
+
+    A pair without a chain has no identity and is BELOW_DETECTION."""
+    rows, query, reference = chained(sketches, pairs, panel)
+    fits = pairs.select("a", "b").distinct().join(_fits(chains.chain_strata(query, rows, ["a", "b"]), panel), ["a", "b"], "left")
+    order = chains.synteny(rows, ["a", "b"]).join(rows.groupBy("a", "b").agg(F.sum("n_anchors").alias("n_anchors")), ["a", "b"])
+    fits = fits.join(order, ["a", "b"], "left")
     gate = C.gate(F.col("ani_from_loss") * 100, F.col("ani_from_hist") * 100, F.col("het_shape"), F.col("ani"))
-    out = fits.withColumn("gate", gate).withColumn("flag", C.flag(F.col("retention"), F.col("enzyme_chi2"), F.lit(None).cast("int")))
-    return out.withColumn("ani_gated", C.gated(F.col("gate"), F.col("ani"), F.col("ani_uniform")))
+    out = fits.withColumn("gate", gate)
+    broken = (F.col("gate") == "uniform_fallback") | (F.col("breakpoint_count") > MOST_BREAKS * F.col("n_anchors"))
+    out = out.withColumn("flag", F.when(F.coalesce(F.col("retention") < LEAST_RETENTION, F.lit(True)), "BELOW_DETECTION").when(F.coalesce(broken, F.lit(False)), "INCONSISTENT").otherwise("ok"))
+    out = out.withColumn("ani_gated", C.gated(F.col("gate"), F.col("ani"), F.col("ani_uniform")))
+    if lengths is None:
+        return out
+    for genome, side, tag_rows, name in (("a", "q", query, "af_query"), ("b", "r", reference, "af_reference")):
+        places = tag_rows.select("a", "b", f"{side}_contig", F.col(f"{side}_pos").alias("pos"))
+        share = chains.aligned(rows, places, ["a", "b"], side).join(pairs.join(lengths.withColumnRenamed("genome_id", genome), genome).select("a", "b", "length"), ["a", "b"])
+        out = out.join(share.select("a", "b", F.least(F.lit(1.0), F.col("covered") / F.col("length")).alias(name)), ["a", "b"], "left")
+    return out
 
 
 def triangle(sketches: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL) -> DataFrame:
@@ -86,9 +135,8 @@ def search(queries: DataFrame, database: DataFrame, panel: Sequence[tags.Enzyme]
 
 
 def struct(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, least: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Synteny statistics and structural calls of each pair, from chains of exact matches."""
-    anchors = matches(sketches, pairs, panel, 0).withColumn("reverse", F.lit(False))
-    rows = chains.chains(anchors, ["a", "b"])
+    """Synteny statistics and structural calls of each pair, from its chains."""
+    rows, _, _ = chained(sketches, pairs, panel, least)
     return chains.synteny(rows, ["a", "b"]), chains.structural_calls(rows, ["a", "b"], least)
 
 

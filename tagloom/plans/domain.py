@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.likelihood import fit_pairs
-from ..operators import calibrate, chains, graph, metrics, mixture, ranking, simulate, tags
+from ..operators import calibrate, chains, graph, metrics, mixture, ranking, tags
 from .catalog import MEASURED, measured, query, read
 
 _TAGS = """tags AS (SELECT doc_id, p AS pos, substr(text, p + 1, 24) AS tag FROM (SELECT doc_id, text, unnest(range(0, length(text) - 23)) AS p FROM documents WHERE length(text) >= 24)
   WHERE substr(text, p + 5, 2) = 'an' AND substr(text, p + 13, 1) = 'e')"""
-_SCREEN = f"""{_TAGS}, dt AS (SELECT DISTINCT doc_id, tag FROM tags), sizes AS (SELECT doc_id, count(*) AS size FROM dt GROUP BY 1), useful AS (SELECT tag FROM dt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
-  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM dt x JOIN dt y ON x.tag = y.tag AND x.doc_id < y.doc_id WHERE x.tag IN (SELECT tag FROM useful) GROUP BY 1, 2 HAVING count(*) >= 3),
+_SCREEN = f"""{_TAGS}, dt AS (SELECT DISTINCT doc_id, tag FROM tags), sizes AS (SELECT doc_id, count(*) AS size FROM dt GROUP BY 1),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM dt x JOIN dt y ON x.tag = y.tag AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 3),
   pairs AS (SELECT a, b, shared, shared / least(m.size, n.size) AS containment FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE shared / least(m.size, n.size) >= 0.001)"""
 
 
@@ -28,11 +28,6 @@ def document_tag_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screened(spark: SparkSession, d: str) -> DataFrame:
-    """By the rule of _SCREEN, which leaves out tags of more than 50 documents."""
-    return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"], most_carriers=50)
-
-
-def screened_whole(spark: SparkSession, d: str) -> DataFrame:
     return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"])
 
 
@@ -41,9 +36,9 @@ def digest_tags(spark, d):
     return document_tags(spark, d).select("doc_id", "pos", "tag")
 
 
-@query(f"WITH {_TAGS}, o AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1) SELECT doc_id, pos, tag, n AS occurrence FROM tags JOIN o USING (tag) WHERE n <= 5")
+@query(f"WITH {_TAGS}, o AS (SELECT doc_id, tag, count(*) AS n FROM tags GROUP BY 1, 2) SELECT doc_id, pos, tag, n AS occurrence FROM tags JOIN o USING (doc_id, tag) WHERE n <= 5")
 def tag_repeat_filter(spark, d):
-    return tags.drop_repeats(document_tags(spark, d), ["tag"]).select("doc_id", "pos", "tag", "occurrence")
+    return tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"]).select("doc_id", "pos", "tag", "occurrence")
 
 
 @query(f"WITH {_SCREEN} SELECT a, b, shared, round(containment, 6) AS containment FROM pairs")
@@ -59,14 +54,12 @@ def search_best_first(spark, d):
     return ranking.top_hit(hits, "query", "target", "containment").select("query", "target", F.round(1 + F.log("containment") / 24, 6).alias("similarity"))
 
 
-@query(f"""WITH {_SCREEN}, top AS (SELECT doc_id, row_number() OVER (ORDER BY size DESC, doc_id) AS i FROM sizes ORDER BY i LIMIT 20)
-  SELECT CAST(x.i AS INTEGER) AS i, CAST(y.i AS INTEGER) AS j, x.doc_id AS a, y.doc_id AS b, round(containment, 6) AS containment FROM top x JOIN top y ON x.i < y.i LEFT JOIN pairs ON pairs.a = least(x.doc_id, y.doc_id) AND pairs.b = greatest(x.doc_id, y.doc_id)""")
+@query(f"""WITH {_SCREEN} SELECT a, b, m.size AS size_a, n.size AS size_b, round(containment, 6) AS containment FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b""")
 def triangle_matrix(spark, d):
-    sizes = document_tag_strings(spark, d).groupBy("doc_id").agg(F.countDistinct("tag").alias("size")).orderBy(F.desc("size"), "doc_id").limit(20)  # a report on 20 documents
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "doc_id"))).alias("l")).select(F.posexplode("l").alias("p", "x")).select((F.col("p") + 1).alias("i"), F.col("x.doc_id").alias("doc_id"), F.lit(1).alias("one"))
-    pairs = listed.select("one", "i", F.col("doc_id").alias("a")).join(listed.select("one", F.col("i").alias("j"), F.col("doc_id").alias("b")), "one").where("i < j").drop("one")
-    found = screened(spark, d).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.round("containment", 6).alias("containment"))
-    return pairs.join(found, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left").drop("_a", "_b")
+    """The cells of the triangle of all documents in long form; a pair that isn't there was screened out."""
+    sizes = document_tag_strings(spark, d).groupBy("doc_id").agg(F.countDistinct("tag").alias("size"))
+    named = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"))
+    return screened(spark, d).join(named("a"), "a").join(named("b"), "b").select("a", "b", "size_a", "size_b", F.round("containment", 6).alias("containment"))
 
 
 @query(f"""WITH {_TAGS}, t AS (SELECT DISTINCT tag FROM tags) SELECT x.tag AS a_tag, y.tag AS b_tag, list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END))::INTEGER AS distance
@@ -76,7 +69,7 @@ def pigeonhole_pairs(spark, d):
     return tags.tolerant_pairs(t, t, [], "tag", 2, 24).where("a_tag < b_tag")
 
 
-_BASES = "translate(lower(substr(coalesce(text, ''), 1, 100000)), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC')"
+_BASES = "translate(lower(coalesce(text, '')), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC')"
 
 
 @query(f"""WITH s AS (SELECT doc_id, regexp_replace({_BASES}, '[^ACGT]', '', 'g') AS s FROM documents) SELECT doc_id, length(s) AS n, md5(least(s, reverse(translate(s, 'ACGT', 'TGCA')))) AS canonical_md5, round((length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / nullif(length(s), 0), 6) AS gc FROM s""")
@@ -148,7 +141,7 @@ def ani_upper95(spark, d):
 def document_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Places of tags that two screened documents share; tags of at most five places in a document."""
     t = tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"]).select("doc_id", "pos", "tag")
-    pairs = screened_whole(spark, d).select("a", "b")
+    pairs = screened(spark, d).select("a", "b")
     x = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("pos").alias("q_pos"), "tag"), "a")
     return x.join(t.select(F.col("doc_id").alias("b"), F.col("pos").alias("r_pos"), "tag"), ["b", "tag"]).select("a", "b", F.col("a").alias("q_contig"), F.col("b").alias("r_contig"), F.lit(False).alias("reverse"), "q_pos", "r_pos")
 
@@ -168,20 +161,18 @@ def sv_calls(spark, d):
     return chains.structural_calls(chain_blocks(spark, d), ["a", "b"], 50)
 
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_linenumber >= 6 AND l_quantity >= 49)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(-1 - c_nationkey AS BIGINT) AS b FROM customer), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a),
   c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1), s AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS rn FROM c GROUP BY 1)
   SELECT node, component, size, 'sp' || lpad(CAST(rn AS VARCHAR), 4, '0') AS label FROM c JOIN s USING (component)""")
 def connected_components(spark, d):
-    e = read(spark, d, "lineitem").where("l_linenumber >= 6 AND l_quantity >= 49").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
+    """Customers and their nations."""
+    e = read(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey")).cast("long").alias("b"))
     return graph.label_by_size(graph.connected_components(e)).select("node", "component", "size", "label")
 
 
 @query()
 def connected_components_whole(spark, d):
-    """Over all lines; the query with SQL takes the few that its SQL takes. Keys begin with 0, so suppliers begin with -1."""
+    """Parts and suppliers of all lines. Keys begin with 0, so suppliers begin with -1."""
     e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
     return graph.label_by_size(graph.connected_components(e.distinct())).select("node", "component", "size", "label")
 
@@ -235,11 +226,3 @@ def str_map_parse(spark, d):
 @query()
 def mixture_npmle(spark, d):
     return mixture.fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_mixture", 4).alias("ani_mixture"), F.round("loglik_mixture", 2).alias("loglik_mixture"))
-
-
-@query("""SELECT doc_id, CAST(least(25, length(s)) AS BIGINT) AS n_changed, length(s) AS n FROM (SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS s FROM documents)""")
-def simulate_counted(spark, d):
-    s = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), "etaoinshrdlucmfwypvbgkjqxz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
-    bases = read(spark, d, "documents").select("doc_id", s.alias("s"))
-    changed = simulate.apply(bases, "doc_id", "s", lambda x, rng: simulate.counted_substitutions(x, 25, rng))
-    return changed.select("doc_id", "n_changed", F.length("s").cast("long").alias("n"))

@@ -43,3 +43,50 @@ def test_self_is_one(spark, sequences):
     assert api.dist(s.union(twin), pairs, PANEL).first()["ani_uniform"] > 0.9999
     synteny, calls = api.struct(s.union(twin), pairs, PANEL)
     assert synteny.first()["breakpoint_count"] == 0 and calls.count() == 0
+
+
+#: Motifs on either strand.
+BOTH = [tags.Enzyme("e1", 24, (((8, "CG"), (14, "A")), ((9, "T"), (14, "CG")))), tags.Enzyme("e2", 20, (((6, "GA"), (12, "C")), ((7, "G"), (12, "TC"))))]
+
+
+def turned(x):
+    return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+@pytest.fixture(scope="module")
+def strange(spark):
+    """Sequences whose partners differ in strand, repeats or order."""
+    r = np.random.default_rng(8)
+    text = lambda n: "".join(r.choice(list("ACGT"), n))
+    base, block = text(60_000), text(6_000)
+    repeats = "".join(text(3_000) + block for _ in range(12)) + text(20_000)
+    inverted = base[:20_000] + turned(base[20_000:40_000]) + base[40_000:]
+    deleted = base[:25_000] + base[33_000:]
+    rows = [("base", base), ("turned", turned(base)), ("rep", repeats), ("rep2", repeats), ("inverted", inverted), ("deleted", deleted), ("far", text(60_000))]
+    return spark.createDataFrame([(g, "c", s) for g, s in rows], "genome_id string, contig_id string, seq string")
+
+
+def test_strands_and_repeats(spark, strange):
+    s = api.sketch(strange, BOTH)
+    pairs = spark.createDataFrame([("base", "turned"), ("rep", "rep2"), ("base", "far")], "a string, b string")
+    lengths = strange.select("genome_id", F.length("seq").alias("length"))
+    got = {(r["a"], r["b"]): r for r in api.dist(s, pairs, BOTH, lengths).collect()}
+    for pair in (("base", "turned"), ("rep", "rep2")):
+        assert got[pair]["ani_gated"] > 0.9999 and got[pair]["flag"] == "ok", pair
+    assert got["base", "turned"]["af_query"] > 0.98 and got["base", "turned"]["af_reference"] > 0.98
+    assert (got["base", "far"]["flag"], got["base", "far"]["ani_gated"]) == ("BELOW_DETECTION", None)
+    assert {(r["a"], r["b"]) for r in api.screen_pairs(s).collect()} >= {("base", "turned"), ("rep", "rep2"), ("base", "inverted")}
+
+
+def test_structural_calls_from_sequences(spark, strange):
+    s = api.sketch(strange, BOTH)
+    pairs = spark.createDataFrame([("base", "turned"), ("base", "inverted"), ("base", "deleted"), ("deleted", "base")], "a string, b string")
+    synteny, calls = api.struct(s, pairs, BOTH)
+    breaks = {(r["a"], r["b"]): r["breakpoint_count"] for r in synteny.collect()}
+    got = {(r["a"], r["b"]): (r["sv_type"], r["size"]) for r in calls.collect()}
+    assert breaks["base", "turned"] == 0 and ("base", "turned") not in got
+    assert breaks["base", "inverted"] == 2 and calls.count() == 3
+    kind, size = got["base", "inverted"]
+    assert kind == "Inversion" and abs(size - 20_000) < 2_500
+    assert got["base", "deleted"][0] == "Insertion" and abs(got["base", "deleted"][1] - 8_000) < 2_000
+    assert got["deleted", "base"][0] == "Deletion" and abs(got["deleted", "base"][1] - 8_000) < 2_000
