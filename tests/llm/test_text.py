@@ -380,10 +380,58 @@ def test_merkle_locates_edits(spark):
     lines[4] = lines[4].replace("w", "v", 1)
     df = spark.createDataFrame([(a, "\n".join(lines))], "a string, b string")
     both = op7.with_tree(op7.with_tree(df, "a", "x_"), "b", "y_")
-    r = both.select(op7.differing("x_", "y_").alias("d"), op7.likeness("x_", "y_").alias("s"), op7.likeness("x_", "x_").alias("one")).first()
+    both = op7.with_likeness(op7.with_likeness(both, "x_", "y_", "s"), "x_", "x_", "one")
+    r = both.select(op7.differing("x_", "y_").alias("d"), "s", "one").first()
     assert r["d"] == [4] and 0.7 < r["s"] < 1 and r["one"] == 1
 
 
+def plain_likeness(x, y):
+    """From two fingerprints alone, branch by branch."""
+    if x.split("|")[0] == y.split("|")[0]:
+        return 1.0
+
+    def branches(f):
+        _, heads, names, leaves = f.split("|")
+        names, leaves, at, out = names.split(","), [[x for x in p.split(",") if x] for p in leaves.split(";")], 0, []
+        for h in heads.split(",") if heads else []:
+            name, n = h.split(":")
+            out.append((name, list(zip(names[at : at + int(n)], leaves[at : at + int(n)]))))
+            at += int(n)
+        return out
+
+    a, b = branches(x), branches(y)
+    same = {n for n, _ in a} & {n for n, _ in b}
+    both, over = 0, 0
+    ps = [[p for n, s in side if n not in same for p in s] for side in (a, b)]
+    common = {n for n, _ in ps[0]} & {n for n, _ in ps[1]}
+    rest = [{leaf for n, p in side if n not in common for leaf in p} for side in ps]
+    for side, entered in zip((a, b), ps):
+        n = sum(len(p) for _, s in side for _, p in s) - sum(len(p) for n, p in entered if n not in common)
+        both, over = both + n, over + n
+    both += 2 * len(rest[0] & rest[1])
+    over += len(rest[0]) + len(rest[1])
+    return both / over if over else 0.0
+
+
+def test_merkle_query_equals_brute_force(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7.op7_merkle(spark, str(tmp_path)).collect()}
+    texts = [t or "" for t in TEXTS]
+    prints = {}
+    for i, t in enumerate(texts):
+        r, nxt = got[i * 3], texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited)
+        prints[i] = r["fingerprint"]
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]))
+    for i in range(len(texts)):
+        assert got[i * 3]["near_next"] == pytest.approx(plain_likeness(prints[i], prints[(i + 1) % len(texts)]))
+        for j in range(i):
+            assert (prints[i] == prints[j]) == (texts[i] == texts[j])
+
+
 # --- 8
 
 def shingle_sets(texts, k):
