@@ -1,7 +1,7 @@
 """What the text operators share: tables, scratch tables, byte kernels and bounded broadcasts.
 
 A text is handled as UTF-8 bytes in numpy. `chunks` walks an Arrow column in
-runs of whole documents of about a megabyte, so memory follows the longest
+runs of whole documents of about half a megabyte, so memory follows the longest
 document and never the batch.
 """
 
@@ -17,7 +17,7 @@ from ..storage import materialize, release, scratch, small
 
 __all__ = ["materialize", "release", "scratch", "small"]
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

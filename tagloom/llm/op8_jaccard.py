@@ -50,7 +50,7 @@ from ..operators.graph import connected_components
 
 CELL_BITS = 21
 SKETCH_ROWS = 64
-GROUP = 1024
+GROUP = 512
 BLOCK_BYTES = 2 << 20
 SHARED = 3
 SMALL_ROWS = 200_000
@@ -190,7 +190,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many hashes each set of left shares with each of right."""
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2**24 common hashes
 
     def dense(side: list[np.ndarray], part: np.ndarray) -> np.ndarray:
         m = np.zeros((len(side), len(part)), np.float32)
@@ -201,20 +201,20 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             m[i, at[part[at] == own]] = 1
         return m
 
-    for c in range(0, len(common), 4_096):
-        part = common[c : c + 4_096]
+    for c in range(0, len(common), 2_048):
+        part = common[c : c + 2_048]
         low, high = part[0], part[-1]
         cut = lambda side: [s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in side]  # noqa: B023, E731
         out += dense(cut(left), part) @ dense(cut(right), part).T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _stars(left: list[bytes], link: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """For each component of the links within a block: its member with most links, beside each other member."""
-    forest = Forest(len(left))
-    for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(link, 1))), strict=True):
-        forest.union(i, j)
-    degree = link.sum(1)
+    forest, degree = Forest(len(left)), link.sum(1)
+    for i in range(len(left)):
+        for j in (np.flatnonzero(link[i, i + 1 :]) + i + 1).tolist():
+            forest.union(i, j)
     hubs: dict[int, int] = {}
     for i in range(len(left)):
         root = forest.find(i)
@@ -239,7 +239,7 @@ def compare(pairs: DataFrame, percent: int) -> DataFrame:
                 within = batch.column(1)[row].as_py() is None
                 right, y = (left, x) if within else unpack(batch.column(1)[row].as_py())
                 both = intersections(x, y)
-                size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+                size = np.array([len(s) for s in x], np.int32)[:, None] + np.array([len(s) for s in y], np.int32)[None, :]
                 link = 100 * both >= percent * (size - both)
                 if within:
                     a, b = _stars(left, link)
@@ -247,10 +247,11 @@ def compare(pairs: DataFrame, percent: int) -> DataFrame:
                     out_b += b
                     continue
                 forest = Forest(len(left) + len(right))
-                for i, j in zip(*(z.tolist() for z in np.nonzero(link)), strict=True):
-                    if forest.union(i, len(left) + j) and left[i] != right[j]:
-                        out_a.append(left[i])
-                        out_b.append(right[j])
+                for i in range(len(left)):
+                    for j in np.flatnonzero(link[i]).tolist():
+                        if forest.union(i, len(left) + j) and left[i] != right[j]:
+                            out_a.append(left[i])
+                            out_b.append(right[j])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
     return pairs.select("left", "right").mapInArrow(run, "a binary, b binary")

@@ -48,9 +48,9 @@ from .suffixes import suffix_array
 
 LENGTH = 50
 GRAM = 12
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 PIECE_BYTES = 2 << 20
-SHARE_BYTES = 16 << 20
+SHARE_BYTES = 8 << 20
 BUCKET_RUNS = 16_384
 SAMPLE_DOCS, SAMPLE_PART, SAMPLE_LEAST = 262_144, 32, 1_024
 HOT_RUNS = 64
