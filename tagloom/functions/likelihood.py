@@ -220,3 +220,31 @@ def fit_pairs(strata: DataFrame, pair: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{c}` {strata.schema[c].dataType.simpleString()}" for c in pair)
     fitted = grouped.mapInPandas(run, f"{kinds}, {FITS}")
     return fitted.select(*pair, *[F.when(~F.isnan(c), F.col(c)).alias(c) if c not in ("supported", "n_tags") else F.col(c) for c in _FIT_NAMES])
+
+
+class SiteStrata(Strata):
+    """Strata of tags whose site has positions that several bases fit: exact, d2 and d3 of them, of which a changed base fits one of three or two of three times.
+
+    A change at such a position that still fits leaves the tag to be found, with one difference more; one that doesn't loses it.
+    Without such positions this is Strata with k = exact + b."""
+
+    def __init__(self, exact: np.ndarray, b: np.ndarray, d2: np.ndarray, d3: np.ndarray, n: np.ndarray, miss: np.ndarray) -> None:
+        super().__init__(exact + b + d2 + d3, b, n, miss)
+        self.exact, self.d2, self.d3 = (x.astype(float) for x in (exact, d2, d3))
+
+    def log_found(self, a: np.ndarray) -> np.ndarray:
+        """Log-probability of m differences: the convolution of those in the body and at both kinds of positions."""
+        a = np.clip(a, 1e-9, 1 - 1e-12)[:, None, None]
+        total = np.ones((*self.b.shape, 1))
+        for count, fits in ((self.b, 1.0), (self.d2, 1 / 3), (self.d3, 2 / 3)):
+            part = np.stack([_choose(count, m) * ((1 - a[..., 0]) * fits) ** m * a[..., 0] ** np.maximum(count - m, 0) for m in range(len(self.m))], axis=-1)
+            total = np.stack([sum(total[..., i] * part[..., m - i] for i in range(min(m + 1, total.shape[-1]))) for m in range(len(self.m))], axis=-1)
+        with np.errstate(divide="ignore"):
+            return np.log(total) + self.exact[..., None] * np.log(a)
+
+
+def _choose(n: np.ndarray, m: int) -> np.ndarray:
+    out = np.ones_like(n, float)
+    for j in range(m):
+        out = out * np.maximum(n - j, 0) / (j + 1)
+    return out

@@ -92,3 +92,18 @@ def two_axis_clusters(df: DataFrame, keys: Sequence[str], gap: float) -> DataFra
         return pd.DataFrame([(*pdf[list(keys)].iloc[0], *c) for c in out], columns=[*keys, "r_start", "r_end", "q_start", "q_end", "n_blocks"])
 
     return df.select(*keys, "r_start", "r_end", "q_start", "q_end").groupBy(*keys).applyInPandas(run, f"{kinds}, r_start long, r_end long, q_start long, q_end long, n_blocks long")
+
+
+def block_coverage(spans: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:
+    """keys, block, covered: the share of each block of `width` that the union of the spans covers; blocks without any don't appear."""
+    cells = spans.where(F.col(start) < F.col(end)).withColumn("block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    low, high = F.greatest(F.col(start), F.col("block") * width), F.least(F.col(end), (F.col("block") + 1) * width)
+    pieces = cells.select(*keys, "block", low.alias("_s"), high.alias("_e"))
+    return union_length(pieces, [*keys, "block"], "_s", "_e").select(*keys, "block", (F.col("covered") / width).alias("covered"))
+
+
+def binned_mean(df: DataFrame, x: str, y: str, low: float, high: float, bins: int, least: int = 3) -> DataFrame:
+    """bin, n, x, y: means over equal bins of x, of those with at least `least` rows; the upper end is in the last bin."""
+    number = F.least(F.floor((F.col(x) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    inside = df.where((F.col(x) >= low) & (F.col(x) <= high)).withColumn("bin", number)
+    return inside.groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y")).where(F.col("n") >= least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,3 +73,18 @@ def bic(loglik: Column, parameters: int, n: Column) -> Column:
 def supported(null: Column, full: Column, critical: float) -> Column:
     """Whether twice the gain in log-likelihood exceeds a critical value."""
     return F.greatest(2 * (full - null), F.lit(0.0)) > critical
+
+
+def fit_logistic(points: Sequence[tuple[float, float, float]], steps: int = 50) -> tuple[float, float]:
+    """(middle, scale) of 1 / (1 + exp(-(x - middle) / scale)) through (x, y, weight): Gauss-Newton from a straight line through the logits, on a handful of bins."""
+    x, y, w = (np.array(c, float) for c in zip(*points, strict=True))
+    logit = np.log(np.clip(y, 1e-3, 1 - 1e-3) / (1 - np.clip(y, 1e-3, 1 - 1e-3)))
+    b, a = np.polyfit(x, logit, 1, w=np.sqrt(w))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -40, 40)))
+        j = (p * (1 - p))[:, None] * np.c_[np.ones_like(x), x]
+        step = np.linalg.solve((j * w[:, None]).T @ j + 1e-9 * np.eye(2), (j * w[:, None]).T @ (y - p))
+        a, b = a + step[0], b + step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(-a / b), float(1 / b)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import assign, intervals, joins, metrics, ranking
-from .catalog import _GATE, MEASURED, measured, query, read
+from ..operators import assign, calibrate, intervals, joins, metrics, ranking
+from .catalog import _GATE, _SPANS, MEASURED, measured, query, read, spans
 
 _E = "abs(t2 - truth)"
 
@@ -205,3 +205,29 @@ def error_decomposition(spark, d):
     discount = F.col("l_discount")
     m = m.withColumn("slice", F.when(discount < 0.03, "low").when(discount < 0.07, "mid").otherwise("high")).withColumn("gate", C.gate(F.col("t3") * 10, F.col("t2") * 10, F.col("shape"), F.col("t1")))
     return metrics.decomposed(m, ["slice", "gate"], "t2", "truth")
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT user_id, unnest(range(s // 3600, (e - 1) // 3600 + 1)) AS block, s, e FROM spans WHERE s < e), p AS (SELECT user_id, block, greatest(s, block * 3600) AS s, least(e, (block + 1) * 3600) AS e FROM c),
+  r AS (SELECT *, max(e) OVER (PARTITION BY user_id, block ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p) SELECT user_id, block, round(sum(greatest(0, e - greatest(s, coalesce(reach, s)))) / 3600, 6) AS covered FROM r GROUP BY 1, 2""")
+def block_coverage(spark, d):
+    return intervals.block_coverage(spans(spark, d), ["user_id"], "s", "e", 3600).withColumn("covered", F.round("covered", 6))
+
+
+@query("""SELECT bin, n, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT CAST(least(floor((l_quantity - 0) / (50 - 0) * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(l_quantity) AS x, avg(l_discount) AS y FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1) WHERE n >= 3""")
+def binned_mean(spark, d):
+    return intervals.binned_mean(read(spark, d, "lineitem"), "l_quantity", "l_discount", 0, 50, 10).select("bin", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def multi_seed_cv(spark, d):
+    m = measured(spark, d).withColumn("y", F.col("t2") - F.col("truth"))
+    scores = calibrate.multi_seed_cv(m, ["l_quantity", "l_discount", "l_tax"], "y", [1, 2, 3, 4, 5])
+    return metrics.with_mean(scores, [], "seed", "mae")
+
+
+@query()
+def gbrt_train(spark, d):
+    """Parts' prices from their number and size by boosted trees, as an expression on the whole table."""
+    part = read(spark, d, "part")
+    model = calibrate.boosted(part, ["p_partkey", "p_size"], "p_retailprice", [(2, 5, 0.3), (3, 5, 0.3)], 2)
+    return part.select("p_partkey", F.round(calibrate.boosted_column(model), 6).alias("pred"))

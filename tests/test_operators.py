@@ -191,3 +191,50 @@ def test_screen_keeps_keys_of_many_carriers(spark):
     df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in [*s, *s]], "id long, tag string").repartition(3)
     want = [(a, b, n, n / min(len(sets[a]), len(sets[b]))) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) >= 3]
     assert rows(tags.screen(df, "id", ["tag"])) == sorted(want)
+
+
+def test_site_classes():
+    from tagloom.functions.likelihood import SiteStrata, Strata
+
+    one = np.ones((1, 1))
+    n, miss = np.array([[[50.0, 10.0, 2.0]]]), np.array([[20.0]])
+    a = np.array([0.97])
+    plain, classed = Strata(32 * one, 26 * one, n, miss), SiteStrata(6 * one, 26 * one, 0 * one, 0 * one, n, miss)
+    assert np.allclose(plain.log_found(a), classed.log_found(a))
+    found = SiteStrata(4 * one, 3 * one, 2 * one, 1 * one, np.zeros((1, 1, 9)), miss)
+    p = np.exp(found.log_found(a)).sum()
+    assert p == pytest.approx(0.97**4 * (0.97 + 0.03 / 3) ** 2 * (0.97 + 0.03 * 2 / 3))
+
+
+def test_boosted_trees_as_columns(spark):
+    from tagloom.operators import calibrate
+
+    r = np.random.default_rng(3)
+    rows = [(float(a), float(b) if i % 9 else None, float(3 * (a > 0.4) + 2 * (b > 0.7))) for i, (a, b) in enumerate(r.random((400, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model = calibrate.boosted(df, ["a", "b"], "y", [(1, 2, 0.5), (2, 8, 0.5)], 2)
+    assert model["depth"] == 2
+    out = df.select("y", calibrate.boosted_column(model).alias("p")).collect()
+    assert np.mean([(x["y"] - x["p"]) ** 2 for x in out]) < 0.2 * np.var([x["y"] for x in out])
+    assert calibrate.prefer(1.0, 0.99) == "B" and calibrate.prefer(1.0, 0.999) == "A"
+
+
+def test_cv_over_seeds_and_logistic(spark):
+    from tagloom.operators import calibrate, mixture
+
+    rows = [(float(i), 2.0 * i + 1 + (i % 3 - 1) * 0.1) for i in range(300)]
+    got = calibrate.multi_seed_cv(spark.createDataFrame(rows, "x double, y double"), ["x"], "y", [1, 2], 5, 0.01).collect()
+    assert {r["seed"] for r in got} == {1, 2} and all(r["n"] == 300 and r["mae"] < 0.2 for r in got)
+    x = np.linspace(0, 10, 9)
+    assert mixture.fit_logistic([(v, 1 / (1 + np.exp(-(v - 4) / 1.5)), 5.0) for v in x]) == pytest.approx((4, 1.5), rel=1e-3)
+
+
+def test_exact_quantiles_with_null_keys(spark):
+    from tagloom.operators import ranking
+
+    r = np.random.default_rng(1)
+    rows = [(k, float(v) if v < 90 else None) for k in ("a", "b", None) for v in r.integers(0, 100, 200)]
+    got = {x["k"]: x["quantiles"] for x in ranking.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0, 0.25, 0.5, 1]).collect()}
+    for k in ("a", "b", None):
+        assert got[k] == pytest.approx(np.quantile([v for q, v in rows if q == k and v is not None], [0, 0.25, 0.5, 1]).tolist())
+    assert ranking.quantiles(spark.createDataFrame([], "k string, v double"), [], "v", [0.5]).collect() == []
