@@ -7,7 +7,10 @@ document and never the batch.
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def single_threaded() -> None:
+    """Keeps the matrix products of this process on one core, as Spark runs a task for each core already; threads that wait for work would burn the others."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and each text's bounds; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, slice_hash, small, spans, table
+from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, single_threaded, slice_hash, small, spans, table
 from ..operators.graph import connected_components
 
 CELL_BITS = 21
@@ -189,6 +189,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many hashes each set of left shares with each of right."""
+    single_threaded()
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2**24 common hashes
 
