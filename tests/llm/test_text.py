@@ -564,3 +564,38 @@ def test_quality(spark, empty):
     assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.9 and all(0 <= s <= 1 for s in got.values())
     assert op10.score(empty, model).count() == 0
     assert op10.train(docs, labels.limit(0)).weights == (0.0, 0.0, 0.0)
+
+
+def test_quality_query(spark, tmp_path):
+    good = [(i, prose(60, i).replace("w", "word ")) for i in range(80)]
+    bad = [(i + 1000, " ".join(x.upper() + "!!" for x in prose(60, i).split())) for i in range(80)]
+    rows = [*good, *bad, (5000, None), (5001, ""), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op10.op10_quality(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((i is None, i) for i, _ in rows)
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["predicted"] == int(r["doc_id"] < 1000) for r in held if r["doc_id"] < 5000]) > 0.9
+
+
+# --- all
+
+def test_columns_with_clashing_names(spark):
+    """Operators neither fail nor change where documents have columns named like their own."""
+    names = ("uid", "node", "key", "share", "score", "n", "ids", "text_hash", "starts", "root", "component", "train", "crc", "words", "hits", "id", "g", "token")
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:9])], "doc_id long, text string")
+    wide = plain.select("*", *[F.lit(7).alias(c) for c in names])
+    items = spark.createDataFrame([("a", PASSAGE)], "item_id string, text string")
+    model = op10.fit([(prose(40, i), i % 2) for i in range(12)])
+    for run in (
+        lambda d: op1.contamination(d, items).select("doc_id", "n_words", "n_hit"),
+        lambda d: op6.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n")),
+        lambda d: op8.join(d).select("doc_id", "n_shingles", "component_id"),
+        lambda d: op10.score(d, model).select("doc_id", "score"),
+        lambda d: op7.with_next(d).select("key.id", "n"),
+        lambda d: op5.scores(d),
+    ):
+        a, b = (sorted(map(tuple, run(d).collect())) for d in (plain, wide))
+        assert len(a) == len(b) and all(x[:-2] == y[:-2] and x[-2:] == pytest.approx(y[-2:]) for x, y in zip(a, b, strict=True))
