@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 _folders: dict[str, SparkSession] = {}
 
 
@@ -28,10 +30,17 @@ def scratch(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which cuts the lineage for good."""
+    """Writes df to the shared folder and reads it again, which cuts the lineage for good.
+
+    Meanwhile Python gets rows in smaller batches, as a batch of whole texts is held several times at once by each task."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, str(min(int(usual), BATCH_ROWS)) if int(usual) > 0 else str(BATCH_ROWS))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
     _folders[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
