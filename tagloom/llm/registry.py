@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("op1_decontamination", "op2_tokens", "op3_license", "op4_html", "op5_lm", "op6_packing", "op7_merkle", "op8_jaccard", "op9_suffix", "op10_quality", "op11_divergence", "op12_centroids")
+NAMES = ("op1_decontamination", "op2_tokens", "op3_license", "op4_html", "op5_lm", "op6_packing", "op7_merkle", "op8_jaccard", "op9_suffix", "op10_quality", "op11_divergence", "op12_centroids", "op13_bytepair")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
