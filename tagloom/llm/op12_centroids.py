@@ -60,7 +60,7 @@ def seeds(rows: DataFrame, k: int = CLUSTERS, seed: str = SEED) -> np.ndarray:
     """The k vectors whose ids hash lowest, in that order."""
     key = F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256)
     first = rows.select(key.alias("key"), "x").orderBy(F.asc_nulls_last("key"), "x").limit(k).collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1 if first else 0)
 
 
 def squared(v: np.ndarray, c: np.ndarray) -> np.ndarray:

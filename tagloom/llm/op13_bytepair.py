@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -126,6 +127,8 @@ class Ranks:
 
     def short(self, piece: bytes) -> list[int]:
         """One piece, as merge does."""
+        if len(piece) > 4 * SHORT:
+            return self._long(piece)
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         get = self.pair.get
         pairs = [get(x << 32 | y, NONE) for x, y in zip(ids, ids[1:], strict=False)]
@@ -142,6 +145,28 @@ class Ranks:
                 pairs[at - 1] = get(ids[at - 1] << 32 | best, NONE)
         return ids
 
+    def _long(self, piece: bytes) -> list[int]:
+        """The same with a heap of pairs by rank and place, for windows that had to grow."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        n, get = len(ids), self.pair.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, x, y) for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(x << 32 | y, NONE)) < NONE]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != x or j >= n or ids[j] != y:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(rank << 32 | ids[k], NONE)) < NONE:
+                    heapq.heappush(heap, (r, i, rank, ids[k]))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 32 | rank, NONE)) < NONE:
+                heapq.heappush(heap, (r, h, ids[h], rank))
+        return [x for x in ids if x >= 0]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
         if not left or not right:
@@ -156,8 +181,8 @@ class Ranks:
             right_stands = y == len(right) or ids[-1] == right[y - 1]
             if left_stands and right_stands:
                 return [*left[:-x], *ids, *right[y:]]
-            x = x if left_stands else min(len(left), 2 * x)
-            y = y if right_stands else min(len(right), 2 * y)
+            x = x if left_stands else min(len(left), 4 * x)
+            y = y if right_stands else min(len(right), 4 * y)
 
     def encode(self, piece: bytes) -> list[int]:
         """By halves."""
@@ -231,7 +256,11 @@ class Coder:
 
     def _join(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
         stand, between, first = self.seam(left[0], right[0])
-        return [*left[0][:stand], *between, *right[0][first:]], [*left[1][:stand], *map(self._piece, between), *right[1][first:]]
+        if between == [left[0][-1] + right[0][0]]:  # a piece lay over the seam: its halves are encoded already
+            ids = [self._raw(self.ranks.join(*(np.frombuffer(raw, "<u4").tolist() for raw in (left[1][-1], right[1][0]))))]
+        else:
+            ids = list(map(self._piece, between))
+        return [*left[0][:stand], *between, *right[0][first:]], [*left[1][:stand], *ids, *right[1][first:]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN:
