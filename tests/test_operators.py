@@ -26,6 +26,98 @@ def test_golden_pair():
     assert f["n_tags"] == 6014 and f["supported"]
 
 
+# Six more published pairs, as found with 0, 1 and 2 differences and not found for AlfI, AloI, BcgI and FalI, and what was printed for them:
+# ani_uniform, ani, retention, ani_from_loss, ani_from_hist.
+PUBLISHED = [
+    ([80, 69, 62, 735, 38, 47, 27, 279, 161, 131, 143, 1704, 48, 41, 31, 235], (89.7241, 82.4991, 0.2687, 88.9275, 95.0472)),
+    ([23, 18, 20, 201, 9, 10, 9, 90, 30, 40, 29, 434, 66, 76, 69, 532], (89.3795, 84.5477, 0.2753, 88.6654, 94.0587)),
+    ([23, 21, 22, 201, 10, 8, 5, 83, 34, 33, 29, 447, 60, 77, 58, 522], (89.2896, 83.4329, 0.2698, 88.5058, 94.3902)),
+    ([374, 512, 331, 652, 125, 136, 66, 167, 534, 764, 523, 999, 169, 195, 112, 285], (95.0143, 95.0143, 0.6404, 95.0849, 94.8768)),
+    ([1947, 44, 1, 15, 502, 13, 0, 5, 2804, 80, 0, 20, 711, 11, 2, 8], (99.8935, 99.8935, 0.9935, 99.8717, 99.8988)),
+    ([889, 384, 109, 465, 249, 74, 19, 121, 1345, 480, 146, 700, 356, 109, 35, 244], (97.4294, 96.0217, 0.8317, 96.1509, 98.3162)),
+]
+
+
+@pytest.mark.parametrize("counts, printed", PUBLISHED)
+def test_published_pairs(counts, printed):
+    x = np.array(counts, float).reshape(1, 4, 4)
+    f = fit_all(Strata(np.array([[32, 27, 32, 27]]), np.array([[26, 20, 26, 21]]), x[..., :3], x[..., 3]))
+    for name, value in zip(("ani_uniform", "ani", "retention", "ani_from_loss", "ani_from_hist"), printed, strict=True):
+        assert f[name][0] * (1 if name == "retention" else 100) == pytest.approx(value, abs=6e-5), name
+
+
+def test_derivatives_are_those_of_the_likelihood():
+    from tagloom.functions.likelihood import _gamma_slopes
+
+    r = np.random.default_rng(1)
+    shape = (5, 3)
+    k, b = np.full(shape, 32.0), r.integers(18, 24, shape).astype(float)
+    s = Strata(k, b, r.integers(1, 300, (*shape, 3)).astype(float), r.integers(1, 300, shape).astype(float), r.integers(0, 3, shape), r.integers(0, 3, shape))
+    a, e = r.uniform(0.7, 0.99, 5), 1e-6
+    for renormalised in (False, True):
+        f = lambda x: -s.loss(s.log_found(x), renormalised)  # noqa: B023, E731
+        first, second = s.score(a, renormalised)
+        assert np.allclose((f(a + e) - f(a - e)) / (2 * e), first, rtol=1e-5, atol=1e-2)
+        assert np.allclose((s.score(a + e, renormalised)[0] - s.score(a - e, renormalised)[0]) / (2 * e), second, rtol=1e-5)
+    d, q = r.uniform(0.01, 0.3, 5), r.uniform(0.2, 50, 5)
+    g = lambda d, q: -s.loss(s.log_found_gamma(d, q))
+    by_d, by_d2, by_q = _gamma_slopes(s, d, q)
+    up, down = np.exp(e), np.exp(-e)
+    assert np.allclose((g(d * up, q) - g(d * down, q)) / (2 * e), by_d, rtol=1e-4, atol=1e-2)
+    assert np.allclose((g(d, q * up) - g(d, q * down)) / (2 * e), by_q, rtol=1e-4, atol=1e-2)
+    assert np.allclose((_gamma_slopes(s, d * up, q)[0] - _gamma_slopes(s, d * down, q)[0]) / (2 * e), by_d2, rtol=1e-4, atol=1e-2)
+
+
+@pytest.mark.parametrize("k, n", [(0, 7), (1, 7), (6, 7), (50, 120), (999, 1000), (3, 2000)])
+def test_binomial_limit_is_exact(k, n):
+    p = float(binomial_upper(np.array([k]), np.array([n]))[0])
+    tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+    assert tail == pytest.approx(0.05, rel=1e-6)
+
+
+def test_binomial_limit_of_many_trials():
+    p = binomial_upper(np.array([500_000, 10, 99_999_990]), np.array([1_000_000, 100_000_000, 100_000_000]))
+    assert p[0] == pytest.approx(0.5 + 1.6449 * 0.0005, abs=1e-6) and p[1] == pytest.approx(16.96e-8, rel=1e-3) and p[2] < 1
+
+
+def drawn_sites(seed, d2, d3, a=None, d=None, shape=None, tags=40_000):
+    """Tags of 10 site and 22 body places, site places changed base by base; rates by tag if d is given."""
+    r = np.random.default_rng(seed)
+    keep = np.exp(-r.gamma(shape, d / shape, tags)) if d else np.full(tags, a)
+    change = 1 - keep[:, None]
+    body = (r.random((tags, 22)) < change).sum(1)
+    exact = (r.random((tags, 10 - d2 - d3)) < change).any(1)
+    u2, u3 = r.random((tags, d2)) / change, r.random((tags, d3)) / change
+    lost = exact | ((u2 >= 1 / 3) & (u2 < 1)).any(1) | ((u3 >= 2 / 3) & (u3 < 1)).any(1)
+    m = body + (u2 < 1 / 3).sum(1) + (u3 < 2 / 3).sum(1)
+    found = [int(((m == i) & ~lost).sum()) for i in range(3)]
+    one = np.ones((1, 1))
+    return Strata(32 * one, 22 * one, np.array([[found]], float), np.array([[tags - sum(found)]], float), d2 * one, d3 * one)
+
+
+@pytest.mark.parametrize("d2, d3", [(0, 0), (2, 0), (0, 3), (2, 1)])
+def test_drawn_site_classes_are_recovered(d2, d3):
+    for a in (0.9, 0.97, 0.995):
+        fits = [fit_all(drawn_sites(seed, d2, d3, a, tags=10_000)) for seed in range(9)]
+        off = [(f["ani_uniform"][0] - a) / f["std_err"][0] for f in fits]
+        assert max(map(abs, off)) < 4 and abs(np.mean(off)) < 1  # in standard errors
+    mixed = drawn_sites(9, d2, d3, d=0.08, shape=1.5)
+    f = fit_all(mixed)
+    assert f["supported"][0] and f["ani"][0] == pytest.approx((1 + 0.08 / 1.5) ** -1.5, abs=0.003)
+
+
+def test_site_columns_of_some_pairs_leave_the_others_as_they_are(spark):
+    plain = [("p", "e1", 32, 26, 50, 10, 2, 20), ("p", "e2", 27, 20, 40, 9, 1, 30), ("q", "e1", 32, 26, 90, 4, 0, 5)]
+    schema = "pair string, enzyme string, tag_len int, body_len int, n0 long, n1 long, n2 long, n_miss long"
+    with_sites = [(*r, 0, 0) for r in plain] + [("r", "e1", 32, 22, 70, 12, 3, 9, 2, 1), ("s", "e1", 32, 22, 70, 12, 3, 9, None, None)]
+    want = {r["pair"]: r for r in fit_pairs(spark.createDataFrame(plain, schema), ["pair"]).collect()}
+    got = {r["pair"]: r for r in fit_pairs(spark.createDataFrame(with_sites, schema + ", d2 int, d3 int"), ["pair"]).collect()}
+    for pair, row in want.items():
+        for a, b in zip(row, got[pair], strict=True):
+            assert a == b or a == pytest.approx(b, rel=1e-6, abs=1e-9)
+    assert got["r"]["ani_uniform"] != pytest.approx(got["s"]["ani_uniform"], abs=1e-4)
+
+
 def test_binomial_limit_ends():
     u = binomial_upper(np.array([0, 10, 0]), np.array([20, 10, 0]))
     assert u[0] == pytest.approx(1 - 0.05 ** (1 / 20)) and u[1] == 1 and math.isnan(u[2])
