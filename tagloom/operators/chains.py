@@ -17,6 +17,8 @@ from .intervals import points_in_spans, union_length
 from .tags import strata
 
 GAP_COST, LOOK_BACK, LEAST_ANCHORS, MOST_GAP, WINDOW = 0.01, 50, 4, 50_000, 500
+# A contig is short below so many tags for each anchor that a chain needs; a short contig is placed by at least so many anchors of one order, one of which differs by at most so many bases.
+SHORT_TAGS, LEAST_UNIQUE, NEAR = 8, 2, 1
 # The chance with which a chain may be broken by bad luck, and the least number of skipped tags that break it.
 BREAK_ALPHA, BREAK_FLOOR = 1e-6, 5
 
@@ -87,6 +89,90 @@ def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS,
     return anchors.select(*keys, "q_pos", "r_pos", *given).groupBy(*keys).applyInPandas(run, schema)
 
 
+def short_contigs(query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS) -> DataFrame:
+    """pair and q_contig of contigs without a chain that have fewer than SHORT_TAGS * least tags. query_tags: pair, enzyme, q_contig, q_pos."""
+    counted = query_tags.groupBy(*pair, "q_contig").agg(F.count("*").alias("n")).where(F.col("n") < SHORT_TAGS * least)
+    return counted.select(*pair, "q_contig").join(chain_rows.select(*pair, "q_contig").distinct(), [*pair, "q_contig"], "left_anti")
+
+
+def votes(anchors: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """pair, q_contig, r_contig, reverse, n_unique, mismatches, nearest: the unique anchors by which a contig may lie there, if they are enough. anchors: these and distance, unique."""
+    of_place = anchors.where("unique").groupBy(*pair, "q_contig", "r_contig", "reverse")
+    found = of_place.agg(F.count("*").alias("n_unique"), F.sum("distance").alias("mismatches"), F.min("distance").alias("nearest"))
+    return found.where((F.col("n_unique") >= LEAST_UNIQUE) & (F.col("nearest") <= NEAR))
+
+
+def place_contig(q: np.ndarray, r: np.ndarray, reverse: np.ndarray, r_contig: np.ndarray, distance: np.ndarray, unique: np.ndarray) -> np.ndarray | None:
+    """Which anchors place a short contig: of all groups of unique anchors in one order the largest, then the one with the fewest mismatches, then by
+    reference contig, direction and place. At least LEAST_UNIQUE, one of them with at most NEAR mismatches; else None."""
+    best, chosen = None, None
+    for contig, turned in sorted(set(zip(r_contig[unique].tolist(), reverse[unique].tolist(), strict=True))):
+        own = np.flatnonzero(unique & (r_contig == contig) & (reverse == turned))
+        own = own[np.lexsort((r[own], q[own]))]
+        number = chain_group(q[own], r[own], bool(turned), least=LEAST_UNIQUE)
+        for c in range(number.max(initial=-1) + 1):
+            at = own[number == c]
+            if distance[at].min() <= NEAR:
+                key = (-len(at), int(distance[at].sum()), contig, turned, int(q[at[0]]))
+                if best is None or key < best:
+                    best, chosen = key, at
+    return chosen
+
+
+def rescue(anchors: DataFrame, query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], reach: DataFrame, least: int = LEAST_ANCHORS, window: int = WINDOW) -> DataFrame:
+    """Short contigs without a chain, placed by their unique anchors: rows as `chains` gives them, with q_start and q_end moved out over counted tails.
+
+    anchors: pair, q_contig, r_contig, reverse, q_pos, r_pos, enzyme, distance, unique (the tag occurs once in each genome). reach: pair and reach, the
+    bases of the reference within which an anchor beyond a contig's outermost one has to follow, from whatever contig: then a chain of the
+    unbroken genome would have gone on, and the tail's tags that lie before that anchor are counted. Rows count in strata and aligned
+    bases only; they are no chains. A group is a contig of fewer than SHORT_TAGS * least tags."""
+    wanted = votes(anchors, pair).select(*pair, "q_contig").distinct().join(short_contigs(query_tags, chain_rows, pair, least), [*pair, "q_contig"], "left_semi")
+    kinds = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in (*pair, "q_contig", "r_contig"))
+    columns = [*pair, "q_contig", "r_contig", "reverse", "chain", "n_anchors", "q_start", "q_end", "r_start", "r_end", "hits"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["q_pos", "r_pos", "r_contig", "reverse", "enzyme"])
+        q, r, distance = (pdf[c].to_numpy(np.int64) for c in ("q_pos", "r_pos", "distance"))
+        reverse, r_contig, unique, enzyme = pdf["reverse"].to_numpy(bool), pdf["r_contig"].to_numpy(), pdf["unique"].to_numpy(bool), pdf["enzyme"].to_numpy()
+        at = place_contig(q, r, reverse, r_contig, distance, unique)
+        if at is None:
+            return pd.DataFrame([], columns=columns)
+        turned, sign = bool(reverse[at[0]]), -1 if reverse[at[0]] else 1
+        expected = np.interp(q, q[at], r[at].astype(float))
+        expected = np.where(q < q[at[0]], r[at[0]] + sign * (q - q[at[0]]), np.where(q > q[at[-1]], r[at[-1]] + sign * (q - q[at[-1]]), expected))
+        inside = np.flatnonzero((r_contig == r_contig[at[0]]) & (reverse == turned) & (np.abs(r - expected) <= window))
+        hits: dict[tuple[str, int], int] = {}
+        for i in inside.tolist():
+            hits[enzyme[i], int(q[i])] = min(int(distance[i]), hits.get((enzyme[i], int(q[i])), 99))
+        listed = [{"enzyme": e, "q_pos": p, "distance": d} for (e, p), d in hits.items()]
+        return pd.DataFrame([(*pdf[[*pair, "q_contig"]].iloc[0], r_contig[at[0]], turned, -1, len(at), q[at].min(), q[at].max(), r[at].min(), r[at].max(), listed)], columns=columns)
+
+    schema = f"{kinds}, reverse boolean, chain int, n_anchors long, q_start long, q_end long, r_start long, r_end long, hits array<struct<enzyme:string,q_pos:long,distance:int>>"
+    own = anchors.join(wanted, [*pair, "q_contig"], "left_semi").select(*pair, "q_contig", "r_contig", "reverse", "q_pos", "r_pos", "enzyme", "distance", "unique")
+    placed = own.groupBy(*pair, "q_contig").applyInPandas(run, schema)
+    return with_tails(placed, chain_rows, pair, reach)
+
+
+def with_tails(placed: DataFrame, chain_rows: DataFrame, pair: Sequence[str], reach: DataFrame) -> DataFrame:
+    """placed with q_start and q_end moved out as far as the tails go: to the next end of a chain or placed contig on the reference, if that is at most reach away."""
+    ends = lambda df: df.select(*pair, "r_contig", F.explode(F.array("r_start", "r_end")).alias("_at"))
+    marks = ends(chain_rows).union(ends(placed)).distinct().select(*pair, "r_contig", "_at", F.lit(1).alias("_mark"), F.lit(None).cast("string").alias("_who"))
+    who = F.to_json(F.struct("q_contig"))
+    asked = placed.select(*pair, "r_contig", F.explode(F.array("r_start", "r_end")).alias("_at"), F.lit(0).alias("_mark"), who.alias("_who"))
+    over = Window.partitionBy(*pair, "r_contig").orderBy("_at")
+    mark = F.when(F.col("_mark") == 1, F.col("_at"))
+    near = marks.union(asked).withColumn("_before", F.max(mark).over(over.rangeBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.min(mark).over(over.rangeBetween(1, Window.unboundedFollowing)))
+    found = near.where("_mark = 0").groupBy(*pair, "r_contig", "_who", "_at").agg(F.first("_before").alias("_before"), F.first("_after").alias("_after"))
+    rows = placed.withColumn("_who", who)
+    low = found.select(*pair, "r_contig", "_who", F.col("_at").alias("r_start"), "_before")
+    high = found.select(*pair, "r_contig", "_who", F.col("_at").alias("r_end"), "_after")
+    rows = rows.join(low, [*pair, "r_contig", "_who", "r_start"]).join(high, [*pair, "r_contig", "_who", "r_end"]).join(reach, list(pair), "left")
+    far = lambda gap: F.when(gap <= F.col("reach"), F.greatest(gap - 1, F.lit(0))).otherwise(F.lit(0))
+    below, above = far(F.col("r_start") - F.col("_before")), far(F.col("_after") - F.col("r_end"))
+    left, right = F.when(F.col("reverse"), above).otherwise(below), F.when(F.col("reverse"), below).otherwise(above)
+    return rows.withColumn("q_start", F.greatest(F.col("q_start") - left, F.lit(0)).cast("long")).withColumn("q_end", (F.col("q_end") + right).cast("long")).select(*placed.columns)
+
+
 def chain_strata(query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], width: int = 50_000) -> DataFrame:
     """query_tags: pair, enzyme, q_contig, q_pos. Strata of the tags within chains: each tag counts once, for the chain of most anchors that it lies in."""
     own = ["r_contig", "reverse", "chain"]

@@ -80,8 +80,17 @@ def _fits(counted: DataFrame, panel: Sequence[tags.Enzyme]) -> DataFrame:
     return fit_pairs(counted.withColumn("tag_len", length).withColumn("body_len", body), ["a", "b"])
 
 
-def chained(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, most_shift: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of the pairs' chains and of their usable query and reference tags, in two passes.
+def uniques(query: DataFrame, reference: DataFrame, anchors: DataFrame) -> DataFrame:
+    """anchors with unique: whether the tag occurs once, on both strands together, in each genome."""
+    once = lambda df, contig, pos: df.withColumn("_key", C.canonical(F.col("tag"))).groupBy("a", "b", "enzyme", "_key").agg(F.count("*").alias("_n"), F.first(contig).alias(contig), F.first(pos).alias(pos)).where("_n = 1").select("a", "b", "enzyme", contig, pos)
+    of_query = once(query, "q_contig", "q_pos").withColumn("_q", F.lit(True))
+    of_reference = once(reference, "r_contig", "r_pos").withColumn("_r", F.lit(True))
+    joined = anchors.join(of_query, ["a", "b", "enzyme", "q_contig", "q_pos"], "left").join(of_reference, ["a", "b", "enzyme", "r_contig", "r_pos"], "left")
+    return joined.withColumn("unique", F.coalesce("_q", F.lit(False)) & F.coalesce("_r", F.lit(False))).drop("_q", "_r")
+
+
+def chained(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, most_shift: int | None = None, short_contigs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables of the pairs' chains, of the short contigs that are placed without one, and of their usable query and reference tags; chains in two passes.
 
     The first chains break at long gaps. The identity fitted to the tags within them tells how often a tag is found, and
     the second chains break where more tags are skipped than chance explains, and with most_shift where that many bases are gained or lost."""
@@ -93,16 +102,25 @@ def chained(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme]
     found = _fits(chains.chain_strata(query, first, ["a", "b"]), panel).select("a", "b", chains.break_length(F.col("retention")).alias("most_skips"))
     limits = materialize(found)
     rows = materialize(chains.chains(anchors.join(limits, ["a", "b"], "left"), ["a", "b"], most_shift=most_shift))
+    if short_contigs:
+        spans = reference.groupBy("a", "b", "r_contig").agg((F.max("r_pos") - F.min("r_pos")).alias("bases"), (F.count("*") - 1).alias("gaps")).groupBy("a", "b").agg((F.sum("bases") / F.sum("gaps")).alias("spacing"))
+        reach = spans.join(limits, ["a", "b"], "left").select("a", "b", ((F.coalesce("most_skips", F.lit(float(chains.BREAK_FLOOR))) + 1) * F.coalesce("spacing", F.lit(0.0))).alias("reach"))
+        short = chains.short_contigs(query, rows, ["a", "b"])
+        near = anchors.join(short, ["a", "b", "q_contig"], "left_semi").drop("q_index")
+        placed = materialize(chains.rescue(uniques(query, reference, near), query, rows, ["a", "b"], reach))
+    else:
+        placed = rows.limit(0)
     release(anchors, limits)
-    return rows, query, reference
+    return rows, placed, query, reference
 
 
-def dist(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, lengths: DataFrame | None = None) -> DataFrame:
+def dist(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, lengths: DataFrame | None = None, short_contigs: bool = True) -> DataFrame:
     """Fits, gate, flag and gated identity of each pair, from the tags of a within chains; with lengths (genome_id, length) also the aligned fraction of both genomes.
 
-    A pair without a chain has no identity and is BELOW_DETECTION."""
-    rows, query, reference = chained(sketches, pairs, panel)
-    fits = pairs.select("a", "b").distinct().join(_fits(chains.chain_strata(query, rows, ["a", "b"]), panel), ["a", "b"], "left")
+    With short_contigs the tags of contigs too short for a chain count where unique anchors place them. A pair without either has no identity and is BELOW_DETECTION."""
+    rows, placed, query, reference = chained(sketches, pairs, panel, short_contigs=short_contigs)
+    spans = rows.unionByName(placed)
+    fits = pairs.select("a", "b").distinct().join(_fits(chains.chain_strata(query, spans, ["a", "b"]), panel), ["a", "b"], "left")
     order = chains.synteny(rows, ["a", "b"]).join(rows.groupBy("a", "b").agg(F.sum("n_anchors").alias("n_anchors")), ["a", "b"])
     fits = fits.join(order, ["a", "b"], "left")
     gate = C.gate(F.col("ani_from_loss") * 100, F.col("ani_from_hist") * 100, F.col("het_shape"), F.col("ani"))
@@ -114,7 +132,7 @@ def dist(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = t
         return out
     for genome, side, tag_rows, name in (("a", "q", query, "af_query"), ("b", "r", reference, "af_reference")):
         places = tag_rows.select("a", "b", f"{side}_contig", F.col(f"{side}_pos").alias("pos"))
-        share = chains.aligned(rows, places, ["a", "b"], side).join(pairs.join(lengths.withColumnRenamed("genome_id", genome), genome).select("a", "b", "length"), ["a", "b"])
+        share = chains.aligned(spans, places, ["a", "b"], side).join(pairs.join(lengths.withColumnRenamed("genome_id", genome), genome).select("a", "b", "length"), ["a", "b"])
         out = out.join(share.select("a", "b", F.least(F.lit(1.0), F.col("covered") / F.col("length")).alias(name)), ["a", "b"], "left")
     return out
 
@@ -136,7 +154,7 @@ def search(queries: DataFrame, database: DataFrame, panel: Sequence[tags.Enzyme]
 
 def struct(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, least: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Synteny statistics and structural calls of each pair, from its chains."""
-    rows, _, _ = chained(sketches, pairs, panel, least)
+    rows, _, _, _ = chained(sketches, pairs, panel, least, short_contigs=False)
     return chains.synteny(rows, ["a", "b"]), chains.structural_calls(rows, ["a", "b"], least)
 
 

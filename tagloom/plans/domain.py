@@ -133,7 +133,18 @@ def gamma_mle(spark, d):
     return fits.select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("ani", "std_err", "lrt", "retention", "enzyme_spread", "enzyme_chi2")], "supported", "n_tags")
 
 
-@query()
+_ANI_UPPER = f"""WITH RECURSIVE {_STRATA}, c AS (SELECT l_suppkey, CAST(sum(n0 + n1 + n2) AS BIGINT) AS x, CAST(sum(n0 + n1 + n2 + miss) AS BIGINT) AS n FROM st GROUP BY 1),
+  terms AS (SELECT l_suppkey, x, n, list_transform(range(0, x + 1), lambda j: lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)) AS ln_choose FROM c WHERE x < n),
+  lim(l_suppkey, step, lo, hi) AS (SELECT l_suppkey, 0, x / n, CAST(1 AS DOUBLE) FROM terms UNION ALL
+    SELECT l_suppkey, step + 1, CASE WHEN tail > 0.05 THEN p ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE p END FROM (SELECT l_suppkey, step, lo, hi, p,
+      list_sum(list_transform(range(0, x + 1), lambda j: exp(ln_choose[j + 1] + j * ln(p) + (n - j) * ln(1 - p)))) AS tail FROM (SELECT *, (lo + hi) / 2 AS p FROM lim WHERE step < 50) JOIN terms USING (l_suppkey))),
+  top AS (SELECT c.l_suppkey, coalesce((lo + hi) / 2, 1.0) AS p FROM c LEFT JOIN lim ON lim.l_suppkey = c.l_suppkey AND step = 50),
+  {_bisection(f'sum((n0 + n1 + n2 + miss) * {_P}) < max(p) * sum(n0 + n1 + n2 + miss)').replace("JOIN st USING (l_suppkey)", "JOIN st USING (l_suppkey) JOIN top USING (l_suppkey)")},
+  ends AS (SELECT l_suppkey, sum((n0 + n1 + n2 + miss) * {_P.replace("a, k", "0.999999, k").replace("1 - a", "1 - 0.999999")}) / sum(n0 + n1 + n2 + miss) AS high, sum((n0 + n1 + n2 + miss) * {_P.replace("a, k", "0.5, k").replace("1 - a", "1 - 0.5")}) / sum(n0 + n1 + n2 + miss) AS low FROM st GROUP BY 1)
+  SELECT l_suppkey, round(CASE WHEN p >= 1 OR p >= high THEN 1.0 WHEN p <= low THEN 0.5 ELSE (lo + hi) / 2 END, 4) AS ani_upper95 FROM it JOIN top USING (l_suppkey) JOIN ends USING (l_suppkey) WHERE step = 50"""
+
+
+@query(_ANI_UPPER)
 def ani_upper95(spark, d):
     return fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_upper95", 4).alias("ani_upper95"))
 
