@@ -143,6 +143,11 @@ def keyed_running_total(df: DataFrame, keys: Sequence[str], order: str, value: s
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """keys, n and quantiles (an array), interpolated between neighbours: exact, from counts of distinct values dealt by ranges. Nulls don't count."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    return counted_quantiles(counted, keys, points)
+
+
+def counted_quantiles(counted: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """As quantiles, from keys, _v and _c: each value once with how often it occurs."""
     ranked = keyed_running_total(counted, keys, "_v", "_c", "_upto")
     joined = _matched(ranked, counted.groupBy(*keys).agg(F.sum("_c").alias("_size")), keys)
     place = [(F.col("_size") - 1) * F.lit(float(p)) for p in points]
