@@ -129,8 +129,8 @@ class Strata:
         if renormalised:
             seen, s = self.n.sum(-1), np.maximum(s, _TINY)
             return (first - seen * s1 / s).sum(-1), (second - seen * (s2 / s - (s1 / s) ** 2)).sum(-1)
-        lost = np.maximum(1 - s, _TINY)
         miss = self.miss > 0
+        lost = np.where(miss, np.maximum(1 - s, 1e-150), 1.0)  # whose square is no overflow
         return (first - np.where(miss, self.miss * s1 / lost, 0)).sum(-1), (second - np.where(miss, self.miss * (s2 / lost + (s1 / lost) ** 2), 0)).sum(-1)
 
     def retention(self, a: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ size depends on the number of features alone.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -184,8 +185,62 @@ def parse_tree(text: str, features: Sequence[str]) -> dict:
 
 def boosted_column(model: dict) -> Column:
     """The prediction of what `boosted` gives, nulls filled by its medians."""
-    fill = dict(zip(model["features"], model["medians"], strict=True))
+    fill = dict(zip(model["features"], model["medians"], strict=True)) if model["medians"] else None
     out = F.lit(float(model["initial"]))
     for t in model["trees"]:
         out = out + F.lit(float(t["weight"])) * tree(t["tree"], fill)
     return out
+
+
+def trees_json(model: dict) -> str:
+    """What `boosted` gives as text: meta (number of trees, depth, learning rate, initial value, feature names, medians) and trees of nodes, leaves {type, value} and
+    splits {type, feature, feature_name, threshold, left, right} that name their children by number. A prediction is the initial value and the rate times the sum of the leaves."""
+    names, rate = list(model["features"]), float(model["rate"])
+
+    def nodes(root: dict, weight: float) -> list[dict]:
+        out: list[dict] = []
+
+        def add(node: dict) -> int:
+            at = len(out)
+            if "value" in node and "feature" not in node:
+                out.append({"type": "leaf", "value": float(node["value"]) * weight / rate})
+                return at
+            split = {"type": "split", "feature": names.index(node["feature"]), "feature_name": node["feature"], "threshold": float(node["threshold"])}
+            out.append(split)
+            split["left"], split["right"] = add(node["left"]), add(node["right"])
+            return at
+
+        add(root)
+        return out
+
+    meta = {"n_estimators": len(model["trees"]), "max_depth": int(model["depth"]), "learning_rate": rate, "init_value": float(model["initial"]), "feature_names": names, "imputer_medians": list(model["medians"])}
+    return json.dumps({"meta": meta, "trees": [{"nodes": nodes(t["tree"], float(t["weight"]))} for t in model["trees"]]}, indent=2)
+
+
+def trees_from_json(text: str) -> dict:
+    """A model for `boosted_column` from that text, whoever wrote it; without medians nulls go right."""
+    data = json.loads(text)
+    meta, names = data["meta"], list(data["meta"]["feature_names"])
+
+    def node(nodes: list[dict], at: int, above: frozenset[int] = frozenset()) -> dict:
+        if at in above or not 0 <= at < len(nodes):
+            raise ValueError("the nodes of a tree have to lead from the first to leaves")
+        n = nodes[at]
+        if n["type"] == "leaf":
+            return {"value": float(n["value"])}
+        return {"feature": names[n["feature"]], "threshold": float(n["threshold"]), "left": node(nodes, n["left"], above | {at}), "right": node(nodes, n["right"], above | {at})}
+
+    rate = float(meta["learning_rate"])
+    trees = [{"weight": rate, "tree": node(t["nodes"], 0)} for t in data["trees"]]
+    return {"initial": float(meta["init_value"]), "trees": trees, "features": names, "medians": meta.get("imputer_medians"), "depth": int(meta["max_depth"]), "rate": rate}
+
+
+def linear_json(model: Ridge, name: str, rows: int, error: float) -> str:
+    """A linear model as text, with the number of rows it was fitted to and its mean absolute error on them."""
+    told = {"name": name, "feature_names": model.features, "means": model.means, "scales": model.scales, "coefficients": model.coefficients, "intercept": model.intercept, "imputer_medians": model.medians, "training_n": rows, "training_mae": error}
+    return json.dumps(told | {"alpha": model.alpha}, indent=2)
+
+
+def linear_from_json(text: str) -> Ridge:
+    m = json.loads(text)
+    return Ridge(m["feature_names"], m["imputer_medians"], m["means"], m["scales"], m["coefficients"], m["intercept"], float(m.get("alpha", float("nan"))))

@@ -330,4 +330,4 @@ def set_operations(spark, d):
     return out
 
 
-from . import domain, fits, reports  # noqa: E402, F401  register their queries
+from . import domain, fits, models, reports  # noqa: E402, F401  register their queries

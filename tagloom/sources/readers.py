@@ -108,3 +108,11 @@ def read_accessions(df: DataFrame, column: str) -> DataFrame:
 def read_model(spark: SparkSession, path: str) -> dict:
     """A model file as a dictionary; a model is one small document."""
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def read_model_text(spark: SparkSession, path: str) -> str:
+    """The JSON of `write_model`, for trees_from_json or linear_from_json."""
+    parts = [r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect() if r[0].strip()]
+    if len(parts) != 1:
+        raise ValueError(f"one model was expected in {path}")
+    return parts[0]

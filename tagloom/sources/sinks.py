@@ -40,3 +40,8 @@ def write_fasta(sequences: DataFrame, path: str, ident: str = "contig_id", seq:
 
 def model_row(spark: SparkSession, model: Ridge, name: str) -> DataFrame:
     return spark.createDataFrame([(name, json.dumps(asdict(model)))], "name string, model string")
+
+
+def write_model(spark: SparkSession, text: str, path: str) -> None:
+    """A model's JSON as one file in a folder of any store that Spark reaches."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
