@@ -28,23 +28,52 @@ def majority(df: DataFrame, key: str, target: str, weight: str, places: int = 6)
     return best.select(key, F.col("_m.t").alias("majority"), top.alias("majority_bp"), (total - top).alias("other_bp"), F.round(F.try_divide(total - top, total) * 100, places).alias("contam_pct"))
 
 
+class Rooms:
+    """Free room of batches, the first with enough of it found in a tree of maxima."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.used, self.leaves = most, 0, 1
+        self.tree = [0, most]  # the root is 1, the children of i are 2 i and 2 i + 1; unused batches have all their room
+
+    def put(self, n: int) -> int:
+        if n > self.most:  # a batch of its own, without room for others
+            at, room = self.used, 0
+        else:
+            if self.tree[1] < n or self.used >= self.leaves:
+                self._grow()
+            at = 1
+            while at < self.leaves:
+                at = 2 * at if self.tree[2 * at] >= n else 2 * at + 1
+            room, at = self.tree[at] - n, at - self.leaves
+        while at >= self.leaves:
+            self._grow()
+        self.used = max(self.used, at + 1)
+        i = at + self.leaves
+        self.tree[i] = room
+        while i > 1:
+            i //= 2
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+        return at
+
+    def _grow(self) -> None:
+        """Twice as many batches."""
+        level = self.tree[self.leaves :] + [self.most] * self.leaves
+        levels = [level]
+        while len(levels[0]) > 1:
+            below = levels[0]
+            levels.insert(0, [max(below[i], below[i + 1]) for i in range(0, len(below), 2)])
+        self.leaves, self.tree = 2 * self.leaves, [0, *[x for part in levels for x in part]]
+
+
 def first_fit_decreasing(df: DataFrame, keys: Sequence[str], item: str, size: str, most: int) -> DataFrame:
     """df: keys, item, size. Items of a key, the largest and then the least name first, go into the first batch with room; larger ones than a batch get one of their own.
 
-    Sequential by nature: the items of a key, one row each, are one task."""
+    Sequential by nature: the items of a key, one row each, are one task, in as many steps as a tree of the batches' room is deep."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, item, size))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([size, item], ascending=[False, True])
-        room: list[int] = []
-        batches = []
-        for n in pdf[size]:
-            at = next((i for i, r in enumerate(room) if n <= r), None)
-            if at is None:
-                at = len(room)
-                room.append(most)
-            room[at] -= n
-            batches.append(at)
-        return pdf.assign(batch=batches)
+        rooms = Rooms(most)
+        return pdf.assign(batch=[rooms.put(n) for n in pdf[size].tolist()])
 
     return df.select(*keys, item, size).groupBy(*keys).applyInPandas(run, f"{kinds}, batch int")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import points_in_spans, union_length
+from .ranking import quantiles
 from .tags import strata
 
 GAP_COST, LOOK_BACK, LEAST_ANCHORS, MOST_GAP, WINDOW = 0.01, 50, 4, 50_000, 500
@@ -190,8 +191,9 @@ def aligned(chain_rows: DataFrame, tags: DataFrame, pair: Sequence[str], side: s
     tags: pair, contig and pos of that side's usable tags; spans are merged within a contig."""
     contig = f"{side}_contig"
     over = Window.partitionBy(*pair, contig).orderBy("pos")
-    gaps = tags.select(*pair, contig, (F.lead("pos").over(over) - F.col("pos")).alias("gap")).groupBy(*pair, contig).agg((F.percentile_approx("gap", 0.5) / 2).cast("long").alias("half"), F.count("*").alias("_n"))
-    spans = chain_rows.join(gaps, [*pair, contig]).select(*pair, contig, F.greatest(F.lit(0), F.col(f"{side}_start") - F.coalesce("half", F.lit(0))).alias("s"), (F.col(f"{side}_end") + F.coalesce("half", F.lit(0))).alias("e"))
+    gaps = tags.select(*pair, contig, (F.lead("pos").over(over) - F.col("pos")).alias("gap"))
+    half = quantiles(gaps, [*pair, contig], "gap", [0.5]).select(*pair, contig, (F.col("quantiles")[0] / 2).cast("long").alias("half"))
+    spans = chain_rows.join(half, [*pair, contig], "left").select(*pair, contig, F.greatest(F.lit(0), F.col(f"{side}_start") - F.coalesce("half", F.lit(0))).alias("s"), (F.col(f"{side}_end") + F.coalesce("half", F.lit(0))).alias("e"))
     return union_length(spans, [*pair, contig], "s", "e").groupBy(*pair).agg(F.sum("covered").alias("covered"))
 
 
@@ -209,7 +211,7 @@ def structural_calls(chain_rows: DataFrame, pair: Sequence[str], least: int = 10
     step back a translocation, and gaps that differ by `least` or more an insertion or deletion, unless a third chain lies in the reference's gap."""
     plain = chain_rows.drop("hits")
     main = plain.groupBy(*pair, "reverse").agg(F.sum("n_anchors").alias("k")).groupBy(*pair).agg(F.max(F.struct(F.col("k"), (~F.col("reverse")).alias("forward"))).alias("m")).select(*pair, (~F.col("m.forward")).alias("main"))
-    over = Window.partitionBy(*pair, "q_contig").orderBy("q_start", "q_end", "chain")
+    over = Window.partitionBy(*pair, "q_contig").orderBy("q_start", "q_end", "chain", "r_contig", "reverse", "r_start", "r_end")
     before = {c: F.lag(c).over(over) for c in ("r_contig", "reverse", "q_end", "r_start", "r_end", "n_anchors")}
     rows = plain.join(main, list(pair)).select("*", *[c.alias(f"p_{k}") for k, c in before.items()])
     dq = F.col("q_start") - F.col("p_q_end")

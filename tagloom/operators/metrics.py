@@ -141,3 +141,13 @@ def decomposed(df: DataFrame, keys: Sequence[str], pred: str, truth: str, places
     total = e.agg(F.sum(F.abs("_e")).alias("_total"))
     out = e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.stddev_pop("_e").alias("deviation"), F.sum(F.abs("_e")).alias("_own"))
     return out.join(F.broadcast(total)).select(*keys, "n", F.round("bias", places).alias("bias"), F.round("deviation", places - 1).alias("deviation"), F.round(F.try_divide("_own", "_total"), places).alias("share"))  # one row of totals
+
+
+def kept_and_flagged(df: DataFrame, groups: Sequence[str], error: Column, flag: Column) -> DataFrame:
+    """groups, kept_mae, n_kept, flagged_mae, n_flagged, inverted: errors of kept and flagged rows, and whether the flag does harm as flagged rows are the better ones.
+
+    A null flag keeps; null errors don't count; without flagged or kept rows nothing is inverted."""
+    rows = df.select(*groups, F.abs(error).alias("_e"), F.coalesce(flag, F.lit(False)).alias("_f")).where(F.col("_e").isNotNull())
+    kept, flagged = (F.avg(F.when(c, F.col("_e"))) for c in (~F.col("_f"), F.col("_f")))
+    out = rows.groupBy(*groups).agg(kept.alias("kept_mae"), F.sum((~F.col("_f")).cast("long")).alias("n_kept"), flagged.alias("flagged_mae"), F.sum(F.col("_f").cast("long")).alias("n_flagged"))
+    return out.withColumn("inverted", F.coalesce(F.col("flagged_mae") < F.col("kept_mae"), F.lit(False)))

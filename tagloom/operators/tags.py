@@ -101,6 +101,30 @@ def screen(tags: DataFrame, ident: str, keys: Sequence[str], least_shared: int =
     return wide.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "shared", "containment")
 
 
+def _classes(distinct: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """rep and size of each class of equal key sets, and the class (rep) of each id."""
+    members = distinct.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*keys)))), 256).alias("_set"), F.count("*").alias("size"))
+    first = members.groupBy("_set").agg(F.min("id").alias("rep"), F.first("size").alias("size"))
+    return first.select("rep", "size"), members.join(first.select("_set", "rep"), "_set").select("id", "rep")
+
+
+def screen_sides(left: DataFrame, right: DataFrame, ident: str, keys: Sequence[str], least_shared: int = 3, least_containment: float = 0.001) -> DataFrame:
+    """a (of left), b (of right), shared, containment of all pairs with enough distinct keys in common; no pair within a side is made, and none of an id with itself.
+
+    On each side sequences of equal key sets are one class; classes meet by key."""
+    sides = []
+    for df, name in ((left, "x"), (right, "y")):
+        distinct = df.select(F.col(ident).alias("id"), *keys).distinct()
+        first, own = _classes(distinct, keys)
+        of_class = distinct.join(first.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", name)
+        sides.append((of_class, first.withColumnsRenamed({"rep": name, "size": f"_n{name}"}), own.withColumnsRenamed({"rep": name, "id": f"_{name}"})))
+    (kx, nx, ox), (ky, ny, oy) = sides
+    shared = kx.join(ky, list(keys)).groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    good = shared.join(nx, "x").join(ny, "y").withColumn("containment", F.col("shared") / F.least("_nx", "_ny")).where(F.col("containment") >= least_containment)
+    wide = good.select("x", "y", "shared", "containment").join(ox, "x").join(oy, "y").where("_x <> _y")
+    return wide.select(F.col("_x").alias("a"), F.col("_y").alias("b"), "shared", "containment")
+
+
 def tolerant_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], tag: str, tolerance: int, length: int, distance: Column | None = None) -> DataFrame:
     """Pairs of tags (columns a_*, b_*) that differ in at most `tolerance` places: cut into tolerance + 1 parts, they share one.
 
@@ -126,25 +150,36 @@ def strata(query_tags: DataFrame, matches: DataFrame, pair: Sequence[str], tag_i
     return joined.groupBy(*pair, "enzyme").agg(*found, F.sum(F.when(F.col("_m").isNull(), 1).otherwise(0)).alias("n_miss"))
 
 
-def kmer_identity(pairs: DataFrame, seqs: DataFrame, ident: str, seq: str, k: int = 16, fragment: int = 3000, least_shared: int = 50) -> DataFrame:
-    """For each pair a, b: fragments of a with at least least_shared distinct k-mers in b, and the mean identity 1 + ln(2j / (1 + j)) / k over them."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, s in enumerate(batch.column(1).to_pylist()):
-                s = s or ""
-                sets = [(f, {s[p : p + k] for p in range(f * fragment, min((f + 1) * fragment, len(s)) - k + 1)}) for f in range(-(-len(s) // fragment))]
-                rows = [(f, x, len(v)) for f, v in sets for x in v]
-                if rows:
-                    fs, xs, ns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), pa.array(fs, pa.int32()), pa.array(xs, pa.string()), pa.array(ns, pa.int32())], names=[ident, "fragment", "kmer", "size"])
-
-    kind = seqs.schema[ident].dataType.simpleString()
-    grams = seqs.select(ident, seq).mapInArrow(cut, f"{ident} {kind}, fragment int, kmer string, size int")
-    left = pairs.join(grams.withColumnRenamed(ident, "a"), "a")
-    whole = grams.select(F.col(ident).alias("b"), "kmer").distinct()
-    shared = left.join(whole, ["b", "kmer"]).groupBy("a", "b", "fragment").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= least_shared)
-    j = F.col("shared") / F.col("size")
-    return shared.groupBy("a", "b").agg(F.count("*").alias("fragments"), F.avg(1 + F.log(2 * j / (1 + j)) / k).alias("identity"))
+def kmer_identity(pairs: DataFrame, seqs: DataFrame, ident: str, seq: str, k: int = 16, fragment: int = 3000, least_fragment: int = 700, least_shared: int = 50, unknown: str = "N") -> DataFrame:
+    """a, b, fragments, aligned, identity of each pair: how many fragments of a share at least least_shared distinct k-mers with the whole of b, their share among
+    a's fragments of at least least_fragment, and the k-th root of the mean share of their k-mers that b has. Without such a fragment all three are 0.
+
+    k-mers with the unknown character don't count. Only sequences of pairs are cut."""
+
+    def grams(whole: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, s in enumerate(batch.column(1).to_pylist()):
+                    s = s or ""
+                    cuts = [(0, s)] if whole else [(at // fragment, s[at : at + fragment]) for at in range(0, len(s), fragment)]
+                    for f, part in cuts:
+                        if whole or len(part) >= least_fragment:
+                            own = {g for g in (part[p : p + k] for p in range(len(part) - k + 1)) if unknown not in g}
+                            n, found = len(own), [*own, *([] if whole else [None])]  # a fragment counts even without k-mers
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array([f] * len(found), pa.int32()), pa.array(found, pa.string()), pa.array([n] * len(found), pa.int32())], names=[ident, "fragment", "kmer", "size"])
+
+        return run
+
+    kind = f"`{ident}` {seqs.schema[ident].dataType.simpleString()}, fragment int, kmer string, size int"
+    of = lambda side: seqs.select(ident, seq).join(pairs.select(F.col(side).alias(ident)).distinct(), ident, "left_semi")
+    cut = pairs.select("a", "b").join(of("a").mapInArrow(grams(False), kind).withColumnRenamed(ident, "a"), "a")
+    there = of("b").mapInArrow(grams(True), kind).select(F.col(ident).alias("b"), "kmer", F.lit(1).alias("hit"))
+    by_fragment = cut.join(there, ["b", "kmer"], "left").groupBy("a", "b", "fragment").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("shared"), F.max("size").alias("size"))
+    good = F.col("shared") >= least_shared
+    told = by_fragment.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum(good.cast("long")).alias("fragments"), F.avg(F.when(good, F.col("shared") / F.col("size"))).alias("share"))
+    out = pairs.select("a", "b").join(told, ["a", "b"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("a", "b", F.coalesce("fragments", F.lit(0)).alias("fragments"), zero(F.col("fragments") / F.col("all")).alias("aligned"), zero(F.pow("share", F.lit(1.0 / k))).alias("identity"))
 
 
 def over_positions(tags: DataFrame, keys: Sequence[str]) -> DataFrame:

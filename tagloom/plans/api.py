@@ -38,11 +38,15 @@ def db_open(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001) -> DataFrame:
-    """a, b of genomes worth a comparison: enough distinct keys in common. A tag's key is the lesser strand of the WINDOW bases in the middle of its lesser strand."""
+def _screen_keys(sketches: DataFrame) -> DataFrame:
+    """A tag's key is the lesser strand of the WINDOW bases in the middle of its lesser strand."""
     middle = F.substring(F.col("_tag"), F.floor((F.length("_tag") - WINDOW) / 2).cast("int") + 1, F.lit(WINDOW))
-    keyed = sketches.withColumn("_tag", C.canonical(F.col("tag"))).select("genome_id", "enzyme", C.canonical(middle).alias("key"))
-    return tags.screen(keyed, "genome_id", ["enzyme", "key"], least_shared, least_containment).select("a", "b")
+    return sketches.withColumn("_tag", C.canonical(F.col("tag"))).select("genome_id", "enzyme", C.canonical(middle).alias("key"))
+
+
+def screen_pairs(sketches: DataFrame, least_shared: int = 3, least_containment: float = 0.001) -> DataFrame:
+    """a, b of genomes worth a comparison: enough distinct keys in common."""
+    return tags.screen(_screen_keys(sketches), "genome_id", ["enzyme", "key"], least_shared, least_containment).select("a", "b")
 
 
 def usable(sketches: DataFrame, pairs: DataFrame, most_copies: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -143,15 +147,26 @@ def triangle(sketches: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL) ->
 
 
 def search(queries: DataFrame, database: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, least: float = LEAST_ANI) -> DataFrame:
-    """Database genomes of at least that gated identity to each query, best first (rank 1); self-matches are left out."""
-    names = queries.select(F.col("genome_id").alias("query")).distinct()
-    both = queries.select(*database.columns).unionByName(database.join(names.withColumnRenamed("query", "genome_id"), "genome_id", "left_anti"))
-    pairs = screen_pairs(both)
-    wanted = pairs.union(pairs.select("b", "a")).join(names.withColumnRenamed("query", "a"), "a", "left_semi")
+    """Database genomes of at least that gated identity to each query, best first (rank 1); self-matches are left out.
+
+    Queries are screened against the database only, and only genomes of screened pairs are compared."""
+    wanted = materialize(tags.screen_sides(_screen_keys(queries), _screen_keys(database), "genome_id", ["enzyme", "key"]).select("a", "b"))
+    named = wanted.select(F.explode(F.array("a", "b")).alias("genome_id")).distinct()
+    known = queries.select("genome_id").distinct()
+    both = queries.select(*database.columns).unionByName(database.join(known, "genome_id", "left_anti")).join(named, "genome_id", "left_semi")
     hits = dist(both, wanted, panel).where(F.col("ani_gated") >= least)
     return ranking.top_k(hits, ["a"], [F.desc("ani_gated"), F.asc("b")], 1 << 30)
 
 
+def search_matrix(queries: DataFrame, database: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL) -> DataFrame:
+    """query, target, ani_gated for every query and every database genome but itself; null where the screen left the pair out or nothing was found."""
+    hits = search(queries, database, panel, 0.0).select(F.col("a").alias("query"), F.col("b").alias("target"), "ani_gated")
+    rows = queries.select(F.col("genome_id").alias("query")).distinct()
+    columns = database.select(F.col("genome_id").alias("target")).distinct()
+    cells = rows.crossJoin(columns).where("query <> target")  # the cells are the result
+    return cells.join(hits, ["query", "target"], "left")
+
+
 def struct(sketches: DataFrame, pairs: DataFrame, panel: Sequence[tags.Enzyme] = tags.PANEL, least: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Synteny statistics and structural calls of each pair, from its chains."""
     rows, _, _, _ = chained(sketches, pairs, panel, least, short_contigs=False)

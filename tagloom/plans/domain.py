@@ -78,13 +78,26 @@ def reverse_complement_canonical(spark, d):
     return read(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.length("s").cast("long").alias("n"), F.md5(C.canonical(F.col("s"))).alias("canonical_md5"), F.round(C.gc_fraction(F.col("s")), 6).alias("gc"))
 
 
-@query(f"""WITH {_SCREEN}, f AS (SELECT DISTINCT doc_id, p // 3000 AS fragment, substr(text, p + 1, 16) AS kmer FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS p FROM documents WHERE length(text) >= 16) WHERE (p % 3000) + 16 <= 3000),
-  s AS (SELECT doc_id, fragment, count(*) AS size FROM f GROUP BY 1, 2), w AS (SELECT DISTINCT doc_id, kmer FROM f),
-  sh AS (SELECT a, b, x.fragment, count(*) AS shared FROM pairs JOIN f x ON x.doc_id = a JOIN w y ON y.doc_id = b AND y.kmer = x.kmer GROUP BY 1, 2, 3 HAVING count(*) >= 50)
-  SELECT a, b, count(*) AS fragments, round(avg(1 + ln(2 * (shared / size) / (1 + shared / size)) / 16), 6) AS identity FROM sh JOIN s ON s.doc_id = a AND s.fragment = sh.fragment GROUP BY 1, 2""")
+@query(f"""WITH {_SCREEN}, w AS (SELECT DISTINCT doc_id, kmer FROM (SELECT doc_id, substr(text, p + 1, 16) AS kmer FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS p FROM documents WHERE length(text) >= 16)) WHERE NOT contains(kmer, 'N')),
+  c AS (SELECT doc_id, i AS fragment, substr(text, i * 3000 + 1, 3000) AS part FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2999) // 3000)) AS i FROM documents WHERE length(text) >= 700)),
+  f AS (SELECT DISTINCT doc_id, fragment, substr(part, p + 1, 16) AS kmer FROM (SELECT doc_id, fragment, part, unnest(range(0, length(part) - 15)) AS p FROM c WHERE length(part) >= 700) WHERE NOT contains(substr(part, p + 1, 16), 'N')),
+  s AS (SELECT doc_id, fragment, count(*) AS size FROM f GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS n FROM c WHERE length(part) >= 700 GROUP BY 1),
+  sh AS (SELECT a, b, x.fragment, count(*) AS shared FROM pairs JOIN f x ON x.doc_id = a JOIN w y ON y.doc_id = b AND y.kmer = x.kmer GROUP BY 1, 2, 3 HAVING count(*) >= 50),
+  g AS (SELECT a, b, count(*) AS fragments, avg(shared / size) AS share FROM sh JOIN s ON s.doc_id = a AND s.fragment = sh.fragment GROUP BY 1, 2)
+  SELECT a, b, coalesce(fragments, 0) AS fragments, round(coalesce(fragments / n, 0), 6) AS aligned, round(coalesce(pow(share, 1.0 / 16), 0), 6) AS identity FROM pairs LEFT JOIN g USING (a, b) LEFT JOIN t ON t.doc_id = a""")
 def kmer_fragment_identity(spark, d):
     pairs = screened(spark, d).select("a", "b")
-    return tags.kmer_identity(pairs, read(spark, d, "documents"), "doc_id", "text").withColumn("identity", F.round("identity", 6))
+    return tags.kmer_identity(pairs, read(spark, d, "documents"), "doc_id", "text").withColumns({c: F.round(c, 6) for c in ("aligned", "identity")})
+
+
+@query(f"""WITH {_TAGS}, dt AS (SELECT DISTINCT doc_id, tag FROM tags), sizes AS (SELECT doc_id, count(*) AS size FROM dt GROUP BY 1), l AS (SELECT doc_id FROM documents WHERE source = 'src0'), r AS (SELECT doc_id FROM documents WHERE source <> 'src0'),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM dt x JOIN dt y ON x.tag = y.tag WHERE x.doc_id IN (FROM l) AND y.doc_id IN (FROM r) GROUP BY 1, 2 HAVING count(*) >= 3)
+  SELECT a, b, shared, round(shared / least(m.size, n.size), 6) AS containment FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE shared / least(m.size, n.size) >= 0.001""")
+def screen_two_sides(spark, d):
+    """Documents of one source as queries against the others as a database: no pair within either is made."""
+    docs = read(spark, d, "documents")
+    side = lambda where: tags.digest_strings(docs.where(where), "doc_id", "text", tags.TEXT_ENZYME)
+    return tags.screen_sides(side("source = 'src0'"), side("source <> 'src0'"), "doc_id", ["tag"]).withColumn("containment", F.round("containment", 6))
 
 
 @query(f"""WITH {_SCREEN}, m AS (SELECT a, b, x.tag, min(list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END))) AS d FROM pairs JOIN dt x ON x.doc_id = a JOIN dt y ON y.doc_id = b GROUP BY 1, 2, 3)

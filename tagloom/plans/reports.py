@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import assign, calibrate, intervals, joins, metrics, ranking
+from ..operators import assign, calibrate, chains, intervals, joins, metrics, ranking
 from .catalog import _GATE, _SPANS, MEASURED, measured, query, read, spans
 
 _E = "abs(t2 - truth)"
@@ -231,3 +231,42 @@ def gbrt_train(spark, d):
     part = read(spark, d, "part")
     model = calibrate.boosted(part, ["p_partkey", "p_size"], "p_retailprice", [(2, 5, 0.3), (3, 5, 0.3)], 2)
     return part.select("p_partkey", F.round(calibrate.boosted_column(model), 6).alias("pred"))
+
+
+@query(f"""WITH {MEASURED}, x AS (SELECT band, abs(t2 - truth) AS e, l_discount > 0.08 AS f FROM measured), g AS (SELECT band, avg(e) FILTER (NOT f) AS kept, count(*) FILTER (NOT f) AS n_kept, avg(e) FILTER (f) AS flagged, count(*) FILTER (f) AS n_flagged FROM x GROUP BY 1)
+  SELECT band, round(kept, 6) AS kept_mae, n_kept, round(flagged, 6) AS flagged_mae, n_flagged, coalesce(flagged < kept, false) AS inverted FROM g""")
+def inversion_check(spark, d):
+    """Whether a flag takes out the better rows of a band."""
+    out = metrics.kept_and_flagged(measured(spark, d), ["band"], F.col("t2") - F.col("truth"), F.col("l_discount") > 0.08)
+    return out.withColumns({c: F.round(c, 6) for c in ("kept_mae", "flagged_mae")})
+
+
+_BLOCKS = """blocks AS (SELECT l_suppkey, l_linestatus AS q_contig, l_returnflag AS r_contig, l_linenumber % 3 = 0 AS reverse, CAST(l_linenumber AS INTEGER) AS chain, CAST(l_quantity AS BIGINT) AS n_anchors, l_orderkey * 100 AS q_start,
+  l_orderkey * 100 + CAST(l_quantity AS BIGINT) AS q_end, l_partkey * 50 AS r_start, l_partkey * 50 + CAST(floor(l_extendedprice / 100) AS BIGINT) AS r_end FROM lineitem)"""
+
+
+def line_blocks(spark, d):
+    """Lines of a supplier as chains: by order on the query, by part on the reference, every third line turned."""
+    q = F.col("l_quantity").cast("long")
+    return read(spark, d, "lineitem").select(
+        "l_suppkey", F.col("l_linestatus").alias("q_contig"), F.col("l_returnflag").alias("r_contig"), (F.col("l_linenumber") % 3 == 0).alias("reverse"), F.col("l_linenumber").cast("int").alias("chain"), q.alias("n_anchors"),
+        (F.col("l_orderkey") * 100).alias("q_start"), (F.col("l_orderkey") * 100 + q).alias("q_end"), (F.col("l_partkey") * 50).alias("r_start"), (F.col("l_partkey") * 50 + F.floor(F.col("l_extendedprice") / 100)).alias("r_end"),
+    )
+
+
+@query(f"""WITH {_BLOCKS}, sides AS (SELECT l_suppkey, reverse, sum(n_anchors) AS k FROM blocks GROUP BY 1, 2), main AS (SELECT l_suppkey, arg_max(reverse, (k, NOT reverse)) AS main FROM sides GROUP BY 1),
+  o AS (SELECT b.*, main, lag(r_contig) OVER w AS pc, lag(reverse) OVER w AS pr, lag(q_end) OVER w AS pqe, lag(r_start) OVER w AS prs, lag(r_end) OVER w AS pre, lag(n_anchors) OVER w AS pn FROM blocks b JOIN main USING (l_suppkey) WINDOW w AS (PARTITION BY l_suppkey, q_contig ORDER BY q_start, q_end, chain, r_contig, reverse, r_start, r_end)),
+  g AS (SELECT *, q_start - pqe AS dq, CASE WHEN reverse THEN prs - r_end ELSE r_start - pre END AS dr, r_contig = pc AND reverse = pr AS same FROM o),
+  c AS (SELECT *, CASE WHEN reverse <> main THEN 'Inversion' WHEN pc IS NULL THEN NULL WHEN r_contig <> pc THEN 'Translocation' WHEN same AND dr < -1000 THEN 'Translocation' WHEN same AND dq - dr >= 1000 THEN 'Insertion' WHEN same AND dr - dq >= 1000 THEN 'Deletion' END AS sv_type FROM g),
+  s AS (SELECT *, sv_type IN ('Insertion', 'Deletion') AS indel, least(pre, r_end) AS low, greatest(prs, r_start) AS high FROM c WHERE sv_type IS NOT NULL)
+  SELECT l_suppkey, sv_type, q_contig, coalesce(pqe, q_start) AS q_start, CASE WHEN indel THEN q_start ELSE q_end END AS q_end, r_contig, CASE WHEN indel THEN abs(dq - dr) ELSE q_end - q_start END AS size, coalesce(pn, 0) AS support_left, n_anchors AS support_right FROM s
+  WHERE NOT (indel AND EXISTS (SELECT 1 FROM blocks t WHERE t.l_suppkey = s.l_suppkey AND t.r_contig = s.r_contig AND t.r_start > s.low AND t.r_end < s.high))""")
+def structural_calls_of_blocks(spark, d):
+    """Inversions, translocations, insertions and deletions between blocks that move."""
+    return chains.structural_calls(line_blocks(spark, d), ["l_suppkey"], 1000).fillna(0, ["support_left"])
+
+
+@query(f"""WITH {_BLOCKS} SELECT l_suppkey, count(*) AS n_chains, max(n_anchors) AS max_block_anchors, round(sum(n_anchors) / count(*), 6) AS mean_block_anchors, count(*) - count(DISTINCT q_contig) AS breakpoint_count,
+  round((sum(n_anchors) - count(*)) / (sum(n_anchors) - 1), 6) AS synteny_score FROM blocks GROUP BY 1""")
+def synteny_of_blocks(spark, d):
+    return chains.synteny(line_blocks(spark, d), ["l_suppkey"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators.calibrate import Ridge
+from ..storage import materialize
 
 
 def write_tsv(df: DataFrame, path: str, places: int = 4, partition_by: Sequence[str] = ()) -> None:
@@ -20,8 +21,19 @@ def write_tsv(df: DataFrame, path: str, places: int = 4, partition_by: Sequence[
 
 
 def chunked(df: DataFrame, order: Sequence[str], chunks: int) -> DataFrame:
-    """A chunk number for each row of a work list: chunks of about the same number of successive rows."""
-    return df.withColumn("chunk", F.ntile(chunks).over(Window.orderBy(*order)) - 1)
+    """A chunk number for each row of a work list: chunks of about the same number of successive rows, the first ones a row longer.
+
+    Rows are dealt by ranges of their order and written once, so that each keeps its range; places come from counts of the ranges, one row each."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_part")  # a row for each range
+    before = sizes.select("_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = dealt.join(before, "_part").withColumn("_at", place)
+    short, longer = F.floor(F.col("_all") / chunks), F.col("_all") % chunks
+    in_longer = F.floor(F.col("_at") / (short + 1))
+    chunk = F.when(F.col("_at") < longer * (short + 1), in_longer).otherwise(longer + F.floor((F.col("_at") - longer * (short + 1)) / F.greatest(short, F.lit(1))))
+    return numbered.withColumn("chunk", chunk.cast("int")).select(*df.columns, "chunk")
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
