@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_rank, quantiles, running_total
+from .ranking import keyed_running_total, matched, medians, quantiles, running_total
 
 
 def error_columns(pred: str, truth: str) -> dict[str, Column]:
@@ -41,20 +41,18 @@ def grouped_errors(df: DataFrame, group: str, pred: str, truth: str, min_n: int
 
 
 def metric_stack(df: DataFrame, dims: list[str], tools: list[str], truth: str, within: tuple[float, ...] = (0.1, 0.5, 1.0), places: int = 6) -> DataFrame:
-    """For every tool, over everything and by each value of each dimension: mean, median and signed error, and the share within bounds."""
-    long = df.select(*dims, truth, F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), F.col(t).cast("double").alias("pred")) for t in tools])).alias("x")).select(*dims, truth, "x.*")
-    e = F.col("pred") - F.col(truth)
-    long = long.where(e.isNotNull())
-    aggregates = [F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("median_abs_err"), F.avg(e).alias("bias")]
-    aggregates += [F.avg((F.abs(e) <= w).cast("double")).alias(f"within_{w}".replace(".", "_")) for w in within]
-    grouped = long.groupingSets([[F.col("tool")], *[[F.col("tool"), F.col(d)] for d in dims]], F.col("tool"), *[F.col(d) for d in dims])
-    out = grouped.agg(*aggregates, *[F.grouping(F.col(d)).alias(f"_g_{d}") for d in dims])
-    name, value = F.lit("overall"), F.lit("all")
-    for d in dims:
-        name = F.when(F.col(f"_g_{d}") == 0, d).otherwise(name)
-        value = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(value)
-    numbers = [c for c in out.columns if c not in dims and not c.startswith("_g_") and c not in ("tool", "n")]
-    return out.select(name.alias("dim"), value.alias("value"), "tool", "n", *[F.round(c, places).alias(c) for c in numbers])
+    """For every tool, over everything and by each value of each dimension: mean, median and signed error, and the share within bounds.
+
+    Medians are exact and found between two narrow approximate quantiles, so no group's errors meet in one task."""
+    groups = F.explode(F.array(F.struct(F.lit("overall").alias("dim"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])).alias("g")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), (F.col(t).cast("double") - F.col(truth)).alias("e")) for t in tools])).alias("x")
+    long = df.select(*dims, each).where("x.e IS NOT NULL").select(groups, "x.*").select("g.dim", "g.value", "tool", "e")
+    keys = ["dim", "value", "tool"]
+    aggregates = [F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias")]
+    aggregates += [F.avg((F.abs("e") <= w).cast("double")).alias(f"within_{w}".replace(".", "_")) for w in within]
+    out = matched(long.groupBy(*keys).agg(*aggregates), medians(long.withColumn("e", F.abs("e")), keys, "e").withColumnRenamed("median", "median_abs_err"), keys)
+    numbers = ["mae", "median_abs_err", "bias", *[f"within_{w}".replace(".", "_") for w in within]]
+    return out.select(*keys, "n", *[F.round(c, places).alias(c) for c in numbers])
 
 
 def feature_correlations(df: DataFrame, features: list[str], target: str, min_n: int = 30, places: int = 6) -> DataFrame:
@@ -65,10 +63,18 @@ def feature_correlations(df: DataFrame, features: list[str], target: str, min_n:
 
 
 def spearman(df: DataFrame, x: str, y: str, group: str, min_n: int = 2, places: int = 6) -> DataFrame:
-    """Rank correlation with shared ranks for ties, over rows without nulls."""
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = full.select(group, average_rank([group], x).alias("rx"), average_rank([group], y).alias("ry"))
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), places).alias("rho")).where(F.col("n") >= min_n)
+    """Rank correlation with shared ranks for ties, over rows without nulls.
+
+    Ranks are those of distinct values, by their counts in ranges, so a group of any size is no single task."""
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+
+    def ranks(side: str) -> DataFrame:
+        counts = full.groupBy("_g", side).agg(F.count("*").alias("_c"))
+        told = keyed_running_total(counts, ["_g"], side, "_c", "_upto")
+        return told.select("_g", side, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"_r{side}"))
+
+    ranked = matched(matched(full, ranks("_x"), ["_g", "_x"]), ranks("_y"), ["_g", "_y"])
+    return ranked.groupBy(F.col("_g").alias(group)).agg(F.count("*").alias("n"), F.round(F.corr("_r_x", "_r_y"), places).alias("rho")).where(F.col("n") >= min_n)
 
 
 def auc(df: DataFrame, label: str, score: str, places: int = 6) -> DataFrame:
@@ -91,21 +97,23 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def consensus(df: DataFrame, key: str, value: str, weight: str, truth: str, trim: float = 0.1, places: int = 6) -> DataFrame:
-    """Mean, weighted mean, median and trimmed mean of the values of a key, and the value nearest to its truth (the least one of ties)."""
-    ordered = F.array_sort(F.collect_list(F.col(value).cast("double")))
-    cut = F.floor(F.size("_v") * trim).cast("int")
-    kept = F.slice("_v", cut + 1, F.size("_v") - 2 * cut)
+    """Mean, weighted mean, median and trimmed mean of the values of a key, and the value nearest to its truth (the least one of ties).
+
+    Median and trimmed mean come from counts of distinct values and their running totals, in ranges where a key has very many."""
     grouped = df.groupBy(key).agg(
         F.count("*").alias("n"),
         F.avg(value).alias("mean"),
         F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")).alias("weighted"),
-        F.median(value).alias("median"),
         F.min_by(F.col(value).cast("double"), F.struct(F.round(F.abs(F.col(value) - F.col(truth)), 9), F.col(value).cast("double"))).alias("oracle"),
-        ordered.alias("_v"),
-    )
-    return grouped.select(
-        key, "n", *[F.round(c, places).alias(c) for c in ("mean", "weighted", "median")], F.round(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept), places).alias("trimmed"), F.round("oracle", places).alias("oracle")
     )
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = matched(keyed_running_total(counts, [key], "_v", "_c", "_upto"), counts.groupBy(key).agg(F.sum("_c").alias("_n")), [key])
+    cut = F.floor(F.col("_n") * trim)
+    kept = F.greatest(F.least(F.col("_upto"), F.col("_n") - cut) - F.greatest(F.col("_upto") - F.col("_c"), cut), F.lit(0))
+    holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)
+    middle = [F.max(F.when(holds(f((F.col("_n") - 1) / 2)), F.col("_v"))) for f in (F.floor, F.ceil)]
+    ordered = upto.groupBy(key).agg(((middle[0] + middle[1]) / 2).alias("median"), (F.sum(F.col("_v") * kept) / F.sum(kept)).alias("trimmed"))
+    return matched(grouped, ordered, [key], "left").select(key, "n", *[F.round(c, places).alias(c) for c in ("mean", "weighted", "median", "trimmed", "oracle")])
 
 
 def rule_sweep(df: DataFrame, rules: dict[str, Callable[[Column], Column]], cuts: Sequence[float], switched: str, kept: str, truth: str, places: int = 6) -> DataFrame:

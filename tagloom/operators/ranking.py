@@ -104,39 +104,36 @@ def even_pick(df: DataFrame, order: Sequence[str], step: int, partition: Sequenc
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where((F.col("_rn") - 1) % step == 0).drop("_rn")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int = 64) -> DataFrame:
+#: Rows that one range of a running total may have before they are dealt out, and into how many ranges.
+MOST_IN_ORDER, RANGES = 1_000_000, 1024
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, most: int = MOST_IN_ORDER) -> DataFrame:
     """Inclusive running sum in the order of a column with distinct values.
 
-    Rows are dealt by ranges; sums run within a range and over one row for each range, so no task sees all rows."""
-    points = [i / partitions for i in range(1, partitions)]
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, F.array(*map(F.lit, points)), 1000))).alias("_edges"))
-    part = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(F.col(order) > e, 1).otherwise(0))
-    ranged = df.join(F.broadcast(edges)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_edges")  # one row of edges
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
-    own = ranged.withColumn("_own", F.sum(value).over(Window.partitionBy("_part").orderBy(order)))
-    return own.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")  # at most `partitions` rows
+    Beyond `most` rows they are dealt by ranges; sums run within a range and over one row for each range, so no task sees all rows."""
+    return keyed_running_total(df, [], order, value, name, most)
 
 
-def _matched(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df with the other columns of side, which has one row for each key; null keys are equal. Without keys side is one row."""
+def matched(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """df with the other columns of side, which has one row at most for each key; null keys are equal. Without keys side is one row at most."""
     if not keys:
-        return df.join(F.broadcast(side))
+        return df.join(F.broadcast(side), how=how, on=F.lit(True))
     renamed = side.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    return df.join(renamed, same).drop(*[f"_key{i}" for i in range(len(keys))])
+    return df.join(renamed, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
-def keyed_running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, partitions: int = 64) -> DataFrame:
-    """As running_total within each key (which may be null): a key of any size is dealt by ranges, so no task sees all of its rows."""
-    points = [i / partitions for i in range(1, partitions)]
-    edges = df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(order, F.array(*map(F.lit, points)), 1000))).alias("_edges"))
-    part = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(F.col(order) > e, 1).otherwise(0))
-    ranged = _matched(df, edges, keys).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_edges")
+def keyed_running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, most: int = MOST_IN_ORDER) -> DataFrame:
+    """As running_total within each key (which may be null): a key of more than `most` rows is dealt by ranges, so no task sees all of its rows."""
+    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    edges = df.groupBy(*keys).agg(F.percentile_approx(order, points, 10 * RANGES).alias("_edges"), F.count("*").alias("_rows")).where(F.col("_rows") > most).select(*keys, F.array_sort(F.array_distinct("_edges")).alias("_edges"))
+    part = F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(F.size(F.filter("_edges", lambda e: F.col(order) > e)))
+    ranged = matched(df, edges, keys, "left").withColumn("_part", part).drop("_edges")
     sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select(*keys, "_part", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).alias("_before"))  # at most `partitions` rows of a key
+    before = sums.select(*keys, "_part", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).alias("_before"))  # at most RANGES rows of a key
     within = ranged.withColumn("_within", F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order)))
-    both = _matched(within, before, [*keys, "_part"])
+    both = matched(within, before, [*keys, "_part"])
     return both.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 
@@ -149,7 +146,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[f
 def counted_quantiles(counted: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
     """As quantiles, from keys, _v and _c: each value once with how often it occurs."""
     ranked = keyed_running_total(counted, keys, "_v", "_c", "_upto")
-    joined = _matched(ranked, counted.groupBy(*keys).agg(F.sum("_c").alias("_size")), keys)
+    joined = matched(ranked, counted.groupBy(*keys).agg(F.sum("_c").alias("_size")), keys)
     place = [(F.col("_size") - 1) * F.lit(float(p)) for p in points]
     ends = [(F.min(F.when(F.col("_upto") > F.floor(h), F.col("_v"))).alias(f"_l{i}"), F.min(F.when(F.col("_upto") > F.ceil(h), F.col("_v"))).alias(f"_h{i}")) for i, h in enumerate(place)]
     out = joined.groupBy(*keys).agg(F.first("_size").alias("_size"), *[c for pair in ends for c in pair])
@@ -157,6 +154,21 @@ def counted_quantiles(counted: DataFrame, keys: Sequence[str], points: Sequence[
     return out.where("_size IS NOT NULL").select(*keys, F.col("_size").alias("n"), F.array(*between).alias("quantiles"))
 
 
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys and the exact median of each, by two passes: approximate quantiles on both sides of the middle, whose error is far less than their distance from it,
+    then counts of the values below the one and of the few between them. Nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sides = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(F.lit(0.499), F.lit(0.501)), 10_000).alias("_e"), F.count("*").alias("_n"))
+    near = matched(rows, sides.select(*keys, F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), "_n"), keys).where(F.col("_v") <= F.col("_high"))
+    inside = F.col("_v") >= F.col("_low")
+    counts = near.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))  # null: all below
+    below = counts.where("_v IS NULL").select(*keys, F.col("_c").alias("_below"))
+    within = matched(keyed_running_total(counts.where("_v IS NOT NULL"), keys, "_v", "_c", "_upto"), below, keys, "left").withColumn("_upto", F.col("_upto") + F.coalesce("_below", F.lit(0)))
+    holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)
+    middle = [F.max(F.when(holds(f((F.col("_n") - 1) / 2)), F.col("_v"))) for f in (F.floor, F.ceil)]
+    return within.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
+
+
 def random_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a seeded hash of their keys."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

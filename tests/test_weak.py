@@ -103,3 +103,31 @@ def test_flags_that_do_harm(spark):
     data = [("g", 1.0, True), ("g", -3.0, False), ("g", 5.0, None), ("g", None, True), ("h", 2.0, False), ("i", 4.0, True), ("i", 1.0, False)]
     df = spark.createDataFrame(data, "g string, e double, f boolean")
     assert rows(metrics.kept_and_flagged(df, ["g"], F.col("e"), F.col("f"))) == [("g", 4.0, 2, 1.0, 1, True), ("h", 2.0, 1, None, 0, False), ("i", 1.0, 1, 4.0, 1, False)]
+
+
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_running_totals_in_ranges(spark, most):
+    from tagloom.operators import ranking
+
+    r = np.random.default_rng(2)
+    data = [(k, float(v), int(r.integers(1, 5))) for k, n in (("a", 700), ("b", 5), (None, 90)) for v in r.permutation(n)]
+    df = spark.createDataFrame(data, "k string, v double, c long")
+    got = {(x["k"], x["v"]): x["t"] for x in ranking.keyed_running_total(df, ["k"], "v", "c", "t", most).collect()}
+    for k in ("a", "b", None):
+        own = sorted((v, c) for g, v, c in data if g == k)
+        assert [got[k, v] for v, _ in own] == np.cumsum([c for _, c in own]).tolist()
+    one = df.where("k = 'a'").select("v", "c")
+    assert sorted(x["t"] for x in ranking.running_total(one, "v", "c", "t", most).collect()) == sorted(got["a", v] for k, v, _ in data if k == "a")
+
+
+def test_medians_ranks_and_trimmed_means_are_exact(spark):
+    from tagloom.operators import ranking
+
+    r = np.random.default_rng(3)
+    data = [(k, float(v)) for k, n in (("a", 20_001), ("b", 1000), ("c", 2), ("d", 1), (None, 4)) for v in np.round(r.normal(size=n), 2)] + [("e", None), ("a", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {x["k"]: x["median"] for x in ranking.medians(df, ["k"], "v").collect()}
+    assert got == {k: pytest.approx(np.median([v for g, v in data if g == k and v is not None])) for k in ("a", "b", "c", "d", None)}
+    sums = {x["k"]: x for x in metrics.consensus(df.where("k IN ('b', 'c')").withColumns({"w": F.lit(1.0), "t": F.lit(0.0)}), "k", "v", "w", "t").collect()}
+    own = sorted(v for g, v in data if g == "b")
+    assert sums["b"]["trimmed"] == pytest.approx(np.mean(own[100:-100]), abs=1e-6) and sums["b"]["median"] == pytest.approx(np.median(own), abs=1e-6)
