@@ -1,15 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. First pass: stop-word density,
-length and link density call each block good, bad or ambiguous; a block inside
-a menu, footer, sidebar, notice, advert, form or comment section (by element or
-by the words of its class, id or role) is bad. Second pass: an ambiguous block,
-which is short or poor in stop words, takes the label of its nearest decided
-neighbours; blocks that are bad by their element or class are no neighbours.
-Where the two sides disagree a block of an article element is kept, and another
-goes with the nearer side; of two as near a heading takes the good one, any
-other block the one before. Without any, a block of an article element is kept.
-Where a page has an article element with text, blocks outside of it are bad.
+length and link density call each block good, bad or ambiguous. Second pass: an
+ambiguous block, which is short or poor in stop words without links, takes the
+label of its nearest decided neighbours. Where the two sides disagree a block of an article
+element is kept, and another goes with the nearer side; of two as near a
+heading takes the good one, any other block the one before. Where nothing on
+a page is decided, ambiguous blocks are kept.
+
+Elements for menus, footers and the like are bad throughout and no neighbours.
+Words of a class, id or role that name such things, and forms, are votes that
+text may outvote: on a page with an article element they fall where all of its
+text lies inside; on others where more good text lies inside than elsewhere,
+or for reader comments where none lies elsewhere. Larger parts are asked
+first, comments last. What still stands is bad and no neighbour either.
+
+An article element is a prior: the blocks outside of it are bad unless good
+text there is more than OUTWEIGHED times as long as its own; then the element
+is passed over. Within it, links and poor density make a block ambiguous only.
 On a page whose longer blocks hold next to no stop words of the lists, whose
 language is none of theirs then, length and link density alone decide.
 
@@ -21,6 +29,7 @@ no part.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -50,7 +59,7 @@ STOP_WORDS = frozenset(
 
 # Elements whose text is never shown, elements that hold no article text, and elements that end a block.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video map".split())
-ASIDE = frozenset("nav footer aside form menu dialog button select option textarea label fieldset".split())
+ASIDE = frozenset("nav footer aside menu dialog button select option textarea label fieldset".split())
 BLOCKS = frozenset(
     """
     address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -69,12 +78,16 @@ MARKS = frozenset(
     contentinfo complementary search
     """.split()
 )
+COMMENTS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
+# First parts of class names that tell of a page's layout.
+LAYOUT = frozenset("has no with without is not hide show".split())
 CORE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 SHORT, LONG = 70, 200
 DENSE, SPARSE, UNKNOWN = 0.30, 0.15, 0.05
 MOST_LINKED = 0.5
+OUTWEIGHED = 4
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[<>\"']")
@@ -84,9 +97,19 @@ _MARKED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def marks(attributes: str) -> bool:
-    """Whether a class, id or role says that this isn't the article."""
-    return bool(attributes) and any(not MARKS.isdisjoint(re.split(r"[^a-z]+", (v[1] or v[2] or v[3] or "").lower())) for v in _MARKED.finditer(attributes))
+def marks(attributes: str) -> str:
+    """Whether a class, id or role says that this isn't the article: "comments", "other" or ""."""
+    out = ""
+    for found in _MARKED.finditer(attributes) if attributes else ():
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = re.split(r"[^a-z]+", name)
+            if words[0] in LAYOUT and len(words) > 1:
+                continue
+            if not COMMENTS.isdisjoint(words):
+                return "comments"
+            if not MARKS.isdisjoint(words):
+                out = "other"
+    return out
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -144,22 +167,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "", tag, attributes
 
 
+class Part:
+    """A part of a page that a class, id, role or form marks, the part around it, and those in it. `open` once the mark is outvoted and no other one around it stands."""
+
+    __slots__ = ("comments", "around", "within", "own", "whole", "open")
+
+    def __init__(self, kind: str, around: Part | None) -> None:
+        self.comments, self.around, self.within, self.open = kind == "comments", around, [], False
+        self.own = self.whole = 0  # length of its text that counts, without and with that of the parts in it
+        if around is not None:
+            around.within.append(self)
+
+
 class Block:
-    __slots__ = ("text", "linked", "outside", "core", "heading", "label")
+    __slots__ = ("text", "linked", "outside", "core", "heading", "part", "label")
 
-    def __init__(self, text: str, linked: int, outside: bool, core: bool, heading: bool = False) -> None:
-        self.text, self.linked, self.outside, self.core, self.heading, self.label = text, linked, outside, core, heading, ""
+    def __init__(self, text: str, linked: int, outside: bool, core: bool, heading: bool = False, part: Part | None = None) -> None:
+        self.text, self.linked, self.outside, self.core, self.heading, self.part, self.label = text, linked, outside, core, heading, part, ""
 
 
 class Open:
-    """An open tag: whether it isn't of the article or is of an article element, with all around it, and where the innermost list or item stands."""
+    """An open tag: whether it isn't of the article or is of an article element, with all around it, the part it is in, and where the innermost list or item stands."""
 
-    __slots__ = ("name", "marked", "outside", "core", "is_core", "item")
+    __slots__ = ("name", "edge", "outside", "core", "part", "item")
 
-    def __init__(self, name: str, marked: bool, is_core: bool, around: Open | None, place: int) -> None:
-        self.name, self.marked, self.is_core = name, marked, is_core
-        self.outside = marked or (around is not None and around.outside)
+    def __init__(self, name: str, aside: bool, mark: str, is_core: bool, around: Open | None, place: int) -> None:
+        self.name, self.edge = name, aside or is_core or bool(mark)
+        self.outside = aside or (around is not None and around.outside)
         self.core = is_core or (around is not None and around.core)
+        self.part = around.part if around is not None else None
+        if mark:
+            self.part = Part(mark, self.part)
         self.item = place if name in ("li", "ul", "ol") else around.item if around is not None else -1
 
 
@@ -168,7 +206,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[Open] = []
     count: Counter[str] = Counter()
-    outside = core = paragraph = heading = False
+    outside = core = heading = False
+    part: Part | None = None
+    paragraph: Part | None = None
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -177,13 +217,15 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, outside or paragraph, core, heading))
+                out.append(Block(text, linked, outside, core, heading, paragraph or part))
             parts, linked = [], 0
 
     def leave(at: int) -> None:
+        nonlocal outside, core, part
         for o in stack[at:]:
             count[o.name] -= 1
         del stack[at:]
+        outside, core, part = (stack[-1].outside, stack[-1].core, stack[-1].part) if stack else (False, False, None)
 
     for text, tag, attributes in tokens(page):
         if not tag:
@@ -198,33 +240,39 @@ def blocks(page: str) -> list[Block]:
             links = max(0, links - 1) if ends else links + 1
         if tag in BLOCKS:
             close()
-            links, paragraph = 0, False
+            links, paragraph = 0, None
             heading = tag in HEADINGS and not ends
         if tag in VOID:
-            paragraph = paragraph or (tag in BLOCKS and not ends and marks(attributes))
+            mark = marks(attributes) if tag in BLOCKS and not ends else ""
+            if mark:
+                paragraph = Part(mark, part)
             continue
         if ends:
             if count[tag]:
                 at = len(stack) - 1
                 while stack[at].name != tag:
                     at -= 1
-                if any(o.marked or o.is_core for o in stack[at:]):
+                if any(o.edge for o in stack[at:]):
                     close()
+                    paragraph = None
                 leave(at)
-                outside, core = (stack[-1].outside, stack[-1].core) if stack else (False, False)
             continue
         if attributes.endswith("/"):
             continue
         if tag == "li" and stack and stack[-1].item >= 0 and stack[stack[-1].item].name == "li":  # a list item ends the one before it
             leave(stack[-1].item)
-            outside, core = (stack[-1].outside, stack[-1].core) if stack else (False, False)
-        marked = tag in ASIDE or tag in HIDDEN or (tag == "header" and not core)
-        marked = marked or (tag not in CORE and tag not in ("body", "html") and marks(attributes))
-        if marked or tag in CORE:
+        aside = tag in ASIDE or tag in HIDDEN or (tag == "header" and not core)
+        mark = "" if tag in ("body", "html") else marks(attributes)
+        if tag in CORE and mark != "comments":
+            mark = ""
+        mark = mark or ("other" if tag == "form" else "")
+        is_core = tag in CORE and not mark
+        if aside or mark or is_core:
             close()
-        stack.append(Open(tag, marked, tag in CORE, stack[-1] if stack else None, len(stack)))
+            paragraph = None
+        stack.append(Open(tag, aside, mark, is_core, stack[-1] if stack else None, len(stack)))
         count[tag] += 1
-        outside, core = stack[-1].outside, stack[-1].core
+        outside, core, part = stack[-1].outside, stack[-1].core, stack[-1].part
     close()
     return out
 
@@ -234,27 +282,71 @@ def density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def classify(page: list[Block]) -> list[Block]:
-    """Labels every block good or bad."""
-    has_core = any(b.core and not b.outside for b in page)
-    inside = [b for b in page if not b.outside and (b.core or not has_core) and b.linked <= MOST_LINKED * len(b.text)]
-    long_ones = [b for b in inside if len(b.text) >= SHORT]
-    known = not long_ones or density(" ".join(b.text for b in long_ones)) >= UNKNOWN  # else the stop words are of other languages
+def first_pass(page: list[Block]) -> list[str]:
+    """Good, bad or ambiguous by density, length and links alone."""
+    long_ones = [b.text for b in page if not b.outside and len(b.text) >= SHORT and b.linked <= MOST_LINKED * len(b.text)]
+    known = not long_ones or density(" ".join(long_ones)) >= UNKNOWN  # else the stop words are of other languages
+    out = []
     for b in page:
-        n = len(b.text)
-        share = b.linked / n
-        if b.outside or (has_core and not b.core) or share > MOST_LINKED:
-            b.label = "bad"
+        n, stops = len(b.text), density(b.text) if known else 0.0
+        if b.linked > MOST_LINKED * n:
+            out.append("bad")
         elif n < SHORT:
-            b.label = "ambiguous"
-        elif not known:
-            b.label = "good" if n >= LONG else "ambiguous"
+            out.append("ambiguous")
+        elif stops >= DENSE or (n >= LONG and (stops >= SPARSE or not known)):
+            out.append("good")
         else:
-            stops = density(b.text)
-            if stops >= DENSE or (stops >= SPARSE and n >= LONG):
-                b.label = "good"
-            else:
-                b.label = "ambiguous" if stops >= SPARSE or b.core else "bad"
+            out.append("bad" if b.linked and known and stops < SPARSE else "ambiguous")
+    return out
+
+
+def outvote(page: list[Block], first: list[str]) -> None:
+    """Opens the parts whose marks are outvoted by the text in them."""
+    inner = [(b, kind) for b, kind in zip(page, first, strict=True) if not b.outside]
+    has_core = any(b.core for b, _ in inner)
+    roots: dict[int, Part] = {}
+    free = 0  # length of the text that counts and is in no marked part
+    for b, kind in inner:
+        n = len(b.text) if (b.core if has_core else kind == "good") else 0
+        if b.part is None:
+            free += n
+            continue
+        b.part.own += n
+        top = b.part
+        while top.around is not None and id(top) not in roots:
+            top = top.around
+        if top.around is None:
+            roots[id(top)] = top
+    order = list(roots.values())
+    for p in order:  # parents first
+        order.extend(p.within)
+    for p in reversed(order):
+        p.whole = p.own + sum(q.whole for q in p.within)
+    ask = [(p.comments, -p.whole, i, p) for i, p in enumerate(roots.values())]
+    heapq.heapify(ask)
+    asked = len(ask)
+    while ask:
+        *_, p = heapq.heappop(ask)
+        if p.whole and (not free or (not has_core and not p.comments and p.whole > free)):
+            p.open = True
+            free += p.own
+            for q in p.within:
+                heapq.heappush(ask, (q.comments, -q.whole, asked, q))
+                asked += 1
+
+
+def classify(page: list[Block]) -> list[Block]:
+    """Labels every block good or bad."""
+    first = first_pass(page)
+    outvote(page, first)
+    stands = [b.outside or (b.part is not None and not b.part.open) for b in page]
+    inner = [(b, kind) for b, kind, bad in zip(page, first, stands, strict=True) if not bad]
+    own = sum(len(b.text) for b, _ in inner if b.core)
+    others = sum(len(b.text) for b, kind in inner if not b.core and kind == "good")
+    has_core = 0 < own and others <= OUTWEIGHED * own
+    passed = [bad or (has_core and not b.core) for b, bad in zip(page, stands, strict=True)]  # neither kept nor neighbours
+    for b, kind, bad in zip(page, first, passed, strict=True):
+        b.label = "bad" if bad else "ambiguous" if has_core and kind == "bad" else kind
     decided = [b.label for b in page]
 
     def look(order: range) -> list[tuple[int, str]]:
@@ -262,7 +354,7 @@ def classify(page: list[Block]) -> list[Block]:
         for i in order:
             if last is not None:
                 out[i] = (abs(i - last), decided[last])
-            if decided[i] != "ambiguous" and not page[i].outside and (page[i].core or not has_core):
+            if decided[i] != "ambiguous" and not passed[i]:
                 last = i
         return out
 
@@ -270,9 +362,9 @@ def classify(page: list[Block]) -> list[Block]:
     for b, ((d1, before), (d2, after)) in zip(page, near, strict=True):
         if b.label == "ambiguous":
             if before == after or not (before and after):
-                b.label = before or after or ("good" if b.core else "bad")
+                b.label = before or after or "good"
             else:
-                b.label = "good" if b.core or (b.heading and d1 == d2) else before if d1 <= d2 else after
+                b.label = "good" if has_core or (b.heading and d1 == d2) else before if d1 <= d2 else after
     return page
 
 

@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from tagloom.llm import op4_html as op4
 from tagloom.llm import op11_divergence as divergence
 from tagloom.llm import op12_centroids as centroids
 from tagloom.llm import op13_bytepair as bytepair
@@ -238,3 +239,58 @@ def test_query_rows(spark, library):
     assert bytepair.encode(df.limit(0)).count() == 0
     full = bytepair.encode(df).where("doc_id = 2").first()
     assert bytes(full["decoded"]).decode() == "Hello world" and len(full["ids"]) == 4 * full["n_tokens"]
+
+
+PROSE = "This is one of the longer texts of the page, and it has the words that are in all of them, so that it is read as a part of what the page was made for by those who wrote it."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments layout", "with-nav", "search-results", "content share", "site promo"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_marks_are_votes(name, tag):
+    page = f'<body><div class="{name}"><div class="menu"><a href="/">Home</a></div><{tag}><h1>Headline</h1><p>{PROSE}</p><p>{PROSE}</p></{tag}><div class="comments"><p>{PROSE} I say.</p></div></div></body>'
+    assert op4.main_text(page) == f"Headline\n{PROSE}\n{PROSE}"
+
+
+def test_html_marks_stand_without_more_text_inside():
+    advert = "Buy this thing now, as it is the best one that you can have for so little of your money today."
+    for tag in ("article", "div"):
+        page = f'<form class="x"><{tag}><p>{PROSE}</p><p class="notice">{advert}</p><p>{PROSE}</p></{tag}></form><div class="ad">{advert}</div><section class="related"><article><p>{advert}</p></article></section>'
+        if tag == "div":
+            page = page.replace("<section", "<aside").replace("</section", "</aside")
+        assert op4.main_text(page) == f"{PROSE}\n{PROSE}"
+    comments = "".join(f'<article class="comment-body"><p>{PROSE} {i}</p></article>' for i in range(9))
+    assert op4.main_text(f'<div class="share"><div><p>{PROSE}</p></div><ol class="comment-list">{comments}</ol></div>') == PROSE
+    assert op4.main_text(f'<div class="replies"><p>{PROSE}</p></div>') == PROSE  # nothing else is there
+
+
+def test_html_article_element_is_a_prior():
+    page = f"<article><p>Teaser.</p></article><div><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert op4.main_text(page) == f"Teaser.\n{PROSE}\n{PROSE}"
+    assert op4.main_text(f"<article><p>{PROSE}</p><ul><li><a href='/'>A linked item</a></li></ul></article><div><p>{PROSE}</p></div>") == f"{PROSE}\nA linked item"
+    assert op4.main_text(f"<div><p>{PROSE}</p></div><div><a href='/'>Elsewhere</a> <a href='/'>Imprint</a></div>") == PROSE
+
+
+def test_html_density_decides():
+    names = "Berlin Hamburg Bremen Lyon Paris Oslo Madrid Porto Turin Genoa Kiel Dresden Leipzig Bonn Ulm"
+    page = f"<div><p>{PROSE}</p></div><div>{names} <a href='/'>All towns</a></div><div><p>{PROSE}</p></div>"
+    assert op4.main_text(page) == f"{PROSE}\n{PROSE}"
+    assert op4.main_text(page.replace(names, names.replace(" ", " and the "))) == f"{PROSE}\n{names.replace(' ', ' and the ')} All towns\n{PROSE}"
+
+
+def test_html_ties_and_deep_marks():
+    short = "In between"
+    page = f"<p>{PROSE}</p><p>{short}</p><p><a href='/'>{PROSE}</a></p>"
+    assert op4.main_text(page) == f"{PROSE}\n{short}"
+    page = f"<p><a href='/'>{PROSE}</a></p><p>{short}</p><p>{PROSE}</p>"
+    assert op4.main_text(page) == PROSE
+    assert op4.main_text(page.replace(f"<p>{short}</p>", f"<h2>{short}</h2>")) == f"{short}\n{PROSE}"
+    deep = "<div class='share'>" * 20000 + f"<p>{PROSE}</p>" + "<p class='ad'>x</p>" * 20000
+    assert op4.main_text(deep) == PROSE
+
+
+def test_html_odd_tables(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, text int")
+    assert op4.extract(df).collect() == []
+    rows = [(None, None, None, 1), (7, "u", f"<p>{PROSE}</p>", 2), (7, "u", f"<p>{PROSE}</p>", 2)]
+    got = op4.extract(spark.createDataFrame(rows, df.schema)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [got[0].__class__(page_id=p, url=u, text=t, n_chars=len(t)) for p, u, t in [(None, None, ""), (7, "u", PROSE), (7, "u", PROSE)]]))
