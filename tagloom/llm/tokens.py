@@ -13,12 +13,12 @@ import json
 import os
 import re
 import string
-from array import array
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT = "byte_bpe_50k.json"
 #: Words that a worker remembers; beyond that it keeps the short ones, which recur most.
@@ -39,6 +39,12 @@ def _odd(text: str) -> bool:
     return bool(_RARE_WHITE.search(text) and _ODD.search(text))
 
 
+def _odd_words(words: list[str]) -> bool:
+    """As _odd, for words that may begin with a line break: whether one is empty or has white space at an end."""
+    line = " ".join(words).replace(" \n", " ").removeprefix("\n")
+    return not line or _odd(line)
+
+
 class Encoder:
     """ids(texts) gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
@@ -51,8 +57,6 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
         self.byte_level = parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not parts["normalizer"]
-        self.pieces = Tokenizer.from_file(path)  # takes a text as one piece
-        self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         line = self._whole("\n")
         self.line, self.line_id = line, int(np.frombuffer(line, "<u4")[0])
 
@@ -83,12 +87,6 @@ class Encoder:
                 whole.add(w)
         marks = list({t for _, t in tails.values() if t not in self.marks})
         self.marks.update(zip(marks, self._words(marks) if marks else [], strict=True))
-        letters = [w for w in whole if (w[1:] if w[0] == "\n" else w).isalpha()]  # one piece each
-        for at in range(0, len(letters), 10_000):
-            part = letters[at : at + 10_000]
-            found = self.pieces.encode_batch_fast([w[1:] if w[0] == "\n" else " " + w for w in part], add_special_tokens=False)
-            known.update((w, (self.line if w[0] == "\n" else b"") + array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        whole.difference_update(letters)
         for line_start in (False, True):
             words = [w for w in whole if (w[:1] == "\n") == line_start]
             for at in range(0, len(words), 20_000):
@@ -107,20 +105,33 @@ class Encoder:
                 self.known = {}
             self.marks = {}
         known = self.known
-        split: list[list[str] | None] = []
-        seen: set[str] = set()
+        get = known.get
+        fresh: set[str] = set()
+        rows: list[tuple[list[bytes | None], list[int], list[str]] | None] = []  # ids of a text's words, and places and words of the unknown ones
         for text in texts:
-            if not self.byte_level or not text or _odd(text) or any(t in text for t in self.special):
-                split.append(None)
+            rows.append(None)
+            if not self.byte_level or not text or any(t in text for t in self.special):
                 continue
             words = text.replace("\n", " \n").split(" ")
             words[0] = "\n" + words[0]
-            seen.update(words)
-            split.append(words)
-        fresh = [w for w in seen if w not in known]
-        self._learn(fresh)
-        skip, get = len(self.line), known.__getitem__
-        out = [(self._whole(text) if text else b"") if words is None else b"".join(map(get, words))[skip:] for text, words in zip(texts, split, strict=True)]
+            found = list(map(get, words))
+            places = list(compress(count(), map(is_, found, repeat(None))))
+            missing = [words[i] for i in places]
+            if missing and _odd_words(missing):
+                continue
+            fresh.update(missing)
+            rows[-1] = found, places, missing
+        self._learn(list(fresh))
+        skip = len(self.line)
+        out = []
+        for text, row in zip(texts, rows, strict=True):
+            if row is None:
+                out.append(self._whole(text) if text else b"")
+                continue
+            found, places, missing = row
+            for i, w in zip(places, missing, strict=True):
+                found[i] = known[w]
+            out.append(b"".join(found)[skip:])
         for w in fresh:
             if len(w) > LONGEST_KEPT:
                 del known[w]
