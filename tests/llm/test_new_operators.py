@@ -16,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tagloom.llm import op4_html as op4
+from tagloom.llm import tokens
 from tagloom.llm import op11_divergence as divergence
 from tagloom.llm import op12_centroids as centroids
 from tagloom.llm import op13_bytepair as bytepair
@@ -294,3 +295,13 @@ def test_html_odd_tables(spark):
     rows = [(None, None, None, 1), (7, "u", f"<p>{PROSE}</p>", 2), (7, "u", f"<p>{PROSE}</p>", 2)]
     got = op4.extract(spark.createDataFrame(rows, df.schema)).collect()
     assert sorted(map(str, got)) == sorted(map(str, [got[0].__class__(page_id=p, url=u, text=t, n_chars=len(t)) for p, u, t in [(None, None, ""), (7, "u", PROSE), (7, "u", PROSE)]]))
+
+
+def test_encoder_of_odd_white_space_and_repeated_words():
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", " \n", "\n ", "\t", " \t", "\x85", "​", "\x1c", "a", "word", "it's", "don", "1", "23", ".", "!?", "é", "日本", "<|endoftext|>", "'s"]
+    coder = tokens.Encoder(public_tokenizers.path(tokens.DEFAULT))
+    for _ in range(4):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+        assert coder.ids(texts) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.ids([]) == [] and coder.ids(["", "word word", "word word"])[0] == b""
