@@ -6,10 +6,12 @@ this library, chosen on its own simulated sequences.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +35,57 @@ def chain_group(
     the highest score and then the first anchor first. A chain breaks at gaps of over most_gap bases or, if most_skips is
     given, where more than so many tags of the query (by index) are passed over; and where the gaps on both sides differ by most_shift or more."""
     n = len(q)
-    y = -r if reverse else r
-    score, back = np.ones(n), np.full(n, -1)
+    x, y = q.tolist(), (-r if reverse else r).tolist()
+    at_tag = None if most_skips is None else index.tolist()
+    score, back = [1.0] * n, [-1] * n
     for i in range(1, n):
-        lo = max(0, i - look_back)
-        dq, dy = q[i] - q[lo:i], y[i] - y[lo:i]
-        near = np.maximum(dq, dy) <= most_gap if most_skips is None else index[i] - index[lo:i] - 1 <= most_skips
-        if most_shift is not None:
-            near = near & (np.abs(dq - dy) < most_shift)
-        gain = np.where((dq > 0) & (dy > 0) & near, score[lo:i] - gap_cost * np.minimum(np.abs(dq - dy), 1000), -np.inf)
-        best = int(np.argmax(gain)) if len(gain) else 0
-        if len(gain) and gain[best] > 0:
-            score[i], back[i] = 1 + gain[best], lo + best
-    out, number = np.full(n, -1), 0
-    for end in np.lexsort((np.arange(n), -score)):
-        path, i = [], int(end)
+        xi, yi, most, best = x[i], y[i], 0.0, -1
+        for j in range(max(0, i - look_back), i):
+            dq, dy = xi - x[j], yi - y[j]
+            if dq <= 0 or dy <= 0 or ((dq > most_gap or dy > most_gap) if at_tag is None else at_tag[i] - at_tag[j] - 1 > most_skips):
+                continue
+            shift = abs(dq - dy)
+            if most_shift is not None and shift >= most_shift:
+                continue
+            gain = score[j] - gap_cost * min(shift, 1000)
+            if gain > most:
+                most, best = gain, j
+        if best >= 0:
+            score[i], back[i] = 1 + most, best
+    out, number = [-1] * n, 0
+    for end in sorted(range(n), key=lambda i: -score[i]):
+        path, i = [], end
         while i >= 0 and out[i] < 0:
             path.append(i)
-            i = int(back[i])
+            i = back[i]
         if len(path) >= least:
-            out[path] = number
+            for i in path:
+                out[i] = number
             number += 1
-    return out
+    return np.array(out, np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[list]]]:
+    """The first `width` columns' values and the other columns of each run of rows that are equal in them; runs go on over batches."""
+    key, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        rows = list(zip(*columns[:width], strict=True))
+        at = 0
+        while at < len(rows):
+            end = at + 1
+            while end < len(rows) and rows[end] == rows[at]:
+                end += 1
+            part = [c[at:end] for c in columns[width:]]
+            if key == rows[at]:
+                held = [x + y for x, y in zip(held, part, strict=True)]
+            else:
+                if key is not None:
+                    yield key, held
+                key, held = rows[at], part
+            at = end
+    if key is not None:
+        yield key, held
 
 
 def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS, window: int = WINDOW, most_shift: int | None = None) -> DataFrame:
@@ -66,28 +97,48 @@ def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS,
     keys = [*pair, "q_contig", "r_contig", "reverse"]
     kinds = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in keys)
     given = [c for c in ("q_index", "most_skips", "enzyme", "distance") if c in anchors.columns]
-    columns = [*keys, "chain", "n_anchors", "q_start", "q_end", "r_start", "r_end", "hits"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["q_pos", "r_pos"])
-        q, r, reverse = pdf["q_pos"].to_numpy(np.int64), pdf["r_pos"].to_numpy(np.int64), bool(pdf["reverse"].iloc[0])
-        skips = pdf["most_skips"].iloc[0] if "most_skips" in given else None
-        number = chain_group(q, r, reverse, least=least, index=pdf["q_index"].to_numpy() if "q_index" in given else None, most_skips=None if skips is None or skips != skips else float(skips), most_shift=most_shift)
-        rows = []
+    hit = "array<struct<enzyme:string,q_pos:long,distance:int>>"
+    own = f"{kinds}, chain int, n_anchors long, q_start long, q_end long, r_start long, r_end long, hits {hit}"
+    rows = anchors.select(*keys, "q_pos", "r_pos", *given)
+
+    def of_group(key: tuple, columns: dict[str, list]) -> list[tuple]:
+        q, r = np.array(columns["q_pos"], np.int64), np.array(columns["r_pos"], np.int64)
+        skips = columns["most_skips"][0] if "most_skips" in given else None
+        number = chain_group(q, r, bool(key[-1]), least=least, index=np.array(columns["q_index"]) if "q_index" in given else None, most_skips=None if skips is None or skips != skips else float(skips), most_shift=most_shift)
+        found = []
         for c in range(number.max(initial=-1) + 1):
             at = np.flatnonzero(number == c)
             hits: dict[tuple[str, int], int] = {}
             if "distance" in given:
                 inside = np.flatnonzero((q >= q[at[0]]) & (q <= q[at[-1]]))
                 inside = inside[np.abs(r[inside] - np.interp(q[inside], q[at], r[at])) <= window]
-                for e, p, d in zip(pdf["enzyme"].to_numpy()[inside], q[inside].tolist(), pdf["distance"].to_numpy()[inside].tolist(), strict=True):
+                for i in inside.tolist():
+                    e, p, d = columns["enzyme"][i], columns["q_pos"][i], columns["distance"][i]
                     hits[e, p] = min(d, hits.get((e, p), d))
             listed = [{"enzyme": e, "q_pos": p, "distance": d} for (e, p), d in hits.items()]
-            rows.append((*pdf[keys].iloc[0], c, len(at), q[at].min(), q[at].max(), r[at].min(), r[at].max(), listed))
-        return pd.DataFrame(rows, columns=columns)
-
-    schema = f"{kinds}, chain int, n_anchors long, q_start long, q_end long, r_start long, r_end long, hits array<struct<enzyme:string,q_pos:long,distance:int>>"
-    return anchors.select(*keys, "q_pos", "r_pos", *given).groupBy(*keys).applyInPandas(run, schema)
+            found.append((*key, c, len(at), int(q[at].min()), int(q[at].max()), int(r[at].min()), int(r[at].max()), listed))
+        return found
+
+    names = [*keys, "chain", "n_anchors", "q_start", "q_end", "r_start", "r_end", "hits"]
+    found_types = [pa.int32(), *[pa.int64()] * 5, pa.list_(pa.struct([("enzyme", pa.string()), ("q_pos", pa.int64()), ("distance", pa.int32())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        types = [*first.schema.types[: len(keys)], *found_types]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        out: list[tuple] = []
+        for key, columns in _groups(chain((first,), batches), len(keys)):
+            out += of_group(key, dict(zip(("q_pos", "r_pos", *given), columns, strict=True)))
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    last = ["enzyme"] if "enzyme" in given else []
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "q_pos", "r_pos", *last).mapInArrow(run, own)
 
 
 def short_contigs(query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS) -> DataFrame:
