@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,21 +77,42 @@ def order_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], track
 
 def two_axis_clusters(df: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
     """df: keys, r_start, r_end, q_start, q_end. Blocks in the order of r_start (then r_end, q_start, q_end) join the last cluster if they begin
-    within `gap` of its reach on both axes, else begin one. Sequential by nature: the blocks of a key are one task."""
+    within `gap` of its reach on both axes, else begin one. Sequential by nature: the blocks of a key are one task, which reads them in order
+    and holds the last cluster only."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for r0, r1, q0, q1 in pdf[["r_start", "r_end", "q_start", "q_end"]].sort_values(["r_start", "r_end", "q_start", "q_end"]).itertuples(index=False):
-            low, high = min(q0, q1), max(q0, q1)
-            if out and r0 - out[-1][1] <= gap and low - out[-1][3] <= gap:
-                last = out[-1]
-                out[-1] = [last[0], max(last[1], r1), min(last[2], low), max(last[3], high), last[4] + 1]
-            else:
-                out.append([r0, r1, low, high, 1])
-        return pd.DataFrame([(*pdf[list(keys)].iloc[0], *c) for c in out], columns=[*keys, "r_start", "r_end", "q_start", "q_end", "n_blocks"])
-
-    return df.select(*keys, "r_start", "r_end", "q_start", "q_end").groupBy(*keys).applyInPandas(run, f"{kinds}, r_start long, r_end long, q_start long, q_end long, n_blocks long")
+    sides = ["r_start", "r_end", "q_start", "q_end"]
+    names, width = [*keys, *sides, "n_blocks"], len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        made = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, *v) for k, *v in done), strict=True), types, strict=True)], names=names)
+        key, last, whole = None, None, False
+        for batch in batches:
+            types = [*batch.schema.types[:width], *[pa.int64()] * 5]
+            done = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for own, r0, r1, q0, q1 in zip(zip(*columns[:width], strict=True), *columns[width:], strict=True):
+                given = r0 is not None and r1 is not None and q0 is not None and q1 is not None
+                low, high = (q0, q1) if not given or q0 <= q1 else (q1, q0)
+                if own == key and given and whole and r0 - last[2] <= gap and low - last[4] <= gap:
+                    if r1 > last[2]:
+                        last[2] = r1
+                    if low < last[3]:
+                        last[3] = low
+                    if high > last[4]:
+                        last[4] = high
+                    last[5] += 1
+                else:
+                    if last is not None:
+                        done.append(last)
+                    key, last, whole = own, [own, r0, r1, low, high, 1], given  # a block with a gap is a cluster by itself
+            if done:
+                yield made(done)
+        if last is not None:
+            yield made([last])
+
+    rows = df.select(*keys, *[F.col(c).cast("long").alias(c) for c in sides])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in sides]).mapInArrow(run, f"{kinds}, r_start long, r_end long, q_start long, q_end long, n_blocks long")
 
 
 def block_coverage(spans: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:

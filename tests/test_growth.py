@@ -1,16 +1,10 @@
 """Steps whose cost has to grow no faster than their input."""
 
-import numpy as np
-import pytest
-from pyspark.sql import functions as F
-
-from tagloom.operators import chains
-
+from tagloom.operators import chains, intervals
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
-
 def test_chains_of_many_pairs_share_python_calls(spark):
     """A pair whose anchors go over several batches is still one group, and no pair is a Python call of its own."""
     rows = [(a, a + 1, "c", "d", False, 100 * i, 100 * i + 7 * a) for a in range(6) for i in range(5)] + [(9, 10, "c", "d", True, 100 * i, 900 - 100 * i) for i in range(8)]
@@ -25,3 +19,16 @@ def test_chains_of_many_pairs_share_python_calls(spark):
     want = [(a, a + 1, "c", "d", False, 0, 5, 0, 400, 7 * a, 400 + 7 * a) for a in range(6)] + [(9, 10, "c", "d", True, 0, 8, 0, 700, 200, 900)]
     assert got == sorted(want)
     assert "FlatMapGroups" not in plan(found)
+
+def test_clusters_of_a_key_hold_one_cluster_only(spark):
+    rows = [(1, 0, 9, 5, 1), (1, 5, 6, 30, 2), (1, 20, 25, 9, 12), (1, 21, None, 0, 1), (1, 200, 210, 9, 12), (2, 0, 5, 0, 5)]
+    df = spark.createDataFrame(rows, "k long, r_start long, r_end long, q_start long, q_end long")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        found = intervals.two_axis_clusters(df, ["k"], 50)
+        got = sorted(found.collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 25, 1, 30, 3), (1, 21, None, 0, 1, 1), (1, 200, 210, 9, 12, 1), (2, 0, 5, 0, 5, 1)], key=str)
+    assert "FlatMapGroups" not in plan(found)
