@@ -83,42 +83,83 @@ def multiplier(r: np.ndarray, h: np.ndarray, steps: int = 80) -> np.ndarray:
     return ascend(slope, -1 / h.max(1), -1 / h.min(1), steps)
 
 
-def fit(s: Strata, grid: np.ndarray = GRID, most: int = 2000, tolerance: float = 1e-10, tilt: Tilt | None = None, aligned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the whole genome over the grid and log-likelihood of each pair, by expectation-maximisation; pairs that have settled are no longer updated.
+def fit(s: Strata, grid: np.ndarray = GRID, most: int = 200, tolerance: float = 1e-10, tilt: Tilt | None = None, aligned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the whole genome over the grid and log-likelihood of each pair, by an interior point; pairs that have settled are no longer updated.
 
     With a tilt the sample's weights u are fitted, and the genome's are those divided by coverage. With the aligned fraction of each pair (NaN: free)
-    the genome's weights have just that coverage: sum(u / coverage) = 1 / aligned is linear in u, so each maximisation divides the expected weights r
-    by 1 + mu h, with h = 1 / coverage - 1 / aligned and Lagrange's mu, which keeps the sum at 1 and the constraint exact. Fractions that no
-    weights can have are moved to the nearest that some have."""
+    the genome's weights have just that coverage: sum(u / coverage) = 1 / aligned, which is h u = 0 with h = 1 / coverage - 1 / aligned. Fractions
+    that no weights can have are moved to the nearest that some have.
+
+    The likelihood is concave in u. A step is Newton's on the optimality conditions with u z = mu, where z >= 0 are the bounds' multipliers: as the
+    likelihood depends on u by the few outcomes only, its system has a row for each outcome and each constraint. A pair has settled where the gap
+    u z, which bounds what the log-likelihood can still gain, is below `tolerance` for each tag."""
     n = counts(s)
+    total = n.sum(1)
     k = kernel(s, grid)
     pi = tilt.coverage(grid) if tilt else np.ones(len(grid))
-    u = np.full((len(n), len(grid)), 1 / len(grid))
+    g = len(grid)
+    u = np.full((len(n), g), 1 / g)
     want = np.full(len(n), np.nan) if aligned is None or tilt is None else np.asarray(aligned, float)
     edge = 1e-6 * (pi.max() - pi.min())
     h = 1 / pi - 1 / np.clip(want, pi.min() + edge, pi.max() - edge)[:, None]
     bound = np.isfinite(want)
-    loglik = np.full(len(n), -np.inf)
-    active = np.flatnonzero(n.sum(1) > 0)
-    step = 0
-    while len(active) and step < most:
-        step += 1
-        ka = k if len(active) == len(k) else k[active]
-        p = np.maximum((ka @ u[active][..., None])[..., 0], 1e-300)
-        now = (n[active] * np.log(p)).sum(1)
-        new = u[active] * ((n[active] / p)[:, None] @ ka)[:, 0]
-        new = new / new.sum(1, keepdims=True)
-        tied = np.flatnonzero(bound[active])
-        if len(tied):
-            ht = h[active[tied]]
-            new[tied] = np.maximum(new[tied], 1e-12)  # no weight may vanish while the constraint still needs it
-            new[tied] /= new[tied].sum(1, keepdims=True)
-            new[tied] = new[tied] / (1 + multiplier(new[tied], ht)[:, None] * ht)
-            new[tied] /= new[tied].sum(1, keepdims=True)
-        u[active] = new
-        done = np.abs(now - loglik[active]) < tolerance * np.maximum(1, np.abs(now))
-        loglik[active] = now
-        active = active[~done]
+    h = np.where(bound[:, None], h / np.abs(np.where(bound[:, None], h, 1.0)).max(1, keepdims=True), 0.0)
+    if bound.any():  # weights inside the bounds that meet the constraint: equal on either side of it
+        low, high = h < 0, h > 0
+        down, up = np.where(low, h, 0).sum(1) / np.maximum(low.sum(1), 1), np.where(high, h, 0).sum(1) / np.maximum(high.sum(1), 1)
+        on_low = np.divide(up, up - down, out=np.full_like(up, 0.5), where=up > down)[:, None]
+        start = np.where(low, on_low / np.maximum(low.sum(1), 1)[:, None], np.where(high, (1 - on_low) / np.maximum(high.sum(1), 1)[:, None], 1e-12))
+        u[bound] = start[bound]
+    active = np.flatnonzero(total > 0)
+    z = np.ones_like(u)
+    y = np.zeros((len(n), 2))
+    y[:, 0] = 1.0
+    for _ in range(most):
+        if not len(active):
+            break
+        ua, za, ya, ka, ha, free = u[active], z[active], y[active], k[active], h[active], ~bound[active]
+        f = n[active] / total[active][:, None]  # the likelihood is that of one tag, so gaps are, too
+        p = np.maximum((ka @ ua[..., None])[..., 0], 1e-300)
+        rise = ((f / p)[:, None] @ ka)[:, 0]
+        lines = np.stack([np.ones_like(ua), ha], 1)  # sum(u) = 1 and h u = 0
+        miss = np.stack([1 - ua.sum(1), -(ha * ua).sum(1)], 1)
+        gap = (ua * za).sum(1)
+        dual = rise - (ya[:, None] @ lines)[:, 0] + za  # nothing at the best weights
+        mu = 0.1 * gap / g
+        for corrected in (False, True):
+            # z du + u dz = target - u z;  -W du + dz - lines' dy = -dual, with W = S' S and S = diag(sqrt(f) / p) K
+            centre = (0 if not corrected else mu[:, None] - moved[0] * moved[1]) - ua * za
+            d = ua / za
+            right = dual + centre / ua  # (W + z / u) du + lines' dy = right
+            # with t = S du: t = S d (right - S' t - lines' dy)
+            rows = np.concatenate([ka * (np.sqrt(f) / p)[..., None], lines], 1)
+            o = ka.shape[1]
+            a = rows @ (d[:, None] * rows).transpose(0, 2, 1)
+            a[:, np.arange(o), np.arange(o)] += 1
+            a[free, o + 1, o + 1] = 1.0
+            b = (rows @ (d * right)[..., None])[..., 0]
+            b[:, o:] -= miss
+            b[free, o + 1] = 0.0
+            scale = np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-300) ** -0.5
+            a *= scale[:, :, None] * scale[:, None]
+            a[:, np.arange(o + 2), np.arange(o + 2)] += 1e-14
+            t = np.linalg.solve(a, (b * scale)[..., None])[..., 0] * scale
+            du = d * (right - (t[:, None] @ rows)[:, 0])
+            dz = (centre - za * du) / ua
+            longest = lambda x, dx: np.minimum(1.0, (0.995 / np.maximum((-dx / x).max(1), 1e-300)))
+            su, sz = longest(ua, du), longest(za, dz)
+            if not corrected:
+                left = ((ua + su[:, None] * du) * (za + sz[:, None] * dz)).sum(1)
+                mu = gap / g * np.clip(left / gap, 1e-2, 1.0) ** 3
+                moved = (du, dz)
+        step = np.minimum(su, sz)[:, None]
+        u[active], z[active] = np.maximum(ua + step * du, 1e-18), np.maximum(za + step * dz, 1e-18)
+        y[active] = ya + step * t[:, o:]
+        off = np.maximum(np.abs(dual).max(1), np.abs(miss).max(1))
+        active = active[~((gap < tolerance) & (off < 1e-8) | (gap < 1e-14))]
+    u /= u.sum(1, keepdims=True)
+    p = np.maximum((k @ u[..., None])[..., 0], 1e-300)
+    loglik = np.where(total > 0, (n * np.log(p)).sum(1), -np.inf)
     w = u / pi
     return w / w.sum(1, keepdims=True), loglik
 

@@ -1,10 +1,18 @@
 """Steps whose cost has to grow no faster than their input."""
 
-from tagloom.operators import chains, intervals
+import numpy as np
+from pyspark.sql import functions as F
+
+from tagloom.functions import likelihood
+from tagloom.functions.likelihood import Strata
+from tagloom.operators import chains, intervals, mixture
+
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
+
 def test_chains_of_many_pairs_share_python_calls(spark):
     """A pair whose anchors go over several batches is still one group, and no pair is a Python call of its own."""
     rows = [(a, a + 1, "c", "d", False, 100 * i, 100 * i + 7 * a) for a in range(6) for i in range(5)] + [(9, 10, "c", "d", True, 100 * i, 900 - 100 * i) for i in range(8)]
@@ -32,3 +40,27 @@ def test_clusters_of_a_key_hold_one_cluster_only(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 25, 1, 30, 3), (1, 21, None, 0, 1, 1), (1, 200, 210, 9, 12, 1), (2, 0, 5, 0, 5, 1)], key=str)
     assert "FlatMapGroups" not in plan(found)
+
+
+def test_grid_weights_are_the_most_likely_at_once():
+    """No direction towards a grid point raises the likelihood of a tag by over 1e-8, with few solves; bound weights keep their coverage."""
+    r = np.random.default_rng(5)
+    k, b = np.tile([32.0, 27, 27], (40, 1)), np.tile([26.0, 20, 21], (40, 1))
+    n = np.stack([r.multinomial(200, r.dirichlet([6, 3, 1, 1]), 3) for _ in range(40)]).astype(float)
+    n[0] = 0
+    s = Strata(k, b, n[..., :3], n[..., 3])
+    w, loglik = mixture.fit(s)
+    p = (mixture.kernel(s) @ w[..., None])[..., 0]
+    rise = np.einsum("po,pog->pg", mixture.counts(s) / np.maximum(p, 1e-300), mixture.kernel(s)) / 600
+    assert rise[1:].max() <= 1 + 1e-8 and np.isneginf(loglik[0]) and np.allclose(w.sum(1), 1)
+    want = np.linspace(0.3, 0.9, 40)
+    tied, tied_loglik = mixture.fit(s, tilt=mixture.Tilt(), aligned=want)
+    assert np.allclose(tied[1:] @ mixture.Tilt().coverage(mixture.GRID), want[1:], atol=1e-8) and (tied_loglik[1:] <= loglik[1:] + 1e-6).all()
+
+
+def test_fits_are_dealt_by_cores(spark):
+    """Pairs of few bytes are not left to one task."""
+    rows = [(i, e, 32.0, 26.0, 60.0, 20.0, 8.0, 12.0) for i in range(400) for e in ("A", "N")]
+    grouped = likelihood.by_pair(spark.createDataFrame(rows, "p long, enzyme string, tag_len double, body_len double, n0 double, n1 double, n2 double, n_miss double"), ["p"])
+    per_task = [r["count"] for r in grouped.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert len(per_task) >= spark.sparkContext.defaultParallelism and sum(per_task) == 400
