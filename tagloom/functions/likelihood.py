@@ -282,11 +282,11 @@ def upper_bound(s: Strata, alpha: float = 0.05) -> np.ndarray:
     return np.where(total == 0, np.nan, np.where((p >= 1) | (p >= high), 1.0, np.where(p <= low, LOW, a)))
 
 
-def fit_all(s: Strata) -> dict[str, np.ndarray]:
-    """Every estimate of a pair, identities as fractions. retention is the share of tags that is expected at the one-rate identity."""
+def fit_all(s: Strata, of_gamma: tuple[np.ndarray, ...] | None = None) -> dict[str, np.ndarray]:
+    """Every estimate of a pair, identities as fractions. retention is the share of tags that is expected at the one-rate identity. of_gamma: what `gamma` gives, if known."""
     n = len(s.total)
     a, se = uniform(s)
-    g, shape, lrt, supported, value = gamma(s)
+    g, shape, lrt, supported, value = of_gamma or gamma(s)
     total = s.total.sum(-1)
     some = total > 0
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -316,10 +316,16 @@ def fit_all(s: Strata) -> dict[str, np.ndarray]:
 _COUNTS, _SITES = ("tag_len", "body_len", "n0", "n1", "n2", "n_miss"), ("d2", "d3")
 
 
+#: Tasks of fits for each core.
+TASKS = 3
+
+
 def by_pair(strata: DataFrame, pair: list[str]) -> DataFrame:
-    """pair and rows, one for each enzyme of the panel, in order of their names."""
+    """pair and rows, one for each enzyme of the panel, in order of their names.
+
+    Fits cost much for few bytes, so pairs are dealt by a number of tasks that goes with the cores, not by size."""
     row = F.struct("enzyme", *[F.col(c).cast("double").alias(c) for c in _COUNTS], *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in strata.columns else F.lit(0.0)).alias(c) for c in _SITES])
-    return strata.groupBy(*pair).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return strata.repartition(TASKS * strata.sparkSession.sparkContext.defaultParallelism, *pair).groupBy(*pair).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
 def arrays(rows: pd.Series) -> Strata:

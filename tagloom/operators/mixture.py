@@ -164,15 +164,24 @@ def fit(s: Strata, grid: np.ndarray = GRID, most: int = 200, tolerance: float =
     return w / w.sum(1, keepdims=True), loglik
 
 
-def downhill(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, spread: float = 0.5, steps: int = 400, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+def downhill(f: Callable[..., np.ndarray], start: np.ndarray, spread: float = 0.5, steps: int = 400, tolerance: float = 1e-8, parts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The polytope search of Nelder and Mead for many problems at once. f takes (problems, points, dimensions) and gives (problems, points); start is (problems, dimensions).
 
-    In each step every problem reflects its worst corner; which of expanding, contracting or shrinking follows is decided problem by problem."""
+    In each step every problem reflects its worst corner; which of expanding, contracting or shrinking follows is decided problem by problem.
+    With `parts` f takes the numbers of its problems, too, and is asked about those only that need a value."""
+
+    def asked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if parts:
+            return f(x, at)
+        full = np.zeros((len(start), *x.shape[1:]))
+        full[at] = x
+        return f(full)[at]
+
     n, d = start.shape
     x = np.repeat(start[:, None], d + 1, 1)
     x[:, np.arange(1, d + 1), np.arange(d)] += spread
-    y = f(x)
     at = np.arange(n)
+    y = asked(x, at)
     for _ in range(steps):
         order = y.argsort(1, kind="stable")
         x, y = np.take_along_axis(x, order[..., None], 1), np.take_along_axis(y, order, 1)
@@ -181,15 +190,19 @@ def downhill(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, spread: f
         middle = x[:, :-1].mean(1)
         away = middle - x[:, -1]
         tries = np.stack([middle + c * away for c in (1.0, 2.0, 0.5, -0.5)], 1)  # reflected, expanded, contracted outside and inside
-        t = f(tries)
+        t = np.full((n, 4), np.inf)
+        t[:, 0] = asked(tries[:, :1], at)[:, 0]
         best, second, worst = y[:, 0], y[:, -2], y[:, -1]
-        take = np.where(t[:, 0] < best, np.where(t[:, 1] < t[:, 0], 1, 0), np.where(t[:, 0] < second, 0, np.where(t[:, 0] < worst, np.where(t[:, 2] <= t[:, 0], 2, -1), np.where(t[:, 3] < worst, 3, -1))))
+        then = np.where(t[:, 0] < best, 1, np.where(t[:, 0] < second, 0, np.where(t[:, 0] < worst, 2, 3)))  # what is tried next, if anything
+        if (more := np.flatnonzero(then)).size:
+            t[more, then[more]] = asked(tries[more, then[more]][:, None], more)[:, 0]
+        take = np.where(then == 1, np.where(t[:, 1] < t[:, 0], 1, 0), np.where(then == 0, 0, np.where(then == 2, np.where(t[:, 2] <= t[:, 0], 2, -1), np.where(t[:, 3] < worst, 3, -1))))
         moved = take >= 0
         x[moved, -1], y[moved, -1] = tries[at[moved], take[moved]], t[at[moved], take[moved]]
         if not moved.all():
-            shrunk = x[:, :1] + 0.5 * (x - x[:, :1])
-            x = np.where(moved[:, None, None], x, shrunk)
-            y = np.where(moved[:, None], y, f(x))
+            still = np.flatnonzero(~moved)
+            x[still] = x[still, :1] + 0.5 * (x[still] - x[still, :1])
+            y[still] = asked(x[still], still)
     best = y.argmin(1)
     return x[at, best], y[at, best]
 
@@ -199,6 +212,11 @@ def _repeated(s: Strata, times: int) -> Strata:
     return Strata(*(np.repeat(x, times, 0) for x in (s.k, s.b, s.n, s.miss, s.d2, s.d3)))
 
 
+def _of(s: Strata, at: np.ndarray) -> Strata:
+    """The pairs of these numbers."""
+    return Strata(*(x[at] for x in (s.k, s.b, s.n, s.miss, s.d2, s.d3)))
+
+
 #: Where the searches start: divergence of both components and the first's weight; mean rate and shape.
 TWO_STARTS = ((0.003, 0.03, 0.5), (0.01, 0.15, 0.75), (0.03, 0.3, 0.5), (0.06, 0.08, 0.5), (0.02, 0.5, 0.5))
 GAMMA_STARTS = ((0.02, 0.5), (0.05, 2.0), (0.15, 1.0), (0.3, 50.0))
@@ -227,18 +245,18 @@ def fit_two(s: Strata, tilt: Tilt | None = None, aligned: np.ndarray | None = No
         w = 1 / (1 + np.exp(-np.clip(theta[..., 2], -40, 40)))
         return v, np.stack([w, 1 - w], -1)
 
-    def objective(theta: np.ndarray) -> np.ndarray:
-        out = np.empty(theta.shape[:2])
+    def objective(theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, own, seen = np.empty(theta.shape[:2]), _of(many, at), n[at]
         for j in range(theta.shape[1]):
             v, w = unpacked(theta[:, j])
             cover = tilt.coverage(v) if tilt else np.ones_like(v)
             covered = (w * cover).sum(1)
             u = w * cover / np.maximum(covered, 1e-300)[:, None]
-            out[:, j] = -(log_likelihood(n, (outcomes(many, v) * u[:, None]).sum(-1)) + (_pseudo(fractions, trials, covered) if tilt else 0.0))
+            out[:, j] = -(log_likelihood(seen, (outcomes(own, v) * u[:, None]).sum(-1)) + (_pseudo(None if fractions is None else fractions[at], trials, covered) if tilt else 0.0))
         return out
 
     start = np.tile([(np.log(a), np.log(b), np.log(w / (1 - w))) for a, b, w in TWO_STARTS], (p, 1))
-    theta, value = downhill(objective, start)
+    theta, value = downhill(objective, start, parts=True)
     best = value.reshape(p, starts).argmin(1) + starts * np.arange(p)
     v, w = unpacked(theta[best])
     order = v.argsort(1, kind="stable")  # a component takes its weight along
@@ -304,14 +322,14 @@ def fit_tilted_gamma(s: Strata, tilt: Tilt | None = None, aligned: np.ndarray |
     fractions = None if aligned is None else np.repeat(np.asarray(aligned, float), starts)
     unpacked = lambda theta: (np.exp(np.clip(theta[..., 0], np.log(1e-6), 0.0)), np.exp(np.clip(theta[..., 1], np.log(likelihood.SHAPE_LOW) - likelihood.SHAPE_REACH, np.log(likelihood.SHAPE_HIGH) + likelihood.SHAPE_REACH)))
 
-    def objective(theta: np.ndarray) -> np.ndarray:
-        out = np.empty(theta.shape[:2])
+    def objective(theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, own, seen = np.empty(theta.shape[:2]), _of(many, at), n[at]
         for j in range(theta.shape[1]):
-            probabilities, covered = tilted_gamma(many, *unpacked(theta[:, j]), tilt)
-            out[:, j] = -(log_likelihood(n, probabilities) + (_pseudo(fractions, trials, covered) if tilt else 0.0))
+            probabilities, covered = tilted_gamma(own, *unpacked(theta[:, j]), tilt)
+            out[:, j] = -(log_likelihood(seen, probabilities) + (_pseudo(None if fractions is None else fractions[at], trials, covered) if tilt else 0.0))
         return out
 
-    theta, value = downhill(objective, np.tile(np.log(GAMMA_STARTS), (p, 1)), steps=300)
+    theta, value = downhill(objective, np.tile(np.log(GAMMA_STARTS), (p, 1)), steps=300, parts=True)
     best = value.reshape(p, starts).argmin(1) + starts * np.arange(p)
     d, shape = unpacked(theta[best])
     some = s.total.sum(-1) > 0
@@ -327,12 +345,13 @@ def _polished(s: Strata, n: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[n
         share = np.exp(np.clip(np.concatenate([np.zeros_like(theta[..., :1]), theta[..., c:]], -1), -40, 40))
         return np.exp(np.clip(theta[..., :c], np.log(1e-9), np.log(5.0))), share / share.sum(-1, keepdims=True)
 
-    def objective(theta: np.ndarray) -> np.ndarray:
+    def objective(theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own, seen = _of(s, at), n[at]
         parts = [unpacked(theta[:, j]) for j in range(theta.shape[1])]
-        return np.stack([-log_likelihood(n, (outcomes(s, a) * b[:, None]).sum(-1)) for a, b in parts], 1)
+        return np.stack([-log_likelihood(seen, (outcomes(own, a) * b[:, None]).sum(-1)) for a, b in parts], 1)
 
     safe = np.maximum(w, 1e-9)
-    theta, value = downhill(objective, np.c_[np.log(np.maximum(v, 1e-9)), np.log(safe[:, 1:] / safe[:, :1])], 0.2, 120 * c, 1e-7)
+    theta, value = downhill(objective, np.c_[np.log(np.maximum(v, 1e-9)), np.log(safe[:, 1:] / safe[:, :1])], 0.2, 120 * c, 1e-7, True)
     return *unpacked(theta), -value
 
 
@@ -446,8 +465,8 @@ def models(strata: DataFrame, pair: list[str]) -> DataFrame:
     """In long form pair, model, parameters, loglik, ani, n_tags of one rate, gamma-distributed rates, two, three and four components, and the grid."""
 
     def fitted(s: Strata, part: pd.DataFrame) -> pd.DataFrame:
-        own = likelihood.fit_all(s)
         g = likelihood.gamma(s)
+        own = likelihood.fit_all(s, g)
         w, grid_loglik = fit(s)
         rows = {"uniform": (own["ani_uniform"], own["loglik_uniform"]), "gamma": (g[0], own["loglik_gamma"])}
         rows |= {name: (f["ani"], f["loglik"]) for name, f in zip(("two", "three", "four"), fit_components(s)[1:], strict=True)}
