@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.likelihood import fit_pairs
 from ..operators import calibrate, chains, graph, metrics, mixture, ranking, tags
+from ..storage import materialize, release
 from .catalog import MEASURED, measured, query, read
 
 _TAGS = """tags AS (SELECT doc_id, p AS pos, substr(text, p + 1, 24) AS tag FROM (SELECT doc_id, text, unnest(range(0, length(text) - 23)) AS p FROM documents WHERE length(text) >= 24)
@@ -86,8 +87,16 @@ def reverse_complement_canonical(spark, d):
   g AS (SELECT a, b, count(*) AS fragments, avg(shared / size) AS share FROM sh JOIN s ON s.doc_id = a AND s.fragment = sh.fragment GROUP BY 1, 2)
   SELECT a, b, coalesce(fragments, 0) AS fragments, round(coalesce(fragments / n, 0), 6) AS aligned, round(coalesce(pow(share, 1.0 / 16), 0), 6) AS identity FROM pairs LEFT JOIN g USING (a, b) LEFT JOIN t ON t.doc_id = a""")
 def kmer_fragment_identity(spark, d):
-    pairs = screened(spark, d).select("a", "b")
-    return tags.kmer_identity(pairs, read(spark, d, "documents"), "doc_id", "text").withColumns({c: F.round(c, 6) for c in ("aligned", "identity")})
+    """Pairs of distinct texts, then written out for their copies."""
+    docs = read(spark, d, "documents")
+    pairs, own = (materialize(x) for x in tags.screen_classes(document_tag_strings(spark, d), "doc_id", ["tag"]))
+    texts = materialize(tags.classes_of(docs, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
+    inside = own.join(texts.withColumnRenamed("rep", "_text"), "id").select("rep", F.col("_text").alias("id")).distinct()
+    of_texts = tags.expanded(pairs.select("x", "y"), inside).where("x <> y OR _p <= _q").select(F.col("_p").alias("x"), F.col("_q").alias("y"))
+    told = materialize(tags.kmer_identity(tags.directed(of_texts, texts).toDF("a", "b"), docs, "doc_id", "text").withColumnsRenamed({"a": "x", "b": "y"}))
+    release(pairs, own)
+    wide = tags.expanded(told, texts).where("_p < _q").select(F.col("_p").alias("a"), F.col("_q").alias("b"), "fragments", "aligned", "identity")
+    return wide.withColumns({c: F.round(c, 6) for c in ("aligned", "identity")})
 
 
 @query(f"""WITH {_TAGS}, dt AS (SELECT DISTINCT doc_id, tag FROM tags), sizes AS (SELECT doc_id, count(*) AS size FROM dt GROUP BY 1), l AS (SELECT doc_id FROM documents WHERE source = 'src0'), r AS (SELECT doc_id FROM documents WHERE source <> 'src0'),
@@ -103,12 +112,19 @@ def screen_two_sides(spark, d):
 @query(f"""WITH {_SCREEN}, m AS (SELECT a, b, x.tag, min(list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END))) AS d FROM pairs JOIN dt x ON x.doc_id = a JOIN dt y ON y.doc_id = b GROUP BY 1, 2, 3)
   SELECT a, b, CAST(count(*) FILTER (d = 0) AS BIGINT) AS n0, CAST(count(*) FILTER (d = 1) AS BIGINT) AS n1, CAST(count(*) FILTER (d = 2) AS BIGINT) AS n2, CAST(count(*) FILTER (d > 2) AS BIGINT) AS n_miss FROM m GROUP BY 1, 2""")
 def strata_counts(spark, d):
-    pairs = screened(spark, d).select("a", "b")
+    """Counted for pairs of distinct tag sets, then written out for their copies. Only tags that the other side lacks are compared with tolerance."""
     t = document_tag_strings(spark, d).distinct()
+    classes, own = (materialize(x) for x in tags.screen_classes(t, "doc_id", ["tag"]))
+    pairs = tags.directed(classes, own).toDF("a", "b")
+    keys = ["a", "b", "enzyme"]
     mine = pairs.join(t.withColumnRenamed("doc_id", "a"), "a")
     theirs = pairs.join(t.withColumnRenamed("doc_id", "b"), "b")
-    matches = tags.tolerant_pairs(mine, theirs, ["a", "b", "enzyme"], "tag", 2, 24).select("a", "b", "enzyme", F.col("a_tag").alias("tag"), "distance")
-    return tags.strata(mine, matches, ["a", "b"], ["tag"]).drop("enzyme")
+    marked = materialize(mine.join(theirs.withColumn("distance", F.lit(0)), [*keys, "tag"], "left"))
+    exact, lacking = marked.where("distance = 0"), marked.where("distance IS NULL").drop("distance")
+    near = tags.tolerant_pairs(lacking, theirs.join(lacking.select(*keys).distinct(), keys, "left_semi"), keys, "tag", 2, 24).select(*keys, F.col("a_tag").alias("tag"), "distance")
+    told = materialize(tags.strata(marked.drop("distance"), exact.unionByName(near), ["a", "b"], ["tag"]).drop("enzyme").withColumnsRenamed({"a": "x", "b": "y"}))
+    release(classes, marked)
+    return tags.expanded(told, own).where("_p < _q").select(F.col("_p").alias("a"), F.col("_q").alias("b"), "n0", "n1", "n2", "n_miss")
 
 
 def line_strata(spark: SparkSession, d: str) -> DataFrame:

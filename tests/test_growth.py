@@ -1,11 +1,14 @@
 """Steps whose cost has to grow no faster than their input."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tagloom.functions import likelihood
 from tagloom.functions.likelihood import Strata
 from tagloom.operators import chains, intervals, mixture, tags
+from tagloom.plans import catalog, domain  # noqa: F401
 
 
 
@@ -83,3 +86,34 @@ def test_tolerant_join_tries_few_pairs_of_tags_that_begin_alike(spark):
     df = spark.createDataFrame([("ACGTACGT" + "".join(r.choice(list("ACGT"), 16)),) for _ in range(200)], "tag string")
     tried = tags.tolerant_pairs(df, df, [], "tag", 2, 24, F.lit(0)).count()  # all that are made have distance 0
     assert 200 <= tried < 2000
+
+
+def test_strata_and_fragment_identities_are_made_for_classes_and_written_out_for_copies(spark, tmp_path):
+    """Ten copies and two near copies: no tag or k-mer is shuffled for a pair of copies, and every pair has its row."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdxyz"), 4)) + "an" + "".join(r.choice(list("abcdxyz"), 6)) + "e" + "".join(r.choice(list("abcdxyz"), 11))
+    base = "".join(word() for _ in range(40))
+    texts = [base] * 10 + [base[:300] + "q" + base[301:], base[:600]] + ["".join(word() for _ in range(40)), None]
+    spark.createDataFrame([(20 - i, t, "src0") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = {20 - i: t or "" for i, t in enumerate(texts)}
+    tag = {i: {m[1] for m in re.finditer(tags.TEXT_ENZYME.regexes()[0], t)} for i, t in text.items()}
+    pairs = [(a, b) for a in text for b in text if a < b and len(tag[a] & tag[b]) >= 3]
+    want = {}
+    for a, b in pairs:
+        n = [min(sum(x != y for x, y in zip(s, u, strict=True)) for u in tag[b]) for s in tag[a]]
+        want[a, b] = (*(n.count(m) for m in range(3)), sum(m > 2 for m in n))
+    got = catalog.QUERIES["strata_counts"](spark, str(tmp_path)).collect()
+    assert {(x["a"], x["b"]): tuple(x)[2:] for x in got} == want and len(got) == len(pairs) == 66
+    found = catalog.QUERIES["kmer_fragment_identity"](spark, str(tmp_path))
+    identity = {(x["a"], x["b"]): tuple(x)[2:] for x in found.collect()}
+    assert sorted(identity) == sorted(pairs) and identity[11, 20] == (1, 1.0, 1.0) and identity[9, 20] == (0, 0.0, 0.0) and 0.9 < identity[10, 20][2] < 1
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    some = spark.createDataFrame(pairs, "a long, b long")
+    assert "kmer" not in plan(tags.kmer_identity(some, docs, "doc_id", "text"))
+
+
+def test_expanding_joins_a_class_of_many_members_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tags, "BLOCK", 3)
+    own = spark.createDataFrame([(i, 0 if i < 20 else i) for i in range(22)], "id long, rep long")
+    got = sorted(tuple(x) for x in tags.expanded(spark.createDataFrame([(0, 0), (0, 20), (21, 0)], "x long, y long"), own).select("_p", "_q").collect())
+    assert got == sorted([(a, b) for a in range(20) for b in range(20)] + [(a, 20) for a in range(20)] + [(21, b) for b in range(20)])
