@@ -47,7 +47,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
     The edges are one row, so the join with them sends a constant amount."""
     points = [i / bins for i in range(bins + 1)]
     edges = quantiles(df, [], value, points).select(F.array_distinct("quantiles").alias("_edges"))
-    above = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(F.col(value) > e, 1).otherwise(0))
+    above = sum((F.when(F.col(value) > F.get("_edges", F.lit(i)), 1).otherwise(0) for i in range(bins + 1)), F.lit(0))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(above, F.lit(1)) - 1)).drop("_edges")
 
 
@@ -105,7 +105,7 @@ def even_pick(df: DataFrame, order: Sequence[str], step: int, partition: Sequenc
 
 
 #: Rows that one range of a running total may have before they are dealt out, and into how many ranges.
-MOST_IN_ORDER, RANGES = 1_000_000, 1024
+MOST_IN_ORDER, RANGES, STEP = 1_000_000, 1024, 16
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, most: int = MOST_IN_ORDER) -> DataFrame:
@@ -127,9 +127,15 @@ def matched(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inn
 def keyed_running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, most: int = MOST_IN_ORDER) -> DataFrame:
     """As running_total within each key (which may be null): a key of more than `most` rows is dealt by ranges, so no task sees all of its rows."""
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, points, 10 * RANGES).alias("_edges"), F.count("*").alias("_rows")).where(F.col("_rows") > most).select(*keys, F.array_sort(F.array_distinct("_edges")).alias("_edges"))
-    part = F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(F.size(F.filter("_edges", lambda e: F.col(order) > e)))
-    ranged = matched(df, edges, keys, "left").withColumn("_part", part).drop("_edges")
+    edges = df.groupBy(*keys).agg(F.percentile_approx(order, points, 10 * RANGES).alias("_edges"), F.count("*").alias("_rows")).where(F.col("_rows") > most).select(*keys, "_rows", F.array_sort(F.array_distinct("_edges")).alias("_edges"))
+    every = lambda values, n: F.transform(F.sequence(F.least(n, F.size(values)), F.size(values), n), lambda i: F.get(values, i - 1))
+    step = F.greatest(F.floor(F.lit(RANGES * most / 4) / F.col("_rows")), F.lit(1)).cast("int")  # ranges of about a quarter of `most`, as each row meets the edges
+    edges = edges.select(*keys, every(F.col("_edges"), step).alias("_edges")).withColumn("_coarse", every(F.col("_edges"), F.lit(STEP)))
+    below = lambda values: F.size(F.filter(values, lambda e: F.col(order) > e))
+    first = below("_coarse") * STEP  # the range is looked for among every STEP-th edge, then among the STEP edges there
+    part = F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(first + below(F.slice("_edges", first + 1, STEP)))
+    # A row of edges stands for over `most` rows, so the edges are few; a join by a few keys would leave all rows to as many tasks.
+    ranged = matched(df, F.broadcast(edges), keys, "left").withColumn("_part", part).drop("_edges", "_coarse").repartition(*keys, "_part")  # once for both that follow
     sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
     before = sums.select(*keys, "_part", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).alias("_before"))  # at most RANGES rows of a key
     within = ranged.withColumn("_within", F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import likelihood
 from tagloom.functions.likelihood import Strata
-from tagloom.operators import chains, intervals, mixture, tags
+from tagloom.operators import chains, intervals, mixture, ranking, tags
 from tagloom.plans import catalog, domain  # noqa: F401
 
 
@@ -117,3 +117,16 @@ def test_expanding_joins_a_class_of_many_members_in_blocks(spark, monkeypatch):
     own = spark.createDataFrame([(i, 0 if i < 20 else i) for i in range(22)], "id long, rep long")
     got = sorted(tuple(x) for x in tags.expanded(spark.createDataFrame([(0, 0), (0, 20), (21, 0)], "x long, y long"), own).select("_p", "_q").collect())
     assert got == sorted([(a, b) for a in range(20) for b in range(20)] + [(a, 20) for a in range(20)] + [(21, b) for b in range(20)])
+
+
+def test_running_totals_in_ranges_hold_for_any_number_of_edges(spark):
+    """Edges are looked for in two steps, and their rows are sent to all tasks rather than a key's rows to one."""
+    r = np.random.default_rng(6)
+    values = [(k, float(v), int(c)) for k, size in (("a", 700), ("b", 90), (None, 300)) for v, c in zip(r.permutation(size) / 7, r.integers(1, 9, size), strict=True)]
+    df = spark.createDataFrame(values, "k string, v double, c long")
+    for most in (1, 40, 250, 1000):
+        out = ranking.keyed_running_total(df, ["k"], "v", "c", "upto", most)
+        got = {(x["k"], x["v"]): x["upto"] for x in out.collect()}
+        assert got == {(k, v): sum(n for q, w, n in values if q == k and w <= v) for k, v, _ in values}
+    text = plan(out)
+    assert "_coarse" in text and text.count("_within") and "BroadcastHashJoin" in text
