@@ -120,14 +120,19 @@ class Nested:
         values = F.array(*[F.when(F.isnan(F.col(f).cast("double")), None).otherwise(F.col(f).cast("double")) for f in self.features])
         long = df.withColumn("_x", values).withColumn("seed", F.explode(F.array(*map(F.lit, sorted({s for s, _ in self.held})))))
         joined = long.join(table, (long["seed"] == table["seed"]) & long[self.band].cast("string").eqNullSafe(table["_held"]), "left").drop(table["seed"])
-        z = F.transform(F.arrays_zip("_x", "_medians", "_means", "_scales", "_weights"), lambda e: (F.coalesce(e["_x"], e["_medians"]) - e["_means"]) / e["_scales"] * e["_weights"])
-        return joined.withColumn(name, F.aggregate(z, F.col("_intercept"), lambda s, x: s + x)).drop("_x", "_held", "_intercept", "_medians", "_means", "_scales", "_weights")
+        total = F.col("_intercept")
+        for i in range(len(self.features)):  # term by term, which Spark compiles, where functions over arrays are interpreted for each row
+            at = lambda c, i=i: F.get(c, F.lit(i))
+            total = total + (F.coalesce(at("_x"), at("_medians")) - at("_means")) / at("_scales") * at("_weights")
+        return joined.withColumn(name, total).drop("_x", "_held", "_intercept", "_medians", "_means", "_scales", "_weights")
 
 
 def band_holdouts(df: DataFrame, features: Sequence[str], target: str, band: str, keys: Sequence[str], seeds: Sequence[int] = SEEDS, alphas: Sequence[float] = ALPHAS, folds: int = FOLDS) -> Nested:
     """keys: columns that tell rows apart. Rows without a target don't count; a band that holds all rows has no model, nor has an empty table."""
-    medians = medians_by_holdout(df, features, target, band)
-    of = cells(df, features, target, band, keys, seeds, folds)
+    return _from_sums(medians_by_holdout(df, features, target, band), cells(df, features, target, band, keys, seeds, folds), features, band, seeds, alphas, folds)
+
+
+def _from_sums(medians: dict[str | None, list[float]], of: dict[tuple[int, str, int], np.ndarray], features: Sequence[str], band: str, seeds: Sequence[int], alphas: Sequence[float], folds: int) -> Nested:
     bands = sorted({b for _, b, _ in of}, key=str)
     out = Nested(list(features), band)
     for s in seeds:
@@ -165,9 +170,16 @@ class Choice:
 
 def choose(df: DataFrame, a: Sequence[str], b: Sequence[str], target: str, band: str, keys: Sequence[str], seeds: Sequence[int] = SEEDS, alphas: Sequence[float] = ALPHAS, folds: int = FOLDS, factor: float = FACTOR) -> Choice:
     """Both feature lists held out by band over all seeds; the second is taken only if its error over all rows, in the first seed's order, is below factor times the first's."""
-    nested = {name: band_holdouts(df, features, target, band, keys, seeds, alphas, folds) for name, features in (("A", a), ("B", b))}
+    spark, every = df.sparkSession, list(dict.fromkeys([*a, *b]))
+    medians, of = medians_by_holdout(df, every, target, band), cells(df, every, target, band, keys, seeds, folds)  # one pass each for both lists
+    nested = {}
+    for name, features in (("A", a), ("B", b)):
+        at = [every.index(f) for f in features]
+        rows = [0, *[1 + i for i in at], *[1 + len(every) + i for i in at], 1 + 2 * len(every)]
+        nested[name] = _from_sums({k: [v[i] for i in at] for k, v in medians.items()}, {k: m[np.ix_(rows, rows)] for k, m in of.items()}, features, band, seeds, alphas, folds)
     tables = [errors(n.predictions(df), target, band, name) for name, n in nested.items()]
-    table = tables[0].union(tables[1])
+    found = tables[0].union(tables[1])
+    table = spark.createDataFrame(found.collect(), found.schema)  # a row for each list, seed and band; made once
     overall = {(r["experiment"], r["seed"]): r["mae"] for r in table.where("band = 'all'").collect()}  # two rows for each seed
     by_seed = {s: prefer(overall.get(("A", str(s)), 0.0), overall.get(("B", str(s)), 0.0), factor) for s in seeds}
     variant = by_seed[seeds[0]]

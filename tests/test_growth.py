@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import likelihood
 from tagloom.functions.likelihood import Strata
-from tagloom.operators import chains, intervals, mixture, ranking, tags
+from tagloom.operators import chains, intervals, mixture, nested, ranking, tags
 from tagloom.plans import catalog, domain  # noqa: F401
 
 
@@ -130,3 +130,20 @@ def test_running_totals_in_ranges_hold_for_any_number_of_edges(spark):
         assert got == {(k, v): sum(n for q, w, n in values if q == k and w <= v) for k, v, _ in values}
     text = plan(out)
     assert "_coarse" in text and text.count("_within") and "BroadcastHashJoin" in text
+
+
+def test_both_feature_lists_are_summed_in_one_pass_and_errors_are_made_once(spark, monkeypatch):
+    calls = []
+    whole = nested.cells
+    monkeypatch.setattr(nested, "cells", lambda *a, **k: calls.append(a[1]) or whole(*a, **k))
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, "pqr"[i % 3], float(r.normal()), float(r.normal()) if i % 5 else None, float(r.normal())) for i in range(240)], "i long, band string, u double, v double, y double")
+    got = nested.choose(df, ["v"], ["u", "v"], "y", "band", ["i"], seeds=(0, 1))
+    assert calls == [["v", "u"]]
+    for name, features in (("A", ["v"]), ("B", ["u", "v"])):
+        held = nested.band_holdouts(df, features, "y", "band", ["i"], (0, 1))
+        predicted = held.predictions(df)
+        assert "transform(" not in plan(predicted) and "lambda" not in plan(predicted)
+        want = {(x["seed"], x["band"]): x["mae"] for x in nested.errors(predicted, "y", "band", name).collect()}
+        told = {(x["seed"], x["band"]): x["mae"] for x in got.table.where(F.col("experiment") == name).collect()}
+        assert told.keys() == want.keys() and all(abs(told[k] - want[k]) < 1e-9 for k in want)
