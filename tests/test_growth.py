@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import likelihood
 from tagloom.functions.likelihood import Strata
-from tagloom.operators import chains, intervals, mixture, nested, ranking, tags
+from tagloom.operators import calibrate, chains, intervals, mixture, nested, ranking, tags
 from tagloom.plans import catalog, domain  # noqa: F401
 
 
@@ -147,3 +147,13 @@ def test_both_feature_lists_are_summed_in_one_pass_and_errors_are_made_once(spar
         want = {(x["seed"], x["band"]): x["mae"] for x in nested.errors(predicted, "y", "band", name).collect()}
         told = {(x["seed"], x["band"]): x["mae"] for x in got.table.where(F.col("experiment") == name).collect()}
         assert told.keys() == want.keys() and all(abs(told[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rows_of_trees_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "TASK_ROWS", 10)
+    seen = []
+    usual = calibrate.GBTRegressor.fit
+    monkeypatch.setattr(calibrate.GBTRegressor, "fit", lambda self, part, *a: seen.append(part.rdd.getNumPartitions()) or usual(self, part, *a))
+    df = spark.createDataFrame([(float(i % 7), float(i)) for i in range(95)], "x double, y double").coalesce(1)
+    calibrate.boosted(df, ["x"], "y", [(1, 1, 0.1)])
+    assert seen == [10]
