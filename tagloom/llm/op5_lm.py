@@ -5,10 +5,9 @@ text in lower case (A-Z) and an end. Each text is tokenized once, into a table
 of ids in the shared folder. Over all training documents, whole, Spark sums how
 often each id occurs, how often each leaf follows each leaf, and what follows
 each beginning of a word. The gradients of the attention layers are summed in
-ROUNDS rounds over every PART-th window of every training document, so they
-grow with the corpus; the weights that the rounds start from come from about
-BEGIN windows, in which each window of each training document has the same
-chance. What goes to the driver has a fixed size.
+ROUNDS rounds over every window of every training document, each in one round;
+only the weights that the rounds start from come from about BEGIN windows, in
+which each window of each training document has the same chance. What goes to the driver has a fixed size.
 
 The base counts words over all training documents. Words that are hot in a
 sample of documents are counted by themselves: each task sends one count for
@@ -40,7 +39,7 @@ from .tokens import batched, encoder
 
 END_ID = 50_257
 N_IDS = END_ID + 1  # fits two bytes
-ROUNDS, SLICES, AT_ONCE, PART = 8, 64, 256, 16
+ROUNDS, SLICES, AT_ONCE, PART = 8, 64, 256, 1
 BEGIN = 60_000
 FLUSH_BYTES = 16 << 20
 SHARE_BYTES = 32 << 20

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import likelihood
 from tagloom.functions.likelihood import Strata
+from tagloom.llm import op5_lm
 from tagloom.operators import calibrate, chains, intervals, mixture, nested, ranking, tags
 from tagloom.plans import catalog, domain  # noqa: F401
 
@@ -157,3 +158,16 @@ def test_rows_of_trees_are_dealt_by_number(spark, monkeypatch):
     df = spark.createDataFrame([(float(i % 7), float(i)) for i in range(95)], "x double, y double").coalesce(1)
     calibrate.boosted(df, ["x"], "y", [(1, 1, 0.1)])
     assert seen == [10]
+
+
+def test_attention_learns_from_every_window(spark, monkeypatch):
+    """The gradients of all rounds together have as many targets as the training ids."""
+    seen = []
+    usual = op5_lm.summed_gradients
+    monkeypatch.setattr(op5_lm, "summed_gradients", lambda *a, **k: seen.append(usual(*a, **k)) or seen[-1])
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * (3 + i % 40)) for i in range(60)], "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", op5_lm.training(F.col("doc_id")).alias("train"))
+    coded = op5_lm.materialize(op5_lm.code(rows))
+    op5_lm.fit(coded)
+    assert sum(n for _, n in seen) == coded.where("train").agg(F.sum(F.length("ids") / 2)).first()[0]
+    op5_lm.release(coded)
