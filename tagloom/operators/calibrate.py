@@ -158,7 +158,7 @@ def boosted(df: DataFrame, features: Sequence[str], target: str, grid: Sequence[
     Nulls are filled by medians, which the result holds."""
     medians = medians_of(df, features)
     filled = df.where(F.col(target).isNotNull()).select(*[F.coalesce(F.col(f).cast("double"), F.lit(m)).alias(f) for f, m in zip(features, medians, strict=True)], F.col(target).cast("double").alias("_y"))
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-filled.count() // TASK_ROWS))  # a file's few bytes are many rows, which each tree reads again
+    tasks = max(1, -(-filled.count() // TASK_ROWS))  # not by cores, as Spark's candidate splits depend on the tasks; a file's few bytes are many rows, which each tree reads again
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(filled.repartition(tasks)).withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *features, "_y"), F.lit(folds)))
     fit = lambda part, depth, n, rate: GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxDepth=depth, maxIter=n, stepSize=rate, seed=seed).fit(part)
     error = lambda setting: sum(fit(rows.where(F.col("_fold") != f), *setting).transform(rows.where(F.col("_fold") == f)).agg(F.coalesce(F.sum((F.col("_p") - F.col("_y")) ** 2), F.lit(0.0))).first()[0] for f in range(folds))
