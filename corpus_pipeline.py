@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import op1_decontamination, op6_packing, op8_jaccard, op9_suffix, op10_quality
-from tagloom.llm.common import materialize, release, small, table
+from tagloom.llm.common import materialize, release, small, table, tidy
 from tagloom.storage import drop, live
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -105,7 +105,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema
-    return op9_suffix.with_repeats(docs).mapInArrow(run, schema)
+    return op9_suffix.with_repeats(docs).mapInArrow(tidy(run), schema)
 
 
 def _up(raw: bytes, at: int) -> int:

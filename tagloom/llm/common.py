@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Iterator
-from functools import cache
+import sys
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,32 @@ def single_threaded() -> None:
                 break
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system; the allocator would keep it for a worker that may be idle from now on."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run, words: bool = False) -> Run:
+    """run, before which a worker forgets the words that it remembers from encoding (unless `words`), and after which it gives back what it has freed.
+
+    Spark's workers go from task to task and stage to stage, and an executor's limit counts what all of them hold."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("tagloom.llm.tokens")
+        if tokens and not words:
+            tokens.forget()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and each text's bounds; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import table, tidy
 
 PIECE = 4096
 DICTIONARY = 256 * 1024
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             x = np.array([features(t.as_py() or b"", tools) for t in texts.cast(pa.large_binary())], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(x))], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:

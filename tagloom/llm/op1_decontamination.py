@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, materialize, prefix_hash, shingles, signed, slice_hash, small, spans, table
+from .common import ALNUM, LOWER, chunks, materialize, prefix_hash, shingles, signed, slice_hash, small, spans, table, tidy
 
 WINDOW = 10
 SHINGLE = 5
@@ -67,7 +67,7 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["item_id", "words", "m", "k", "keys"])
 
     usable = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    return usable.mapInArrow(run, "item_id string, words string, m int, k int, keys array<long>")
+    return usable.mapInArrow(tidy(run), "item_id string, words string, m int, k int, keys array<long>")
 
 
 def shingles_of(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def occurrences(docs: DataFrame, keys: np.ndarray, sizes: list[int], window: int
                 )
 
     schema = f"uid string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<pos:int,key:long,from:int,context:string>>"
-    return docs.select(row_key().alias("uid"), "doc_id", "text").mapInArrow(run, schema)
+    return docs.select(row_key().alias("uid"), "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def row_key() -> Column:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .tokens import batched, encoder
 
 WINDOW = 2048
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END, tokenizer: st
         packer.flush()
         yield done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, words=True), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, single_threaded, slice_hash, small, spans, table
+from .common import LOWER, NONSPACE, chunks, materialize, mix, prefix_hash, release, shingles, signed, single_threaded, slice_hash, small, spans, table, tidy
 from ..operators.graph import connected_components
 
 CELL_BITS = 21
@@ -105,7 +105,7 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
         logs = [np.round(4 * np.log2(s + 1.0)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["part", "counts"])
 
-    counted = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(SKETCH_ROWS, "part").mapInArrow(add, "part int, counts binary")
+    counted = docs.select("text").mapInArrow(tidy(count), "part int, counts binary").repartition(SKETCH_ROWS, "part").mapInArrow(tidy(add), "part int, counts binary")
     out = np.zeros((SKETCH_ROWS, per_row), np.uint8)
     for row in counted.toLocalIterator():  # SKETCH_ROWS rows of fixed size
         out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
@@ -164,7 +164,7 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in (0, 1)), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), prefix], names=["doc_id", "text_hash", "n", "node", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node binary, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, n long, node binary, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -184,7 +184,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + first)), pa.array(nodes(h, begin), pa.binary()), pa.array(members, pa.binary())], names=["doc_id", "node", "members"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, members binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, node binary, members binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -255,7 +255,7 @@ def compare(pairs: DataFrame, percent: int) -> DataFrame:
                             out_b.append(right[j])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    return pairs.select("left", "right").mapInArrow(run, "a binary, b binary")
+    return pairs.select("left", "right").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:

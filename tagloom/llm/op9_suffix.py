@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, prefix_hash, release, slice_hash, small, table, utf8
+from .common import chunks, materialize, mix, prefix_hash, release, slice_hash, small, table, tidy, utf8
 from .suffixes import suffix_array
 
 LENGTH = 50
@@ -193,7 +193,7 @@ def heat(texts: DataFrame, n_docs: int) -> Heat:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["key", "n"])
 
     chosen = F.pmod(F.xxhash64("id", "crc"), F.lit(1 << 20)) < int(share * (1 << 20))
-    found = texts.where(chosen).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_RUNS).toPandas()
+    found = texts.where(chosen).select("text").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_RUNS).toPandas()
     return Heat(found["key"].to_numpy(np.int64), np.ceil(found["n"].to_numpy(float) / share / SPLIT_RUNS))
 
 
@@ -274,7 +274,7 @@ def deal(texts: DataFrame, shares: int, hot: Heat) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("id", "crc", "text").mapInArrow(run, DEALT)
+    return texts.select("id", "crc", "text").mapInArrow(tidy(run), DEALT)
 
 
 def _by_document(rows: np.ndarray, doc_shares: int) -> tuple[list[int], list[bytes]]:
@@ -525,4 +525,4 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_repeats(docs).select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_repeats(docs).select("doc_id", "text", "starts", "ends").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

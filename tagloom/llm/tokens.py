@@ -149,6 +149,12 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops the words that this worker's encoders remember; they are encoded again when they are met again."""
+    for coder in _encoders.values():
+        coder.known, coder.marks = {}, {}
+
+
 def batched(texts: list[str | None], most_chars: int = 4_000_000) -> list[tuple[int, int]]:
     """Runs of rows with about most_chars characters each."""
     runs, at, size = [], 0, 0

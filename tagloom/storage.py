@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _folders: dict[str, SparkSession] = {}
 
@@ -32,15 +33,17 @@ def scratch(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts the lineage for good.
 
-    Meanwhile Python gets rows in smaller batches, as a batch of whole texts is held several times at once by each task."""
+    Meanwhile Python gets rows in smaller batches, as a batch of whole texts or of sets is held several times at once by each task."""
     spark = df.sparkSession
     path = scratch(spark)
-    usual = spark.conf.get(BATCH)
+    usual, usual_bytes = spark.conf.get(BATCH), spark.conf.get(BYTES)
     try:
         spark.conf.set(BATCH, str(min(int(usual), BATCH_ROWS)) if int(usual) > 0 else str(BATCH_ROWS))
+        spark.conf.set(BYTES, f"{BATCH_BYTES}b")
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH, usual)
+        spark.conf.set(BYTES, usual_bytes)
     _folders[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path

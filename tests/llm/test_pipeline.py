@@ -94,3 +94,25 @@ def test_quality_without_labels_keeps_all(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert cp.quality(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_workers_get_small_batches_and_forget_words(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(40, numPartitions=1).selectExpr("repeat(char(97 + id % 26), 1000000) AS text")
+    found = [x["n"] for x in cp.materialize(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(found) >= 40_000_000 and max(found) <= 8_000_000
+
+    coder = encoder()
+    before = coder.ids(["some words of a text"])
+    seen = []
+
+    def run(batches):
+        seen.append((len(coder.known), len(coder.marks)))
+        yield from batches
+
+    assert list(cp.tidy(run, words=True)(iter([1, 2]))) == [1, 2] and seen[0][0] > 0
+    assert list(cp.tidy(run)(iter([3]))) == [3] and seen[1] == (0, 0)
+    assert coder.ids(["some words of a text"]) == before
