@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import keyed_running_total, matched, medians, quantiles, running_total
+from ..storage import materialize, small
+from .ranking import bucket, keyed_running_total, matched, middle_buckets, middles, quantiles, running_total
 
 
 def error_columns(pred: str, truth: str) -> dict[str, Column]:
@@ -43,16 +44,21 @@ def grouped_errors(df: DataFrame, group: str, pred: str, truth: str, min_n: int
 def metric_stack(df: DataFrame, dims: list[str], tools: list[str], truth: str, within: tuple[float, ...] = (0.1, 0.5, 1.0), places: int = 6) -> DataFrame:
     """For every tool, over everything and by each value of each dimension: mean, median and signed error, and the share within bounds.
 
-    Medians are exact and found between two narrow approximate quantiles, so no group's errors meet in one task."""
-    groups = F.explode(F.array(F.struct(F.lit("overall").alias("dim"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])).alias("g")
+    One pass adds up cells of all dimensions, tool and bucket of the error, which give all but the medians. These are exact: a second pass counts
+    the errors of the buckets that hold a group's middle, so no row is written out for each group and no group's errors meet in one task."""
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), (F.col(t).cast("double") - F.col(truth)).alias("e")) for t in tools])).alias("x")
-    long = df.select(*dims, each).where("x.e IS NOT NULL").select(groups, "x.*").select("g.dim", "g.value", "tool", "e")
-    keys = ["dim", "value", "tool"]
-    aggregates = [F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias")]
-    aggregates += [F.avg((F.abs("e") <= w).cast("double")).alias(f"within_{w}".replace(".", "_")) for w in within]
-    out = matched(long.groupBy(*keys).agg(*aggregates), medians(long.withColumn("e", F.abs("e")), keys, "e").withColumnRenamed("median", "median_abs_err"), keys)
-    numbers = ["mae", "median_abs_err", "bias", *[f"within_{w}".replace(".", "_") for w in within]]
-    return out.select(*keys, "n", *[F.round(c, places).alias(c) for c in numbers])
+    rows = df.select(*dims, each).where("x.e IS NOT NULL").select(*dims, "x.tool", "x.e", F.abs("x.e").alias("_v")).withColumn("_b", bucket(F.col("_v")))
+    groups = F.explode(F.array(F.struct(F.lit("overall").alias("dim"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])).alias("g")
+    by_group = lambda x: x.select(groups, *[c for c in x.columns if c not in dims]).select("g.dim", "g.value", *[c for c in x.columns if c not in dims])
+    keys, bounds = ["dim", "value", "tool"], [f"within_{w}".replace(".", "_") for w in within]
+    sums = [F.count("*").alias("_c"), F.sum("_v").alias("mae"), F.sum("e").alias("bias"), *[F.sum((F.col("_v") <= w).cast("double")).alias(b) for w, b in zip(within, bounds, strict=True)]]
+    cells = by_group(materialize(rows.groupBy(*dims, "tool", "_b").agg(*sums)))
+    out = cells.groupBy(*keys).agg(F.sum("_c").alias("n"), *[(F.sum(c) / F.sum("_c")).alias(c) for c in ("mae", "bias", *bounds)])
+    needed = small(middle_buckets(cells, keys))
+    near = matched(rows, small(needed.select("tool", "_b").distinct()), ["tool", "_b"]).drop("e")
+    medians = middles(matched(by_group(near), needed, [*keys, "_b"]), keys).withColumnRenamed("median", "median_abs_err")
+    numbers = ["mae", "median_abs_err", "bias", *bounds]
+    return matched(out, medians, keys).select(*keys, "n", *[F.round(c, places).alias(c) for c in numbers])
 
 
 def feature_correlations(df: DataFrame, features: list[str], target: str, min_n: int = 30, places: int = 6) -> DataFrame:

@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, small
+
 
 def average_rank(partition: Sequence[str], by: str) -> Column:
     """Ranks from 1 by rising value; equal values share the mean of their ranks."""
@@ -160,19 +162,39 @@ def counted_quantiles(counted: DataFrame, keys: Sequence[str], points: Sequence[
     return out.where("_size IS NOT NULL").select(*keys, F.col("_size").alias("n"), F.array(*between).alias("quantiles"))
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys and the exact median of each, by two passes: approximate quantiles on both sides of the middle, whose error is far less than their distance from it,
-    then counts of the values below the one and of the few between them. Nulls don't count."""
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sides = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(F.lit(0.499), F.lit(0.501)), 10_000).alias("_e"), F.count("*").alias("_n"))
-    near = matched(rows, sides.select(*keys, F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), "_n"), keys).where(F.col("_v") <= F.col("_high"))
-    inside = F.col("_v") >= F.col("_low")
-    counts = near.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))  # null: all below
-    below = counts.where("_v IS NULL").select(*keys, F.col("_c").alias("_below"))
-    within = matched(keyed_running_total(counts.where("_v IS NOT NULL"), keys, "_v", "_c", "_upto"), below, keys, "left").withColumn("_upto", F.col("_upto") + F.coalesce("_below", F.lit(0)))
+#: Buckets to a factor of e, and what a value counts as beside 1, in a logarithmic scale that holds values of both signs.
+PER_E, UNIT = 1024, 1024.0
+
+
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises; NaN stands with infinity. Values far from 0 share one if they differ by about a thousandth."""
+    scaled = F.floor(F.signum(value) * F.log1p(F.abs(value) * UNIT) * PER_E)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(scaled)
+
+
+def middle_buckets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, _b, _n, _ahead: the one or two buckets of each key that hold its middle, with the rows of the key and those before the bucket. counts: keys, _b, _c; a small table."""
+    over = Window.partitionBy(*keys)
+    told = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    told = told.withColumn("_n", F.sum("_c").over(over)).withColumn("_ahead", F.sum("_c").over(over.orderBy("_b")) - F.col("_c"))  # a row for each bucket
+    holds = lambda place: (F.col("_ahead") <= place) & (F.col("_ahead") + F.col("_c") > place)
+    return materialize(told.where(holds(F.floor((F.col("_n") - 1) / 2)) | holds(F.ceil((F.col("_n") - 1) / 2))).select(*keys, "_b", "_n", "_ahead"))
+
+
+def middles(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and median, from all values (_v) of the middle buckets: keys, _b, _n, _ahead, _v."""
+    counts = values.groupBy(*keys, "_b", "_n", "_ahead", "_v").agg(F.count("*").alias("_c"))
+    upto = keyed_running_total(counts, [*keys, "_b"], "_v", "_c", "_upto").withColumn("_upto", F.col("_upto") + F.col("_ahead"))
     holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)
     middle = [F.max(F.when(holds(f((F.col("_n") - 1) / 2)), F.col("_v"))) for f in (F.floor, F.ceil)]
-    return within.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
+    return upto.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys and the exact median of each, by two passes: counts by buckets of values, then the values of the buckets in the middle only. Nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", bucket(F.col("_v")))
+    needed = middle_buckets(rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c")), keys)
+    return middles(matched(rows, small(needed), [*keys, "_b"]), keys)
 
 
 def random_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
