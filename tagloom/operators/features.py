@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nested import medians_by_holdout
+from .ranking import medians
 
 MEDIAN = "median"
 
@@ -68,10 +68,13 @@ class FeatureSet:
 
     def learn(self, training: DataFrame) -> FeatureSet:
         """With the medians of the sources over all rows that have a target, before bounds and logarithms; a source without values gets 0."""
-        rows = self._with_target(training)
-        sources = [f.source for f in self.features]
-        medians = medians_by_holdout(rows.withColumn("_all", F.lit("all")), sources, "_y", "_all")[None]
-        return replace(self, features=tuple(replace(f, median=m) if isinstance(f.fill, str) else f for f, m in zip(self.features, medians, strict=True)))
+        sources = sorted({f.source for f in self.features if isinstance(f.fill, str)})
+        if not sources:
+            return self
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("_source"), F.col(s).cast("double").alias("_x")) for s in sources])).alias("e")
+        values = self._with_target(training).select(each).select("e.*").where(~F.isnan("_x"))
+        learned = {r["_source"]: r["median"] for r in medians(values, ["_source"], "_x").collect()}  # a row for each source
+        return replace(self, features=tuple(replace(f, median=float(learned.get(f.source, 0.0))) if isinstance(f.fill, str) else f for f in self.features))
 
     def _with_target(self, df: DataFrame) -> DataFrame:
         number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
