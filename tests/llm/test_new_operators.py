@@ -305,3 +305,23 @@ def test_encoder_of_odd_white_space_and_repeated_words():
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)]
         assert coder.ids(texts) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert coder.ids([]) == [] and coder.ids(["", "word word", "word word"])[0] == b""
+
+
+def test_encoder_takes_letters_past_the_splitting_of_text(monkeypatch):
+    """Words of letters go to the library's merges at once; marks, digits and other letters through its pattern; a word keeps one number."""
+    coder = tokens.Encoder(public_tokenizers.path(tokens.DEFAULT))
+    split = []
+    usual = coder._words
+    monkeypatch.setattr(coder, "_words", lambda words: split.extend(words) or usual(words))
+    letters = "".join(c for c in map(chr, range(0x3000)) if tokens._LETTERS(c))
+    assert letters.isalpha() and len(letters) > 500
+    texts = ["plain words éà Ωμέγα, plain.\nнова строка 漢字", "next\nplain, words!? x1 ϶a a϶ é " + "long" * 40, *(f"a{c} {c}b\n{c}" for c in letters), "\n", "a  b plain"]
+    for _ in range(2):
+        assert coder.ids(texts) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert {w.strip() for w in split} >= {"x1", ",", "é"} and not {w.strip() for w in split} & {"plain", "words", "éà", "строка", "漢字"}
+    assert "plain" in coder.known and not any(len(w) > tokens.LONGEST_KEPT for w in coder.known)
+    n = coder.known.next
+    monkeypatch.setattr(tokens, "MEMORY_WORDS", 2 * n)
+    coder.ids([" ".join(f"w{i}" for i in range(3 * n))])
+    texts = ["plain words of a text", "w1 w2, w3"]
+    assert coder.ids(texts) == [coder._whole(t) for t in texts] and coder.known.next <= 2 * n
