@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import _P, _PINV, _power, mix, single_threaded
+from .common import _P, _PINV, _power, keep_freed, mix, single_threaded
 
 SIDE = 32
 LEAVES = SIDE * SIDE
@@ -124,12 +124,6 @@ def context_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"n1": n1, "n2": n2, "k1": (BESIDES + KINDS * (n1 > 0).sum(1)).astype(np.float32), "k2": (BESIDES + KINDS * (n2 > 0).sum(1)).astype(np.float32)}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
 _at = np.arange(WIDTH)
 _gap = _at[None, :] - _at[WIDTH - STRIDE :, None]
 BIAS = np.where(_gap > 0, -1e9, 0.15 * _gap).astype(np.float32)
@@ -146,27 +140,45 @@ def windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.minimum(t_at, n - 1), t_at < n
 
 
+SAFE = 60.0  # exponentials up to it neither overflow nor vanish in float32
+
+
+def _flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """What backward needs. Products run over all positions at once, but for those within a window."""
+    shape = len(x), STRIDE, SIZE
     c = {"x": np.where(x < 0, START, x)}
-    e = c["e"] = w["E"][c["x"]]
-    own = c["own"] = e[:, WIDTH - STRIDE :]
-    q, k, v = c["q"], c["k"], c["v"] = own @ w["Wq"], e @ w["Wk"], e @ w["Wv"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(SIZE**-0.5)
+    e = c["e"] = w["E"].take(c["x"], axis=0)
+    own = c["own"] = _flat(e[:, WIDTH - STRIDE :])
+    q = c["q"] = (own @ (w["Wq"] * np.float32(SIZE**-0.5))).reshape(shape)
+    kv = (_flat(e) @ np.c_[w["Wk"], w["Wv"]]).reshape(len(x), WIDTH, 2 * SIZE)
+    k, v = c["k"], c["v"] = kv[..., :SIZE], kv[..., SIZE:]
+    s = c["a"] = q @ k.transpose(0, 2, 1)
+    far = s.size and not (s.min() > -SAFE and s.max() < SAFE)
     s += BIAS
     first = np.flatnonzero(x[:, 0] < 0)
     if len(first):
         s[first] += np.where(x[first] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = c["a"] = _softmax(s)
-    m = c["m"] = a @ v
-    h = c["h"] = own + m @ w["Wo"]
-    u = c["u"] = np.maximum(h @ w["W1"] + w["b1"], 0)
-    c["z"] = h + u @ w["W2"]
+    if far:
+        s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    s /= (_flat(s) @ np.ones(WIDTH, np.float32)).reshape(len(x), STRIDE, 1)
+    m = c["m"] = _flat(s @ v)
+    h = c["h"] = m @ w["Wo"]
+    h += own
+    u = c["u"] = h @ w["W1"]
+    u += w["b1"]
+    np.maximum(u, 0, out=u)
+    z = u @ w["W2"]
+    z += h
+    c["z"] = z.reshape(shape)
     return c
 
 
 ONES = np.ones(SIDE, np.float32)
-SAFE = 60.0  # exponentials up to it neither overflow nor vanish in float32
 
 
 def _level(x: np.ndarray) -> None:
@@ -213,10 +225,11 @@ def heads(w: dict[str, np.ndarray], z: np.ndarray, t: np.ndarray, last: np.ndarr
     _level(p1)
     np.exp(p1, out=p1)
     cell = cell1(h)
-    seen = w["n1"].take(cell, axis=0)
+    seen = w["p1"].take(last, axis=0)
+    seen *= w["k1"].take(cell)[:, None]
+    seen += w["n1"].take(cell, axis=0)
     if grads is not None:
         seen[n, cls] -= 1
-    seen += w["p1"].take(last, axis=0) * w["k1"].take(cell)[:, None]
     p1 *= seen
     total = p1 @ ONES
     lp = np.log(p1[n, cls] / total)
@@ -231,10 +244,11 @@ def heads(w: dict[str, np.ndarray], z: np.ndarray, t: np.ndarray, last: np.ndarr
     _level(p2)
     np.exp(p2, out=p2)
     cell = cell2(h, cls)[order]
-    seen = w["n2"].take(cell, axis=0)
+    seen = w["p2"].take((cls * (SIDE + 1) + last // SIDE)[order], axis=0)
+    seen *= w["k2"].take(cell)[:, None]
+    seen += w["n2"].take(cell, axis=0)
     if grads is not None:
         seen[n, subs] -= 1
-    seen += w["p2"].take((cls * (SIDE + 1) + last // SIDE)[order], axis=0) * w["k2"].take(cell)[:, None]
     p2 *= seen
     total2 = p2 @ ONES
     lp[order] += np.log(p2[n, subs] / total2)
@@ -257,22 +271,32 @@ def heads(w: dict[str, np.ndarray], z: np.ndarray, t: np.ndarray, last: np.ndarr
 
 
 def backward(w: dict[str, np.ndarray], c: dict[str, np.ndarray], dz: np.ndarray, g: dict[str, np.ndarray]) -> None:
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g["W2"] = flat(c["u"]).T @ flat(dz)
-    du = (dz @ w["W2"].T) * (c["u"] > 0)
-    g["W1"], g["b1"] = flat(c["h"]).T @ flat(du), flat(du).sum(0)
-    dh = dz + du @ w["W1"].T
-    g["Wo"] = flat(c["m"]).T @ flat(dh)
+    n, shape, dz = len(dz), dz.shape, _flat(dz)
+    g["W2"] = c["u"].T @ dz
+    du = dz @ w["W2"].T
+    du *= c["u"] > 0
+    g["W1"], g["b1"] = c["h"].T @ du, np.ones(len(du), np.float32) @ du
+    dh = du @ w["W1"].T
+    dh += dz
+    g["Wo"] = c["m"].T @ dh
     dm = dh @ w["Wo"].T
-    da = dm @ c["v"].transpose(0, 2, 1)
-    dv = c["a"].transpose(0, 2, 1) @ dm
-    ds = c["a"] * (da - (da * c["a"]).sum(-1, keepdims=True)) * np.float32(SIZE**-0.5)
-    dq, dk = ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
-    g["Wq"], g["Wk"], g["Wv"] = flat(c["own"]).T @ flat(dq), flat(c["e"]).T @ flat(dk), flat(c["e"]).T @ flat(dv)
-    de = dk @ w["Wk"].T + dv @ w["Wv"].T
-    de[:, WIDTH - STRIDE :] += dh + dq @ w["Wq"].T
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], c["x"].reshape(-1), flat(de))
+    mean = np.einsum("ij,ij->i", dm, c["m"])  # of the gradients of a row's shares
+    dm = dm.reshape(shape)
+    ds = dm @ c["v"].transpose(0, 2, 1)
+    ds -= mean.reshape(n, STRIDE, 1)
+    ds *= c["a"]
+    dkv = np.empty((n, WIDTH, 2 * SIZE), np.float32)
+    np.matmul(ds.transpose(0, 2, 1), c["q"], out=dkv[..., :SIZE])
+    np.matmul(c["a"].transpose(0, 2, 1), dm, out=dkv[..., SIZE:])
+    dq = _flat(ds @ c["k"])
+    dq *= np.float32(SIZE**-0.5)
+    g["Wq"] = c["own"].T @ dq
+    g["Wk"], g["Wv"] = np.split(_flat(c["e"]).T @ _flat(dkv), 2, axis=1)
+    de = (_flat(dkv) @ np.c_[w["Wk"], w["Wv"]].T).reshape(n, WIDTH, SIZE)
+    dh += dq @ w["Wq"].T
+    de[:, WIDTH - STRIDE :] += dh.reshape(shape)
+    cells = c["x"].reshape(-1, 1) * SIZE + np.arange(SIZE)
+    g["E"] = np.bincount(cells.ravel(), de.ravel(), w["E"].size).astype(np.float32).reshape(w["E"].shape)
 
 
 def after(follows: np.ndarray) -> dict[str, np.ndarray]:
@@ -289,6 +313,7 @@ def after(follows: np.ndarray) -> dict[str, np.ndarray]:
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, on: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
     """Sums of the gradients over all targets that count, and their number."""
     single_threaded()
+    keep_freed()
     c = forward(w, x)
     z = c["z"][on]
     g: dict[str, np.ndarray] = {}
@@ -348,6 +373,7 @@ def train(streams: list[np.ndarray], n_ids: int, begins: np.ndarray | None = Non
 def score(model: Model, streams: list[np.ndarray], at_once: int = 128) -> np.ndarray:
     """Log10-probability of each stream of ids; at_once windows stay in a core's cache."""
     single_threaded()
+    keep_freed()
     out = np.zeros(len(streams))
     parts = []
     for i, s in enumerate(streams):
@@ -363,8 +389,7 @@ def score(model: Model, streams: list[np.ndarray], at_once: int = 128) -> np.nda
     sums = np.zeros(len(x))
     for a in range(0, len(x), at_once):
         part, on = x[a : a + at_once], live[a : a + at_once]
-        z, last, target, context = outputs(model.weights, known, part), part[:, WIDTH - STRIDE :], t[a : a + at_once], h[a : a + at_once]
-        grid = np.zeros(on.shape)
-        grid[on], _ = heads(model.weights, z[on], target[on], last[on], context[on])
-        sums[a : a + at_once] = grid.sum(1)
+        z, last = outputs(model.weights, known, part), part[:, WIDTH - STRIDE :]
+        every, _ = heads(model.weights, _flat(z), t[a : a + at_once].ravel(), last.ravel(), h[a : a + at_once].ravel())
+        sums[a : a + at_once] = np.where(on, every.reshape(on.shape), 0).sum(1, dtype=float)  # few positions are no targets
     return (out + np.bincount(who, sums, len(out))) / np.log(10)

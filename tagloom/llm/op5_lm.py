@@ -39,7 +39,7 @@ from .tokens import batched, encoder
 
 END_ID = 50_257
 N_IDS = END_ID + 1  # fits two bytes
-ROUNDS, SLICES, AT_ONCE, PART = 8, 64, 256, 1
+ROUNDS, SLICES, AT_ONCE, PART = 8, 64, 128, 1
 BEGIN = 60_000
 FLUSH_BYTES = 16 << 20
 SHARE_BYTES = 32 << 20
@@ -82,7 +82,9 @@ def document_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
         low = LOWER[data]
         starts, ends, doc = spans(low, bounds, NONSPACE)
         words = slice_hash(prefix_hash(low), starts, ends)
-        order = np.lexsort((words, doc))
+        order = np.argsort(words)
+        kind = np.uint16 if len(bounds) <= 1 << 16 else np.int64  # short numbers are sorted by their digits
+        order = order[np.argsort(doc.astype(kind)[order], kind="stable")]
         words, doc = words[order], doc[order]
         new = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])][: len(words)])
         yield first, last, doc[new], words[new], np.diff(np.r_[new, len(words)])

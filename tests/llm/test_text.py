@@ -599,3 +599,27 @@ def test_columns_with_clashing_names(spark):
     ):
         a, b = (sorted(map(tuple, run(d).collect())) for d in (plain, wide))
         assert len(a) == len(b) and all(x[:-2] == y[:-2] and x[-2:] == pytest.approx(y[-2:]) for x, y in zip(a, b, strict=True))
+
+
+def test_attention_products_run_over_all_positions_at_once(monkeypatch):
+    """Gradients of far scores equal those of a plain loop over windows; no sum goes position by position."""
+    streams = [np.random.default_rng(i).integers(0, 300, 90) for i in range(3)]
+    m = attention.train(streams, 301, steps=3, batch=8)
+    w = m.weights | {"E": m.weights["E"] * 40}  # scores beyond SAFE
+    x, at, live = attention.windows(m.leaf[streams[0]])
+    h = attention.contexts(streams[0], m.begins)[at]
+    t = m.leaf[streams[0]][at].astype(np.int64)
+
+    class NoLoop:
+        def __getattr__(self, name):
+            assert name != "add"
+            return getattr(np, name)
+
+    monkeypatch.setattr(attention, "np", NoLoop())
+    whole, n = attention.gradients(w, x, t, live, h)
+    parts = [attention.gradients(w, x[i : i + 1], t[i : i + 1], live[i : i + 1], h[i : i + 1]) for i in range(len(x))]
+    assert n == sum(k for _, k in parts) == 90
+    for k, g in whole.items():
+        assert np.isfinite(g).all() and np.allclose(g, sum(p[k] for p, _ in parts), rtol=1e-3, atol=1e-3 * abs(g).max())
+    scores = attention.score(attention.Model(m.leaf, m.within, w, m.begins), streams)
+    assert np.isfinite(scores).all()
