@@ -89,12 +89,16 @@ def reverse_complement_canonical(spark, d):
 def kmer_fragment_identity(spark, d):
     """Pairs of distinct texts, then written out for their copies."""
     docs = read(spark, d, "documents")
-    pairs, own = (materialize(x) for x in tags.screen_classes(document_tag_strings(spark, d), "doc_id", ["tag"]))
+    t = materialize(document_tag_strings(spark, d).select("doc_id", "tag").distinct())  # texts are scanned for tags once
+    pairs, own = (materialize(x) for x in tags.screen_classes(t, "doc_id", ["tag"]))
+    release(t)
     texts = materialize(tags.classes_of(docs, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
     inside = own.join(texts.withColumnRenamed("rep", "_text"), "id").select("rep", F.col("_text").alias("id")).distinct()
     of_texts = tags.expanded(pairs.select("x", "y"), inside).where("x <> y OR _p <= _q").select(F.col("_p").alias("x"), F.col("_q").alias("y"))
-    told = materialize(tags.kmer_identity(tags.directed(of_texts, texts).toDF("a", "b"), docs, "doc_id", "text").withColumnsRenamed({"a": "x", "b": "y"}))
+    wanted = materialize(tags.directed(of_texts, texts).toDF("a", "b"))
     release(pairs, own)
+    told = materialize(tags.kmer_identity(wanted, docs, "doc_id", "text").withColumnsRenamed({"a": "x", "b": "y"}))
+    release(wanted)
     wide = tags.expanded(told, texts).where("_p < _q").select(F.col("_p").alias("a"), F.col("_q").alias("b"), "fragments", "aligned", "identity")
     return wide.withColumns({c: F.round(c, 6) for c in ("aligned", "identity")})
 

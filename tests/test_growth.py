@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import likelihood
+from tagloom.functions import kmers, likelihood
 from tagloom.functions.likelihood import Strata
 from tagloom.llm import op5_lm
 from tagloom.operators import calibrate, chains, intervals, mixture, nested, ranking, tags
@@ -113,6 +114,37 @@ def test_strata_and_fragment_identities_are_made_for_classes_and_written_out_for
     assert "kmer" not in plan(tags.kmer_identity(some, docs, "doc_id", "text"))
 
 
+def test_texts_of_like_pairs_are_shuffled_once_a_block(spark, monkeypatch):
+    """All pairs of 30 like texts ship each text once for each side of a block, however many pairs it has; counts are those of plain sets, also where numbers of k-mers clash."""
+    r = np.random.default_rng(8)
+    letters = lambda n: "".join(r.choice(list("abcd efNé木😀"), n, p=[0.2, 0.2, 0.15, 0.1, 0.2, 0.05, 0.05, 0.01, 0.02, 0.01, 0.01]))
+    base = letters(5000)
+    texts = {i: base[: 5000 - 90 * i] + letters(60 * i) for i in range(30)} | {30: None, 31: "short", 32: letters(900)}
+    pairs = [(a, b) for a in range(33) for b in range(a + 1, 33)]
+    seqs, some = spark.createDataFrame(list(texts.items()), "id long, t string"), spark.createDataFrame(pairs, "a long, b long")
+    monkeypatch.setattr(tags, "KMER_BLOCK", 11)
+    blocks, names = tags.text_blocks(some, seqs, "id", "t")
+    assert blocks.count() <= 33 * 2 * blocks.select(*names).distinct().count() ** 0.5 < len(pairs)
+    grams = lambda s: {g for g in (s[p : p + 16] for p in range(len(s) - 15)) if "N" not in g}
+    want = {}
+    for a, b in pairs:
+        s, there = texts[a] or "", grams(texts[b] or "")
+        parts = [grams(s[p : p + 3000]) for p in range(0, len(s), 3000) if len(s[p : p + 3000]) >= 700]
+        found = [len(p & there) / len(p) for p in parts if len(p & there) >= 50]
+        want[a, b] = (len(found), round(len(found) / len(parts), 9) if parts else 0.0, round((sum(found) / len(found)) ** (1 / 16), 9) if found else 0.0)
+    told = lambda: {(x["a"], x["b"]): (x["fragments"], round(x["aligned"], 9), round(x["identity"], 9)) for x in tags.kmer_identity(some, seqs, "id", "t").collect()}
+    assert told() == want and len({v for v in want.values()}) > 30
+    for all_texts in ([base], [texts[i] or "" for i in range(33)]):
+        sets, own = kmers.Sets(all_texts, 16, "N"), kmers.Fragments(base, 16, 3000, 700, "N")
+        sizes, counts = kmers.plain(base, all_texts, 16, 3000, 700, "N")
+        assert sizes.tolist() == own.sizes.tolist() == [len(grams(p)) for p in (base[:3000], base[3000:])]
+        assert sets.shared(own).tolist() == counts.tolist() == [[len(grams(p) & grams(t)) for t in all_texts] for p in (base[:3000], base[3000:])]
+    monkeypatch.setattr(kmers, "FACTOR", np.uint64(0))
+    with pytest.raises(kmers.Clash):
+        kmers.Sets([base], 16, "N")
+    assert kmers.unless_clash(kmers.Fragments, base, 16, 3000, 700, "N") is None
+
+
 def test_expanding_joins_a_class_of_many_members_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(tags, "BLOCK", 3)
     own = spark.createDataFrame([(i, 0 if i < 20 else i) for i in range(22)], "id long, rep long")
