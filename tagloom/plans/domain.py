@@ -67,7 +67,7 @@ def triangle_matrix(spark, d):
   FROM t x JOIN t y ON x.tag < y.tag WHERE list_sum(list_transform(range(1, 25), lambda i: CASE WHEN x.tag[i] <> y.tag[i] THEN 1 ELSE 0 END)) <= 2""")
 def pigeonhole_pairs(spark, d):
     t = document_tag_strings(spark, d).select("tag").distinct()
-    return tags.tolerant_pairs(t, t, [], "tag", 2, 24).where("a_tag < b_tag")
+    return tags.tolerant_pairs(t, t, [], "tag", 2, 24, once=True)
 
 
 _BASES = "translate(lower(coalesce(text, '')), 'etaoinshrdlucmfwypvbgkjqxz', 'ACGTACGTACGTACGTACGTACGTAC')"

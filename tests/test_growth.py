@@ -90,6 +90,21 @@ def test_tolerant_join_tries_few_pairs_of_tags_that_begin_alike(spark):
     assert 200 <= tried < 2000
 
 
+def test_tolerant_join_compares_few_tried_pairs_by_place(spark):
+    """Shared parts are looked up and a bounded edit distance goes before the comparison by place; shifted tags, which it lets through, are none."""
+    r = np.random.default_rng(9)
+    base = ["".join(r.choice(list("ab dé木😀"), 24)) for _ in range(12)]
+    changed = lambda s, n: "".join("x" if i in r.choice(24, n, False) else c for i, c in enumerate(s))
+    words = sorted({*base, *(changed(s, n) for s in base for n in (1, 1, 2, 2, 3)), *(s[1:] + "q" for s in base)})
+    df = spark.createDataFrame([(w,) for w in words], "tag string")
+    found = tags.tolerant_pairs(df, df, [], "tag", 2, 24, once=True)
+    want = {(x, y): d for x in words for y in words if x < y and (d := sum(p != q for p, q in zip(x, y, strict=True))) <= 2}
+    got = found.collect()
+    assert {(x["a_tag"], x["b_tag"]): x["distance"] for x in got} == want and len(got) == len(want) > 30
+    joined = next(line for line in plan(found).splitlines() if "Join " in line)
+    assert joined.index("levenshtein") < joined.index("arrays_zip")
+
+
 def test_strata_and_fragment_identities_are_made_for_classes_and_written_out_for_copies(spark, tmp_path):
     """Ten copies and two near copies: no tag or k-mer is shuffled for a pair of copies, and every pair has its row."""
     r = np.random.default_rng(3)
