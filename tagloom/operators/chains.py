@@ -141,6 +141,12 @@ def chains(anchors: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS,
     return rows.repartition(*keys).sortWithinPartitions(*keys, "q_pos", "r_pos", *last).mapInArrow(run, own)
 
 
+def enough(anchors: DataFrame, pair: Sequence[str], least: int) -> DataFrame:
+    """Anchors of pairs that have at least so many."""
+    n = F.count("*").over(Window.partitionBy(*pair))
+    return anchors.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+
+
 def short_contigs(query_tags: DataFrame, chain_rows: DataFrame, pair: Sequence[str], least: int = LEAST_ANCHORS) -> DataFrame:
     """pair and q_contig of contigs without a chain that have fewer than SHORT_TAGS * least tags. query_tags: pair, enzyme, q_contig, q_pos."""
     counted = query_tags.groupBy(*pair, "q_contig").agg(F.count("*").alias("n")).where(F.col("n") < SHORT_TAGS * least)

@@ -28,6 +28,23 @@ def document_tag_strings(spark: SparkSession, d: str) -> DataFrame:
     return tags.digest_strings(read(spark, d, "documents"), "doc_id", "text", tags.TEXT_ENZYME)
 
 
+def class_pairs(t: DataFrame, like: DataFrame) -> DataFrame:
+    """a, b: pairs of classes (like: id, rep; of one tag set each) whose documents pass the screen, in either order as far as a member of a comes before one of b; materialized. t: doc_id, tag."""
+    pairs, own = (materialize(x) for x in tags.screen_classes(t, "doc_id", ["tag"]))
+    inside = own.join(like.withColumnRenamed("rep", "_like"), "id").select("rep", F.col("_like").alias("id")).distinct()
+    of_like = tags.expanded(pairs.select("x", "y"), inside).where("x <> y OR _p <= _q").select(F.col("_p").alias("x"), F.col("_q").alias("y"))
+    wanted = materialize(tags.directed(of_like, like).toDF("a", "b"))
+    release(pairs, own)
+    return wanted
+
+
+def of_copies(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """rows of pairs a, b of classes for each pair of their documents, which are the contigs too."""
+    wide = tags.expanded(rows.withColumnsRenamed({"a": "x", "b": "y"}), like).where("_p < _q")
+    names = {"a": "_p", "b": "_q", "q_contig": "_p", "r_contig": "_q"}
+    return wide.select(*[F.col(names.get(c, c)).alias(c) for c in rows.columns])
+
+
 def screened(spark: SparkSession, d: str) -> DataFrame:
     return tags.screen(document_tag_strings(spark, d), "doc_id", ["tag"])
 
@@ -90,13 +107,9 @@ def kmer_fragment_identity(spark, d):
     """Pairs of distinct texts, then written out for their copies."""
     docs = read(spark, d, "documents")
     t = materialize(document_tag_strings(spark, d).select("doc_id", "tag").distinct())  # texts are scanned for tags once
-    pairs, own = (materialize(x) for x in tags.screen_classes(t, "doc_id", ["tag"]))
-    release(t)
     texts = materialize(tags.classes_of(docs, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    inside = own.join(texts.withColumnRenamed("rep", "_text"), "id").select("rep", F.col("_text").alias("id")).distinct()
-    of_texts = tags.expanded(pairs.select("x", "y"), inside).where("x <> y OR _p <= _q").select(F.col("_p").alias("x"), F.col("_q").alias("y"))
-    wanted = materialize(tags.directed(of_texts, texts).toDF("a", "b"))
-    release(pairs, own)
+    wanted = class_pairs(t, texts)
+    release(t)
     told = materialize(tags.kmer_identity(wanted, docs, "doc_id", "text").withColumnsRenamed({"a": "x", "b": "y"}))
     release(wanted)
     wide = tags.expanded(told, texts).where("_p < _q").select(F.col("_p").alias("a"), F.col("_q").alias("b"), "fragments", "aligned", "identity")
@@ -182,27 +195,38 @@ def ani_upper95(spark, d):
     return fit_pairs(line_strata(spark, d), ["l_suppkey"]).select("l_suppkey", F.round("ani_upper95", 4).alias("ani_upper95"))
 
 
-def document_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Places of tags that two screened documents share; tags of at most five places in a document."""
-    t = tags.drop_repeats(document_tags(spark, d), ["doc_id", "tag"]).select("doc_id", "pos", "tag")
-    pairs = screened(spark, d).select("a", "b")
-    x = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("pos").alias("q_pos"), "tag"), "a")
-    return x.join(t.select(F.col("doc_id").alias("b"), F.col("pos").alias("r_pos"), "tag"), ["b", "tag"]).select("a", "b", F.col("a").alias("q_contig"), F.col("b").alias("r_contig"), F.lit(False).alias("reverse"), "q_pos", "r_pos")
+def document_chains(spark: SparkSession, d: str, fewest: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Chains of the places of tags that two screened documents share, and classes (id, rep) of documents that have equal tags at equal places; both materialized.
+
+    Chains are made for pairs a, b of classes. Tags of at most five places in a document count; pairs whose anchors are too few for `fewest` chains are left out."""
+    t = materialize(document_tags(spark, d).select("doc_id", "pos", "tag"))  # texts are scanned once
+    listed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_all"))
+    like = materialize(tags.classes_of(listed, "doc_id", F.sha2(F.to_json("_all"), 256)))
+    wanted = class_pairs(t, like)
+    placed = tags.drop_repeats(t, ["doc_id", "tag"]).select("doc_id", "pos", "tag")
+    x = wanted.join(placed.select(F.col("doc_id").alias("a"), F.col("pos").alias("q_pos"), "tag"), "a")
+    anchors = x.join(placed.select(F.col("doc_id").alias("b"), F.col("pos").alias("r_pos"), "tag"), ["b", "tag"]).select("a", "b", F.col("a").alias("q_contig"), F.col("b").alias("r_contig"), F.lit(False).alias("reverse"), "q_pos", "r_pos")
+    rows = materialize(chains.chains(chains.enough(anchors, ["a", "b"], fewest * 3), ["a", "b"], 3))
+    release(t, wanted)
+    return rows, like
 
 
 @query()
 def chain_blocks(spark, d):
-    return chains.chains(document_anchors(spark, d), ["a", "b"], 3)
+    return of_copies(*document_chains(spark, d))
 
 
 @query()
 def breakpoints_synteny(spark, d):
-    return chains.synteny(chain_blocks(spark, d), ["a", "b"])
+    rows, like = document_chains(spark, d)
+    return of_copies(chains.synteny(rows, ["a", "b"]), like)
 
 
 @query()
 def sv_calls(spark, d):
-    return chains.structural_calls(chain_blocks(spark, d), ["a", "b"], 50)
+    """A pair with one chain has no call, so pairs have to have anchors for two."""
+    rows, like = document_chains(spark, d, 2)
+    return of_copies(chains.structural_calls(rows, ["a", "b"], 50), like)
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(-1 - c_nationkey AS BIGINT) AS b FROM customer), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a),

@@ -160,6 +160,29 @@ def test_texts_of_like_pairs_are_shuffled_once_a_block(spark, monkeypatch):
     assert kmers.unless_clash(kmers.Fragments, base, 16, 3000, 700, "N") is None
 
 
+def test_calls_are_made_once_for_copies_and_only_where_two_chains_may_be(spark, tmp_path, monkeypatch):
+    """Copies and rearranged texts: calls, chains and synteny are those of each pair of documents by itself, but chains are made for classes."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdxyz"), 4)) + "an" + "".join(r.choice(list("abcdxyz"), 6)) + "e" + "".join(r.choice(list("abcdxyz"), 11))
+    a, b, c = ("".join(word() for _ in range(8)) for _ in range(3))
+    texts = [a + b + c, a + c + b, b + a + c, a + "q" * 1200 + b + c, a[:24 * 4], None]
+    rows = [(i, texts[at]) for i, at in enumerate([0, 1, 0, 2, 3, 1, 4, 5, 0, 3, 4, 2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = domain.document_tags(spark, str(tmp_path)).select("doc_id", "pos", "tag")
+    kept = tags.drop_repeats(t, ["doc_id", "tag"])
+    of = lambda who, contig, pos: kept.select(F.col("doc_id").alias(who), F.col("doc_id").alias(contig), F.col("pos").alias(pos), "tag")
+    pairs = tags.screen(t, "doc_id", ["tag"]).select("a", "b")
+    anchors = pairs.join(of("a", "q_contig", "q_pos"), "a").join(of("b", "r_contig", "r_pos"), ["b", "tag"]).withColumn("reverse", F.lit(False))
+    blocks = chains.chains(anchors, ["a", "b"], 3)
+    listed = lambda df: sorted(map(tuple, df.select(*sorted(set(df.columns) - {"hits"})).collect()), key=str)
+    got, want = catalog.QUERIES["sv_calls"](spark, str(tmp_path)), chains.structural_calls(blocks, ["a", "b"], 50)
+    assert got.columns == want.columns and listed(got) == listed(want) and {x["sv_type"] for x in got.collect()} == {"Translocation", "Insertion", "Deletion"}
+    assert listed(catalog.QUERIES["chain_blocks"](spark, str(tmp_path))) == listed(blocks)
+    assert listed(catalog.QUERIES["breakpoints_synteny"](spark, str(tmp_path))) == listed(chains.synteny(blocks, ["a", "b"]))
+    made, like = domain.document_chains(spark, str(tmp_path), 2)
+    assert {x["rep"] for x in like.collect()} == {0, 1, 3, 4, 6} and made.select("a", "b").distinct().count() < 20 < pairs.count() and not made.where("a = 6 OR b = 6").count()
+
+
 def test_expanding_joins_a_class_of_many_members_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(tags, "BLOCK", 3)
     own = spark.createDataFrame([(i, 0 if i < 20 else i) for i in range(22)], "id long, rep long")
